@@ -1,0 +1 @@
+"""Docketry streaming."""
