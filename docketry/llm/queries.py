@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from docketry.llm.byte_bpe import op7_byte_bpe
 from docketry.llm.minhash_dedup import op10_minhash_dedup
 
-QUERIES = {"op10_minhash_dedup": op10_minhash_dedup}
+QUERIES = {"op7_byte_bpe": op7_byte_bpe, "op10_minhash_dedup": op10_minhash_dedup}
 
 ORACLE_SQL: dict[str, str] = {}
