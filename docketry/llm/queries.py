@@ -3,8 +3,17 @@
 from __future__ import annotations
 
 from docketry.llm.byte_bpe import op7_byte_bpe
+from docketry.llm.decontaminate import op2_decontaminate
+from docketry.llm.language_id import op4_language_id
+from docketry.llm.line_dedup import op6_line_dedup
 from docketry.llm.minhash_dedup import op10_minhash_dedup
 
-QUERIES = {"op7_byte_bpe": op7_byte_bpe, "op10_minhash_dedup": op10_minhash_dedup}
+QUERIES = {
+    "op2_decontaminate": op2_decontaminate,
+    "op4_language_id": op4_language_id,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_byte_bpe": op7_byte_bpe,
+    "op10_minhash_dedup": op10_minhash_dedup,
+}
 
 ORACLE_SQL: dict[str, str] = {}
