@@ -11,10 +11,12 @@ from docketry.llm.minhash_dedup import op10_minhash_dedup
 from docketry.llm.pii import op5_pii
 from docketry.llm.secrets import op8_secret_scan
 from docketry.llm.toxicity import op9_toxicity
+from docketry.llm.warc_bundle import op3_warc_bundle
 
 QUERIES = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_decontaminate": op2_decontaminate,
+    "op3_warc_bundle": op3_warc_bundle,
     "op4_language_id": op4_language_id,
     "op5_pii": op5_pii,
     "op6_line_dedup": op6_line_dedup,
