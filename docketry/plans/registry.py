@@ -26,13 +26,23 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
+def _load() -> None:
+    """Import the modules that register queries."""
+    from docketry.plans import basics, domain  # noqa: F401
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The flagship query: organisations ranked by overall score, with stars."""
+    from docketry.plans import domain, local
+
+    return domain.entry(local.Tables(spark, sf_dir))
 
 
 def queries() -> dict[str, Query]:
+    _load()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(_SQL)
