@@ -34,7 +34,7 @@ class ScoreConfig:
             raise ValueError("unknown or missing components")
         if set(self.overall) != {"first", "second"}:
             raise ValueError("overall needs both histories")
-        if list(self.bands) != sorted(self.bands, reverse=True) or len({s for s, _ in self.bands}) != 5:
+        if [s for s, _ in self.bands] != [5, 4, 3, 2, 1] or any(a <= b for (_, a), (_, b) in zip(self.bands, self.bands[1:], strict=False)):
             raise ValueError("bands must be strictly ordered")
 
 

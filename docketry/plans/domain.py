@@ -11,7 +11,8 @@ from docketry.operators.metrics import program_metrics, top_family, with_parent_
 from docketry.operators.scoring import score_organizations
 from docketry.plans.local import ENTITIES, FIRST, SECOND, Tables, entities, first_cases, query, second_cases
 
-_TECH = F.col("technical_role")
+def _tech():
+    return F.col("technical_role")
 
 
 def _rollup(cases: str) -> str:
@@ -50,24 +51,24 @@ def do19(t: Tables) -> DataFrame:
 
 @query("do20_program_metrics", _DO20 + _metrics("first"))
 def do20(t: Tables) -> DataFrame:
-    return program_metrics(first_cases(t), "first", "CERTIFIED", "CERTIFIED-WITHDRAWN", _TECH)
+    return program_metrics(first_cases(t), "first", "CERTIFIED", "CERTIFIED-WITHDRAWN", _tech())
 
 
 @query("do20_second_program_metrics", _DO20B + _metrics("second"))
 def do20b(t: Tables) -> DataFrame:
-    return program_metrics(second_cases(t), "second", "CERTIFIED", "CERTIFIED-EXPIRED", _TECH)
+    return program_metrics(second_cases(t), "second", "CERTIFIED", "CERTIFIED-EXPIRED", _tech())
 
 
 @query("do20_yearly_counts", _DO20 + """SELECT identity_scope, organization_id, fiscal_year, count(*) AS case_count, count_if(f) AS certified_count, count_if(h) AS half_count,
   CAST(sum(CASE WHEN f THEN 1.0 WHEN h THEN 0.5 ELSE 0.0 END) AS DOUBLE) AS weighted_count, bool_or(is_partial_period) AS is_partial_period FROM flagged GROUP BY 1, 2, 3""")
 def do20c(t: Tables) -> DataFrame:
-    return yearly_counts(first_cases(t), "CERTIFIED", "CERTIFIED-WITHDRAWN", _TECH)
+    return yearly_counts(first_cases(t), "CERTIFIED", "CERTIFIED-WITHDRAWN", _tech())
 
 
 @query("ag10_top_family", _DO20 + """, sums AS (SELECT identity_scope, organization_id, role_family, CAST(sum(CASE WHEN f THEN 1.0 ELSE 0.5 END) AS DOUBLE) AS family_weight FROM flagged WHERE f OR h GROUP BY 1, 2, 3)
   SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY identity_scope, organization_id ORDER BY family_weight DESC, role_family) AS rn FROM sums) WHERE rn = 1""")
 def ag10(t: Tables) -> DataFrame:
-    return top_family(first_cases(t), "CERTIFIED", "CERTIFIED-WITHDRAWN", _TECH)
+    return top_family(first_cases(t), "CERTIFIED", "CERTIFIED-WITHDRAWN", _tech())
 
 
 _YEARLY = """SELECT user_id AS legal_entity_id, CAST(year(ts) AS INT) AS year, count_if(event_type = 'purchase') AS initial_approvals, count_if(event_type = 'error') AS initial_denials,
@@ -115,8 +116,8 @@ def do23(t: Tables) -> DataFrame:
 def employer_metrics(t: Tables) -> DataFrame:
     """The dimension with both programs' metrics, approvals and coverage states."""
     keys = ["identity_scope", "organization_id"]
-    one = program_metrics(first_cases(t), "first", "CERTIFIED", "CERTIFIED-WITHDRAWN", _TECH)
-    two = program_metrics(second_cases(t), "second", "CERTIFIED", "CERTIFIED-EXPIRED", _TECH)
+    one = program_metrics(first_cases(t), "first", "CERTIFIED", "CERTIFIED-WITHDRAWN", _tech())
+    two = program_metrics(second_cases(t), "second", "CERTIFIED", "CERTIFIED-EXPIRED", _tech())
     approvals = t.events.where("event_type = 'purchase'").groupBy(F.col("user_id").alias("organization_id")).agg(F.count("*").alias("approvals")).withColumn("identity_scope", F.lit("LEGAL_ENTITY"))
     # whole-table scalars as one broadcast row
     span = first_cases(t).agg(F.max(F.when(~F.col("is_partial_period"), F.col("fiscal_year"))).alias("latest_complete_year"), F.max(F.when(F.col("is_partial_period"), F.col("fiscal_year"))).alias("partial_year"), F.countDistinct(F.when(~F.col("is_partial_period"), F.col("fiscal_year"))).alias("first_complete_years"))
