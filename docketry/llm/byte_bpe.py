@@ -7,7 +7,7 @@ of least rank.  A merge updates the three leaves it touches (the merged position
 it swallows and the live neighbour before) and their ancestors: logarithmic work a merge.
 Trees of many pre-tokens of like length are advanced together, one merge each a step, in
 numpy; pre-tokens of 512 bytes and more are advanced alone.  A pre-token that is itself a
-token is that token.  What a worker has encoded it remembers, up to ``REMEMBERED`` pieces.
+token is that token.  What a worker has encoded it remembers within a partition, up to ``REMEMBERED`` pieces.
 
 Defined results: null text is empty and has no ids; rows repeat as given; other columns
 pass through unless their names are those of the added ones, which replace them.  Special
@@ -29,10 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docketry.llm.text import frugal, small_batches
+
 NONE = np.int64(2**62)
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 LONG = 512
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 19
 
 #: For ASCII texts the pattern below splits as public_tokenizers.PATTERN does, and faster.
 _ASCII = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ \t-\rA-Za-z0-9]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]+")
@@ -55,7 +57,6 @@ class Merges:
                 a, b = ranks.get(t[:k]), ranks.get(t[k:])
                 if a is not None and b is not None:
                     found[a << 32 | b] = r
-        self.rank_of = found
         self.bits = max(4, (4 * len(found)).bit_length())
         self.keys = np.full(1 << self.bits, -1, dtype=np.int64)
         self.vals = np.full(1 << self.bits, NONE, dtype=np.int64)
@@ -71,6 +72,16 @@ class Merges:
     def _slot(self, key: np.ndarray) -> np.ndarray:
         return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
+    def one(self, a: int, b: int) -> int | None:
+        """The same for a single pair."""
+        key, mask = a << 32 | b, len(self.keys) - 1
+        at = (key * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> (64 - self.bits)
+        while (k := self.keys.item(at)) != key:
+            if k < 0:
+                return None
+            at = (at + 1) & mask
+        return self.vals.item(at)
+
     def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         key = a << np.int64(32) | b
         at = self._slot(key)
@@ -151,14 +162,14 @@ def _encode_alone(piece: bytes, merges: Merges) -> list[int]:
     """The same for one long piece, on plain lists."""
     n = len(piece)
     width = 1 << (n - 1).bit_length()
-    none, rank_of = int(NONE), merges.rank_of
+    none = int(NONE)
     tok = [int(merges.of_byte[x]) for x in piece]
     nxt, prv, live = list(range(1, n + 1)), list(range(-1, n - 1)), bytearray(b"\1") * n
     tree = [none] * (2 * width)
 
     def leaf(i: int) -> int:
         j = nxt[i]
-        r = rank_of.get(tok[i] << 32 | tok[j]) if j < n else None
+        r = merges.one(tok[i], tok[j]) if j < n else None
         return none if r is None else r * width + i
 
     for i in range(n):
@@ -185,7 +196,7 @@ def _encode_alone(piece: bytes, merges: Merges) -> list[int]:
 
 
 class Codec:
-    """Encoder and decoder of one vocabulary; remembers the pieces it has met."""
+    """Encoder of one vocabulary; remembers the pieces it has met."""
 
     def __init__(self, path: str, pattern: str):
         import public_tokenizers
@@ -194,15 +205,9 @@ class Codec:
         self.merges = Merges(self.ranks)
         self.split = regex.compile(pattern).findall
         self.ascii = _ASCII.findall if pattern == public_tokenizers.PATTERN else self.split
-        self.bytes_of = dict(zip(self.ranks.values(), self.ranks, strict=True))
-        self._forget()
-        n = max(self.bytes_of) + 1
-        parts = [self.bytes_of.get(i, b"") for i in range(n)]
-        self.d_len = np.fromiter(map(len, parts), np.int64, n)
-        self.d_at = np.cumsum(self.d_len) - self.d_len
-        self.d_data = np.frombuffer(b"".join(parts), np.uint8)
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.flat, self.size, self.at, self.used = np.zeros(1 << 16, np.int32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64), 0
 
@@ -240,7 +245,7 @@ class Codec:
         """Ids of all texts, one after the other, and the number of ids of each."""
         pieces = [(self.ascii if t.isascii() else self.split)(t) for t in texts]
         if len(self.known) > REMEMBERED:
-            self._forget()
+            self.forget()
         distinct = set().union(*pieces) if pieces else set()
         self._learn(sorted(distinct.difference(self.known)))
         count = np.fromiter(map(len, pieces), np.int64, len(pieces))
@@ -251,6 +256,18 @@ class Codec:
         bound = np.concatenate([[0], end])[np.concatenate([[0], np.cumsum(count)])]
         return self.flat[take], np.diff(bound)
 
+
+class Decoder:
+    """The bytes of tokens, side by side."""
+
+    def __init__(self, path: str):
+        bytes_of = {r: t for t, r in load_ranks(path).items()}
+        n = max(bytes_of) + 1
+        parts = [bytes_of.get(i, b"") for i in range(n)]
+        self.d_len = np.fromiter(map(len, parts), np.int64, n)
+        self.d_at = np.cumsum(self.d_len) - self.d_len
+        self.d_data = np.frombuffer(b"".join(parts), np.uint8)
+
     def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
         """The bytes of each text, given its ids."""
         n = self.d_len[ids]
@@ -266,6 +283,11 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
+@functools.lru_cache(maxsize=4)
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
+
+
 def _which(path: str | None, pattern: str | None) -> tuple[str, str]:
     import public_tokenizers
 
@@ -288,15 +310,15 @@ def _runs(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
 
 def bpe_encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """Add ``ids_col``, the token ids (array of int) of each text."""
-    # the text is passed under a name of its own: others may clash with it but for case
     kept = [F.col(f"`{c}`") for c in df.columns if c != ids_col]
     names = [c for c in df.columns if c != ids_col]
-    text = "__text_to_encode"
+    at = names.index(text_col)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(*_which(path, pattern))
         for batch in batches:
-            col = batch.column(batch.num_columns - 1)
+            col = batch.column(at)
             col = col.fill_null("") if col.null_count else col
             size = np.diff(np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1])
             for i, j in _runs(size, CHUNK_CHARS):
@@ -304,18 +326,20 @@ def bpe_encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", path
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
                 part = batch.slice(i, j - i)
-                yield pa.record_batch([*(part.column(k) for k in range(part.num_columns - 1)), lists], names=[*names, ids_col])
+                yield pa.record_batch([*part.columns, lists], names=[*names, ids_col])
+        c.forget()
 
     schema = T.StructType([*df.select(*kept).schema, T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
-    return df.select(*kept, F.col(f"`{text_col}`").alias(text)).mapInArrow(run, schema)
+    return df.select(*kept).mapInArrow(frugal(run), schema)
 
 
 def bpe_decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", path: str | None = None) -> DataFrame:
     """Add ``out_col``, the bytes that the ids stand for; null ids count as none."""
     kept = [c for c in df.columns if c != out_col]
+    small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(*_which(path, None))
+        c = decoder(_which(path, None)[0])
         for batch in batches:
             col = batch.column(batch.schema.get_field_index(ids_col))
             size = np.asarray(pa.compute.fill_null(pa.compute.list_value_length(col), 0), dtype=np.int64)
@@ -325,7 +349,7 @@ def bpe_decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", pa
                 yield _replaced(batch.slice(i, j - i), out_col, pa.array(out, pa.binary()))
 
     only = df.select(*(F.col(f"`{c}`") for c in kept))
-    return only.mapInArrow(run, T.StructType([*only.schema, T.StructField(out_col, T.BinaryType())]))
+    return only.mapInArrow(frugal(run), T.StructType([*only.schema, T.StructField(out_col, T.BinaryType())]))
 
 
 def bpe_round_trip(docs: DataFrame) -> DataFrame:

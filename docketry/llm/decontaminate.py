@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docketry.llm.text import ALNUM, chunks, words
+from docketry.llm.text import ALNUM, chunks, frugal, small_batches, words
 from docketry.session import Scratch
 
 WINDOW, SLOTS, RAREST = 13, 1 << 22, 3
@@ -122,18 +122,19 @@ class PositionalIndex:
 
     def __init__(self, docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, rarest: int = RAREST):
         spark = docs.sparkSession
+        small_batches(spark)
         self.window, self.rarest, self.scratch = window, rarest, Scratch(spark, "index")
         items = items.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).alias("text")).where("item_id is not null")
-        self.items = self.scratch.table(items.mapInArrow(_item_words, "item_id string, pos int, term long, n int").distinct(), "items")
+        self.items = self.scratch.table(items.mapInArrow(frugal(_item_words), "item_id string, pos int, term long, n int").distinct(), "items")
         need = np.full(SLOTS, 255, dtype=np.uint8)
         # at most 64 pieces of 64 kB from each of at most 8 partitions
-        for r in self.items.select("term", "n").coalesce(8).mapInArrow(_slot_table(window), "at long, need binary").toLocalIterator():
+        for r in self.items.select("term", "n").coalesce(8).mapInArrow(frugal(_slot_table(window)), "at long, need binary").toLocalIterator():
             part = np.frombuffer(bytes(r["need"]), np.uint8)
             need[r["at"] : r["at"] + len(part)] = np.minimum(need[r["at"] : r["at"] + len(part)], part)
         need_table = spark.sparkContext.broadcast(need)
         texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("h"))
         kind = texts.schema["doc_id"].dataType.simpleString()
-        self.texts = self.scratch.table(texts.mapInArrow(_postings(need_table), f"doc_id {kind}, h long, n_words long, terms array<long>, places array<int>"), "texts")
+        self.texts = self.scratch.table(texts.mapInArrow(frugal(_postings(need_table)), f"doc_id {kind}, h long, n_words long, terms array<long>, places array<int>"), "texts")
         one = self.texts.where("size(terms) > 0").groupBy("doc_id", "h").agg(F.first("terms").alias("terms"), F.first("places").alias("places"))
         rows = one.select("doc_id", "h", F.explode(F.arrays_zip("terms", "places")).alias("p"))
         self.postings = self.scratch.table(rows.select("doc_id", "h", F.col("p.terms").alias("term"), F.col("p.places").alias("place")), "postings")
@@ -174,7 +175,7 @@ class PositionalIndex:
         agree = near.join(self.items, ["item_id", "pos", "term"])
         groups = agree.groupBy("doc_id", "h", "item_id", "delta").agg(F.max("n").alias("n"), F.collect_set("place").alias("places"))
         kind = f"doc_id {self.texts.schema['doc_id'].dataType.simpleString()}, h long, item_id string, delta int, positions array<int>"
-        return groups.select("doc_id", "h", "item_id", "delta", "n", "places").mapInArrow(_hits(self.window), kind).where("size(positions) > 0")
+        return groups.select("doc_id", "h", "item_id", "delta", "n", "places").mapInArrow(frugal(_hits(self.window)), kind).where("size(positions) > 0")
 
     def proximity(self, slop: int = 3) -> DataFrame:
         """(doc_id, h, item_id, start): windows whose two rarest words stand within ``slop`` of their distance."""

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docketry.llm.text import chunks
+from docketry.llm.text import chunks, frugal, small_batches
 
 DIMS, CENTROIDS, SAMPLE, REJECT = 4096, 4, 6000, 0.15
 _DOCS = 128
@@ -103,6 +103,7 @@ def _clusters(v: np.ndarray, k: int) -> np.ndarray:
 
 def fit(rows: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, reject: float = REJECT) -> Model | None:
     """Learn from (lang, text, salt); ``salt`` is any stable column that spreads the sample."""
+    small_batches(rows.sparkSession)
     rows = rows.where("lang is not null and text is not null")
     seen = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().toLocalIterator()}
     if not seen:
@@ -110,7 +111,7 @@ def fit(rows: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, rejec
     each = max(40, sample // len(seen))
     share = F.create_map(*(F.lit(x) for lang, n in sorted(seen.items()) for x in (lang, min(1.0, each / n))))
     part = F.pmod(F.xxhash64("salt"), F.lit(1 << 30)) / float(1 << 30)
-    found = rows.where(part < share[F.col("lang")]).select("lang", "text").mapInArrow(_sparse, "lang string, at array<int>, n array<float>").toArrow()
+    found = rows.where(part < share[F.col("lang")]).select("lang", "text").mapInArrow(frugal(_sparse), "lang string, at array<int>, n array<float>").toArrow()
     if not found.num_rows:
         return None
     lang = np.array(found.column("lang").to_pylist(), dtype=object)
@@ -140,14 +141,17 @@ def predict(df: DataFrame, model: Model | None, text_col: str = "text") -> DataF
     """Add lang_pred, score and rejected to every row."""
     added = ("lang_pred", "score", "rejected")
     kept = [c for c in df.columns if c.lower() not in added]
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
+    at = kept.index(text_col)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            col, last = batch.column(batch.num_columns - 1), batch.num_columns - 1
-            names, scores, out = [], [], []
+            col = batch.column(at)
             for i, j, c, letter in counts(col):
+                names, scores, out = [], [], []
                 if m is not None:
                     cos = _vectors(c, m.idf) @ m.centroids.T
                     best = cos.argmax(axis=1)
@@ -158,11 +162,12 @@ def predict(df: DataFrame, model: Model | None, text_col: str = "text") -> DataF
                         names.append("und"), scores.append(0.0), out.append(True)
                     else:
                         names.append(m.names[best[k]]), scores.append(top[k]), out.append(bool(top[k] < m.least[best[k]]))
-            yield pa.record_batch([*(batch.column(k) for k in range(last)), pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(out, pa.bool_())], names=[*kept, *added])
+                part = batch.slice(i, j - i)
+                yield pa.record_batch([*part.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(out, pa.bool_())], names=[*kept, *added])
 
     only = df.select(*(F.col(f"`{c}`") for c in kept))
     schema = T.StructType([*only.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
-    return df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").alias("__text_to_judge")).mapInArrow(run, schema)
+    return only.mapInArrow(frugal(run), schema)
 
 
 def held_out(folds: int, fold: int, id_col: str = "doc_id"):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm.text import NOT_SPACE, chunks, mix, words
+from docketry.llm.text import NOT_SPACE, chunks, frugal, mix, small_batches, words
 from docketry.session import Scratch
 
 LEAD, LEAST, VARIED, RUNS = 3, 3, 8, 4
@@ -81,7 +81,7 @@ def _without(names: list[str], at: int):
     """The texts without their dropped lines; the columns after the texts are (dropped, recurring)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(i, 500) for whole in batches for i in range(0, whole.num_rows, 500)):
             text, k = batch.column(at), batch.num_columns - 2
             dropped, again = batch.column(k).to_pylist(), batch.column(k + 1).to_pylist()
             out, lines = [], []
@@ -101,10 +101,11 @@ def _without(names: list[str], at: int):
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with dropped lines gone from their texts, and n_lines, n_recurring, n_dropped."""
     added = ["n_lines", "n_recurring", "n_dropped"]
+    small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "lines")
     d, h = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), F.xxhash64(F.col(text_col))
     rows = docs.select(d.alias("d"), h.alias("h"), F.col(text_col).alias("text")).where("text <> ''")
-    lines = scratch.table(rows.mapInArrow(_lines, "key long, d long, h long, line int"), "lines")
+    lines = scratch.table(rows.mapInArrow(frugal(_lines), "key long, d long, h long, line int"), "lines")
     # by the largest and least document, which partial aggregates keep small whatever recurs
     often = lines.groupBy("key").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first < last").select("key", "first")
     hit = lines.join(often, "key").groupBy("d", "h", "line").agg(F.min("first").alias("first"))
@@ -118,7 +119,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     schema = docs.select(*(F.col(f"`{c}`") for c in kept)).schema
     for c in added:
         schema = schema.add(c, "long")
-    return full.mapInArrow(_without([*kept, *added], kept.index(text_col)), schema)
+    return full.mapInArrow(frugal(_without([*kept, *added], kept.index(text_col))), schema)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

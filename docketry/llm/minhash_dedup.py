@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docketry.llm.components import connected_components
-from docketry.llm.text import NOT_SPACE, chunks, mix, words
+from docketry.llm.text import NOT_SPACE, chunks, frugal, mix, small_batches, words
 from docketry.session import Scratch
 
 COLLECTIONS, WIDTH, SHINGLE, PERCENT = 14, 2, 5, 80
@@ -164,10 +164,10 @@ def _confirmed(percent: int):
 def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of the pairs (a, b) whose full shingle sets are similar; only texts of pairs are hashed again."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = texts.join(ids, "doc_id", "left_semi").mapInArrow(_with_sets(size), "doc_id long, shingles binary")
+    sets = texts.join(ids, "doc_id", "left_semi").mapInArrow(frugal(_with_sets(size)), "doc_id long, shingles binary")
     one = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
     two = one.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
-    return two.select("a", "b", "sa", "sb").mapInArrow(_confirmed(percent), "a long, b long")
+    return two.select("a", "b", "sa", "sb").mapInArrow(frugal(_confirmed(percent)), "a long, b long")
 
 
 def _pairs_of(collections: int, percent: int):
@@ -249,9 +249,10 @@ def minhash_dedup(
 ) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``."""
     spark = docs.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark, "minhash")
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    all_ = scratch.table(texts.mapInArrow(_sketches(shingle, collections, width), _SKETCH), "sketches")
+    all_ = scratch.table(texts.mapInArrow(frugal(_sketches(shingle, collections, width)), _SKETCH), "sketches")
     some = all_.where("n_shingles > 0 and doc_id is not null")
     # one representative of each shingle set; a doc_id of several texts ties those sets together below
     classes = scratch.table(some.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "classes")
@@ -260,7 +261,7 @@ def minhash_dedup(
     reps = some.join(classes.select("h1", "h2", "n_shingles", F.col("rep").alias("doc_id")), ["h1", "h2", "n_shingles", "doc_id"], "left_semi")
     reps = scratch.table(reps.dropDuplicates(["doc_id", "h1", "h2", "n_shingles"]).select("doc_id", "n_shingles", "bands", "sketch"), "reps")
 
-    keyed = reps.select("doc_id", "bands").mapInArrow(_tables(collections), "key long, tab int, doc_id long")
+    keyed = reps.select("doc_id", "bands").mapInArrow(frugal(_tables(collections)), "key long, tab int, doc_id long")
     # first pass: every member against its bucket's least member
     buckets = keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high")
     members = scratch.table(keyed.join(buckets, "key").select("key", "tab", "doc_id", "low", "n"), "members")
@@ -284,7 +285,7 @@ def minhash_dedup(
     wide = scratch.table(mixed.where(F.col("m") > large).select("doc_id", "component", "n_shingles", "sketch", "bands").distinct(), "wide")
     if wide.take(1):
         # members of large buckets meet once for each collection, not for each table, and in tiles
-        sets = texts.join(wide.select("doc_id"), "doc_id", "left_semi").mapInArrow(_with_sets(shingle), "doc_id long, shingles binary")
+        sets = texts.join(wide.select("doc_id"), "doc_id", "left_semi").mapInArrow(frugal(_with_sets(shingle)), "doc_id long, shingles binary")
         full = wide.join(sets, "doc_id").select("*", F.posexplode("bands").alias("at", "band"))
         groups = wide.select("component", "n_shingles", F.posexplode("bands").alias("at", "band")).groupBy("at", "band")
         groups = groups.agg(F.min("component").alias("x"), F.max("component").alias("y"), F.sum("n_shingles").alias("size")).where("x < y")

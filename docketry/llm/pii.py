@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docketry.llm.text import frugal, small_batches
+
 KINDS = ("email", "ip", "card", "phone")
 LONGEST, MARGIN = 24, 1.0
 
@@ -308,26 +310,28 @@ def all_spans(text: str, weights: dict[str, float]) -> list[tuple[str, int, int]
 def find_pii(df: DataFrame, text_col: str = "text", out_col: str = "spans", weights: dict[str, float] | None = None) -> DataFrame:
     """Add ``out_col``: kind, start, end and whether a base rule found it."""
     kept = [c for c in df.columns if c.lower() != out_col.lower()]
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(weights or train())
+    at = kept.index(text_col)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         for batch in batches:
-            last, rows = batch.num_columns - 1, []
-            for x in batch.column(last):
+            rows = []
+            for x in batch.column(at):
                 text = x.as_py() or ""
                 if "@" not in text and not _DIGIT.search(text):
                     rows.append([])
                     continue
                 base = set(base_spans(text))
                 rows.append([{"kind": k, "start": s, "end": e, "base": (k, s, e) in base} for k, s, e in all_spans(text, w)])
-            yield pa.record_batch([*(batch.column(k) for k in range(last)), pa.array(rows, kind)], names=[*kept, out_col])
+            yield pa.record_batch([*batch.columns, pa.array(rows, kind)], names=[*kept, out_col])
 
     only = df.select(*(F.col(f"`{c}`") for c in kept))
     item = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("base", T.BooleanType())])
     schema = T.StructType([*only.schema, T.StructField(out_col, T.ArrayType(item))])
-    return df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").alias("__text_to_search")).mapInArrow(run, schema)
+    return only.mapInArrow(frugal(run), schema)
 
 
 def _base_of(kind: str):

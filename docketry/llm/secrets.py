@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docketry.llm.text import LOWER, chunks
+from docketry.llm.text import LOWER, chunks, frugal, small_batches
 
 MOST = 48  # strings that a run of a pattern may stand for before it is closed
 
@@ -180,7 +180,7 @@ def _numbers(names: list[str]) -> np.ndarray:
     return number
 
 
-def _scanner(rules: tuple[Rule, ...], kept: list[str], out_col: str) -> Callable:
+def _scanner(rules: tuple[Rule, ...], kept: list[str], last: int, out_col: str) -> Callable:
     queries = [_ascii(trigram_query(r.pattern, r.flags)) for r in rules]
     names = sorted(set().union(*map(trigrams, queries)))
 
@@ -188,7 +188,6 @@ def _scanner(rules: tuple[Rule, ...], kept: list[str], out_col: str) -> Callable
         number = _numbers(names)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
-            last = batch.num_columns - 1
             spans: list[list] = [[] for _ in range(batch.num_rows)]
             for i, j, b, o in chunks(batch.column(last)):
                 shard = Shard(b, o, number, names)
@@ -198,7 +197,7 @@ def _scanner(rules: tuple[Rule, ...], kept: list[str], out_col: str) -> Callable
                         for s, e in rule.spans(texts[k] or ""):
                             spans[i + k].append((s, rank, e))
             rows = [[{"kind": rules[r].kind, "start": s, "end": e} for s, r, e in sorted(x)] for x in spans]
-            yield pa.record_batch([*(batch.column(k) for k in range(last)), pa.array(rows, kind)], names=[*kept, out_col])
+            yield pa.record_batch([*batch.columns, pa.array(rows, kind)], names=[*kept, out_col])
 
     return run
 
@@ -208,7 +207,8 @@ def scan_secrets(df: DataFrame, rules: tuple[Rule, ...] = BASE + MORE, text_col:
     kept = [c for c in df.columns if c.lower() != out_col.lower()]
     only = df.select(*(F.col(f"`{c}`") for c in kept))
     schema = T.StructType([*only.schema, T.StructField(out_col, T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
-    return df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{text_col}`").alias("__text_to_scan")).mapInArrow(_scanner(rules, kept, out_col), schema)
+    small_batches(df.sparkSession)
+    return only.mapInArrow(frugal(_scanner(rules, kept, kept.index(text_col), out_col)), schema)
 
 
 def _is(kind: str) -> Callable:

@@ -8,7 +8,9 @@ is odd, so its powers have inverses), then mixed with the word's length.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +34,40 @@ ALNUM = np.zeros(256, dtype=bool)
 ALNUM[48:58] = ALNUM[65:91] = ALNUM[97:123] = True
 ALNUM[128:] = True
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = (1 << 19) - 64
+
+#: Bytes of an Arrow batch on its way to Python; with long texts the usual 64 MB, held on
+#: both sides of several workers, is most of a small executor's memory.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark) -> None:
+    """Lower the session's limit on Arrow batches to BATCH_BYTES where it is higher."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).removesuffix("b")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def frugal(run: Callable) -> Callable:
+    """Give memory back to the system when a partition is done.
+
+    Workers live on between tasks and between operators, several to an executor; what their
+    allocators keep would otherwise add up over the stages of a long job.
+    """
+
+    @functools.wraps(run)
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _POWERS.forget()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another libc: nothing to trim
+                pass
+
+    return held
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -48,6 +83,11 @@ class _Powers:
     def __init__(self) -> None:
         self.up = self.down = np.ones(1, dtype=np.uint64)
 
+    def forget(self) -> None:
+        """Drop what a long text made grow."""
+        if len(self.up) > CHUNK_BYTES + 64:
+            self.__init__()
+
     def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
             size = 1 << (n - 1).bit_length()

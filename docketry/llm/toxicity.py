@@ -37,7 +37,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm.text import LOWER, NOT_SPACE, chunks, mix
+from docketry.llm.text import LOWER, NOT_SPACE, chunks, frugal, mix, small_batches
 
 SAMPLE, WINDOW, GRAMS, HEAD, LEVEL = 3000, 8, (5, 8), 8, 3
 ORDINARY_BYTES, TOXIC_BYTES = 32768, 8192
@@ -267,6 +267,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | flo
 
 def score(docs: DataFrame, model: Model | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, score) of every row."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -281,7 +282,7 @@ def score(docs: DataFrame, model: Model | float, id_col: str = "doc_id", text_co
             yield pa.record_batch([batch.column(0), pa.array(out)], names=["doc_id", "score"])
 
     only = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return only.mapInArrow(run, f"doc_id {only.schema['doc_id'].dataType.simpleString()}, score double")
+    return only.mapInArrow(frugal(run), f"doc_id {only.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,6 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docketry.llm.text import small_batches
 from docketry.session import Scratch
 
 FRAME_BYTES, BUNDLE_BYTES, REVISIT_BYTES = 1 << 18, 64 << 20, 1000
@@ -192,6 +193,7 @@ def write_bundles(pages: DataFrame, folder: str, index_path: str | None = None,
     table: it is the commit, and bundles that it doesn't name aren't part of the archive.
     """
     spark = pages.sparkSession
+    small_batches(spark)
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), html.alias("html"), F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).alias("n"))
     groups = rows.where(F.col("n") >= revisit_bytes).groupBy("digest").agg(F.max("page_id").alias("first"), F.count("*").alias("of")).where("of > 1").select("digest", "first")
