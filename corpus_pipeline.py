@@ -39,8 +39,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the contamination rule marks go."""
-    marks = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select(F.col("doc_id").alias("d"), F.col("h").alias("e")).distinct()
-    same = F.col("d").eqNullSafe(F.col("doc_id")) & (F.xxhash64("text") == F.col("e"))
+    marks = decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("contaminated").select(F.col("doc_id").alias("__d"), F.col("h").alias("__e")).distinct()
+    same = F.col("__d").eqNullSafe(F.col("doc_id")) & F.xxhash64("text").eqNullSafe(F.col("__e"))
     return docs.join(marks, same, "left_anti").select(*docs.columns)
 
 

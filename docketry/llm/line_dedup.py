@@ -114,7 +114,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     scratch.drop(lines)
     kept = [c for c in docs.columns if c.lower() not in added]
     keyed = docs.select(*(F.col(f"`{c}`") for c in kept), d.alias("__d"), h.alias("__h"))
-    full = keyed.join(gone, (F.col("__d") == F.col("d")) & (F.col("__h") == F.col("h")), "left")
+    gone = gone.withColumnsRenamed({"d": "__gd", "h": "__gh"})
+    full = keyed.join(gone, (F.col("__d") == F.col("__gd")) & (F.col("__h") == F.col("__gh")), "left")
     full = full.select(*(F.col(f"`{c}`") for c in kept), "__gone", "__again")
     schema = docs.select(*(F.col(f"`{c}`") for c in kept)).schema
     for c in added:
