@@ -6,8 +6,10 @@ and normalises.  Each language has up to ``CENTROIDS`` centroids, from spherical
 on a sample of labelled documents of about ``SAMPLE`` rows in all, spread evenly over the
 languages and chosen by a hash; that bound is a parameter.  The prediction is the language
 of the nearest centroid by cosine, which is also the score.  A text further from its
-centroid than ``REJECT`` times the cosine that 99 % of the language's training documents
-reach is rejected.  Only text is read to predict.
+centroid than ``REJECT`` times the cosine that 99 % of the centroid's own training
+documents reach, or 99 % of the language's if that is more, is rejected: a centroid of one
+odd document (a mislabelled one, junk) takes only what is close to it.  Only text is read
+to predict.
 
 Defined results: null text and text without a letter is ``und`` with score 0 and is
 rejected; with nothing to learn from, so is everything; null doc_ids hash as null and are
@@ -28,7 +30,7 @@ from pyspark.sql import types as T
 
 from docketry.llm.text import chunks, frugal, small_batches
 
-DIMS, CENTROIDS, SAMPLE, REJECT = 4096, 4, 6000, 0.15
+DIMS, CENTROIDS, SAMPLE, REJECT = 4096, 4, 6000, 0.6
 _DOCS = 128
 
 _NORMAL = np.full(256, 32, dtype=np.uint64)
@@ -43,7 +45,7 @@ class Model:
     names: list[str]  # of each centroid's language
     idf: np.ndarray
     centroids: np.ndarray
-    least: np.ndarray  # cosine below which a centroid's language is rejected
+    least: np.ndarray  # cosine below which a text nearest to the centroid is rejected
 
 
 def counts(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -130,10 +132,12 @@ def fit(rows: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, rejec
         if not len(own):
             continue
         k = _clusters(own, centroids)
-        near = np.quantile((own @ k.T).max(axis=1), 0.01)
+        cos = own @ k.T
+        of, top = cos.argmax(axis=1), cos.max(axis=1)
+        near = np.quantile(top, 0.01)
         names += [x] * len(k)
         all_.append(k)
-        least += [reject * near] * len(k)
+        least += [reject * max(near, np.quantile(top[of == i], 0.01) if (of == i).any() else near) for i in range(len(k))]
     return Model(names, idf, np.concatenate(all_), np.array(least)) if names else None
 
 

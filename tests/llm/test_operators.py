@@ -193,6 +193,19 @@ def test_language_of_odd_rows(spark, docs, odd):
     assert {r["lang_pred"] for r in language_id.predict(odd, None).collect()} == {"und"}
 
 
+def test_unlearned_languages_and_letter_junk_are_rejected(spark, docs):
+    r = random.Random(10)
+    junk = [r.randbytes(r.randint(40, 400)).hex() for _ in range(60)]
+    junk += [" ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9))) for _ in range(40)) for _ in range(60)]
+    rows = lambda df: df.select("lang", "text", F.col("doc_id").alias("salt"))
+    for lang in ("en", "es", "de", "fr"):
+        model = language_id.fit(rows(docs.where(F.col("lang") != lang)))
+        got = language_id.predict(docs.where((F.col("lang") == lang) & (F.length("text") > 100)), model).toPandas()
+        assert got.rejected.mean() > 0.85, (lang, got.rejected.mean())
+    got = language_id.predict(spark.createDataFrame([(t,) for t in junk], "text string"), language_id.fit(rows(docs))).toPandas()
+    assert got.rejected.mean() > 0.95
+
+
 # --- 5 personal data --------------------------------------------------------------------
 
 PLAIN = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
