@@ -11,6 +11,7 @@ same recursions on generated sentences (fixed seed), in a second or two on the d
 The base rules are applied beside the field and always stay; the field adds spans, such as
 telephone numbers without a plus or cards of 13 to 15 digits, that touch no base span.
 Text without a digit or ``@`` holds nothing that either could find, and is not cut at all.
+Tokens of any length are cut, and runs of tokens of any number are decoded as one.
 
 Defined results: null and empty texts have no spans; offsets are code points, end
 exclusive; rows repeat as given; other columns pass through, one named like the added
@@ -20,11 +21,12 @@ column is replaced.  Time is linear in the text, whatever its runs.
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 import random
 import re
-from collections import defaultdict
-from collections.abc import Iterator
+from collections import defaultdict, deque
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -89,17 +91,16 @@ _CUE = {"phone": "phone", "tel": "phone", "call": "phone", "fax": "phone", "mobi
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Runs of tokens that hold a digit or @, with the token before; at most 64 tokens each."""
+    """Runs of tokens that hold a digit or @, whatever their length and number, with the token before."""
     out: list[list[int]] = []
-    before, count = 0, 0
+    before = 0
     for m in _TOKEN.finditer(text):
         t = m[0]
-        if len(t) <= 128 and ("@" in t or _DIGIT.search(t)):
-            if out and out[-1][1] >= before and count < 64:
-                out[-1][1], count = m.end(), count + 1
+        if "@" in t or _DIGIT.search(t):
+            if out and out[-1][1] >= before:
+                out[-1][1] = m.end()
             else:
                 out.append([before, m.end()])
-                count = 1
         before = m.start()
     return [(a, b) for a, b in out]
 
@@ -130,6 +131,47 @@ def _features(kind: str, span: str, left: str, right: str, cue: str) -> list[str
     return [f"{kind}:{x}" for x in f]
 
 
+def _candidates(text: str, atoms: Sequence[tuple[int, int]], cue: str) -> Iterator[tuple[int, str, list[str]]]:
+    """(number of atoms, kind, features) of the segments that begin with the first of up to LONGEST atoms."""
+    a = atoms[0][0]
+    digits = ats = dots = other = 0
+    for n, (s, e) in enumerate(atoms, 1):
+        w = text[s:e]
+        if w[0] in "0123456789":
+            digits += e - s
+        elif w == "@":
+            ats += 1
+        elif w == ".":
+            dots += 1
+        elif w.isspace() and w != " ":
+            return
+        elif w not in " -()+" or (w == "+" and n > 1 and text[s - 1] in "+ "):
+            other += 1
+        if digits > 22 or ats > 1:
+            return
+        if not (w[0] in "0123456789" or w[0].isalpha()):
+            continue
+        kinds = []
+        if ats == 1 and dots and " " not in text[a:e]:
+            kinds.append("email")
+        elif not ats and not other:
+            if dots == 3 and digits >= 4:
+                kinds.append("ip")
+            if not dots and 13 <= digits <= 19 and text[a] != "+":
+                kinds.append("card")
+            if 7 <= digits <= 15:
+                kinds.append("phone")
+        elif not ats and other and text[a] in "+(0123456789":
+            return
+        left, right = text[a - 1 : a] if a else "", text[e : e + 1]
+        for k in kinds:
+            yield n, k, _features(k, text[a:e], left, right, cue)
+
+
+def _begins(c: str) -> bool:
+    return c in "+(0123456789" or c.isalpha()
+
+
 class Sentence:
     """Atoms of a region and its candidate segments with their features."""
 
@@ -140,46 +182,11 @@ class Sentence:
         self.by_end: list[list[tuple[int, str, list[str]]]] = [[] for _ in range(self.n + 1)]
         cue = ""
         for i, (a, z) in enumerate(atoms):
-            word = text[a:z]
-            if word[0] in "+(0123456789" or word[0].isalpha():
-                self._from(text, i, a, cue, atoms)
-            if word.isalpha():
-                cue = word.lower()
-
-    def _from(self, text: str, i: int, a: int, cue: str, atoms: list[tuple[int, int]]) -> None:
-        digits = ats = dots = other = 0
-        for j in range(i, min(self.n, i + LONGEST)):
-            s, e = atoms[j]
-            w = text[s:e]
-            if w[0] in "0123456789":
-                digits += e - s
-            elif w == "@":
-                ats += 1
-            elif w == ".":
-                dots += 1
-            elif w.isspace() and w != " ":
-                return
-            elif w not in " -()+" or (w == "+" and j > i and text[s - 1] in "+ "):
-                other += 1
-            if digits > 22 or ats > 1:
-                return
-            if not (w[0] in "0123456789" or w[0].isalpha()):
-                continue
-            kinds = []
-            if ats == 1 and dots and " " not in text[a:e]:
-                kinds.append("email")
-            elif not ats and not other:
-                if dots == 3 and digits >= 4:
-                    kinds.append("ip")
-                if not dots and 13 <= digits <= 19 and text[a] != "+":
-                    kinds.append("card")
-                if 7 <= digits <= 15:
-                    kinds.append("phone")
-            elif not ats and other and text[a] in "+(0123456789":
-                return
-            left, right = text[a - 1 : a] if a else "", text[e : e + 1]
-            for k in kinds:
-                self.by_end[j + 1].append((i, k, _features(k, text[a:e], left, right, cue)))
+            if _begins(text[a]):
+                for n, kind, f in _candidates(text, atoms[i : i + LONGEST], cue):
+                    self.by_end[i + n].append((i, kind, f))
+            if text[a].isalpha():
+                cue = text[a:z].lower()
 
     def span(self, i: int, j: int) -> tuple[int, int]:
         return self.bounds[i], self.bounds[j]
@@ -211,6 +218,54 @@ def decode(s: Sentence, weights: dict[str, float]) -> list[tuple[str, int, int]]
     return out[::-1]
 
 
+def field_spans(text: str, start: int, end: int, weights: dict[str, float]) -> Iterator[tuple[str, int, int]]:
+    """What ``decode`` finds in a region, in one pass over its atoms.
+
+    No more is held than the atoms of a longest segment and the programme since the last atom
+    that no candidate segment crosses; every segmentation passes there, so nothing is lost.
+    """
+    coming = (m.span() for m in _ATOM.finditer(text, start, end))
+    ahead = deque(itertools.islice(coming, LONGEST))
+    cue, at = "", -1
+    best, back, bounds, pending = [0.0], [None], [], {}  # from the last such atom on
+
+    def done() -> list[tuple[str, int, int]]:
+        out, j = [], len(back) - 1
+        while j > 0:
+            if back[j]:
+                i, kind = back[j]
+                out.append((kind, bounds[i][0], bounds[j - 1][1]))
+                j = i
+            else:
+                j -= 1
+        return out[::-1]
+
+    while ahead:
+        i = len(bounds)
+        if i and not pending:
+            yield from done()
+            best, back, bounds, i = [0.0], [None], [], 0
+        a, z = ahead[0]
+        c = text[a]
+        if at is not None and at < a:
+            at = text.find("@", a, end)
+            at = None if at < 0 else at
+        # a segment that begins with letters can only be an email
+        if _begins(c) and (not c.isalpha() or at is not None and at < ahead[-1][1]):
+            for n, kind, f in _candidates(text, ahead, cue):
+                v = best[i] + sum(weights.get(x, 0.0) for x in f) - MARGIN
+                if i + n not in pending or v > pending[i + n][0]:
+                    pending[i + n] = v, (i, kind)
+        if c.isalpha():
+            cue = text[a:z].lower()
+        bounds.append(ahead.popleft())
+        ahead.extend(itertools.islice(coming, 1))
+        v, via = pending.pop(i + 1, (-math.inf, None))
+        best.append(max(v, best[i]))
+        back.append(via if v > best[i] else None)
+    yield from done()
+
+
 def _gradient(s: Sentence, gold: set[tuple[str, int, int]], weights: dict[str, float], grad: dict[str, float]) -> None:
     """Add the gradient of the log-likelihood: observed less expected features."""
     score = [[sum(weights.get(x, 0.0) for x in f) for _, _, f in row] for row in s.by_end]
@@ -297,9 +352,7 @@ def all_spans(text: str, weights: dict[str, float]) -> list[tuple[str, int, int]
     taken = sorted((s, e) for _, s, e in base)
     more, k = [], 0
     for a, b in regions(text) if "@" in text or _DIGIT.search(text) else ():
-        s = Sentence(text, a, b)
-        for kind, i, j in decode(s, weights):
-            x, y = s.span(i, j)
+        for kind, x, y in field_spans(text, a, b, weights):
             while k < len(taken) and taken[k][1] <= x:
                 k += 1
             if not any(p < y and x < q for p, q in taken[max(0, k - 4) : k + 4]):

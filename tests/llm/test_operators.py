@@ -238,6 +238,23 @@ def test_pii_of_odd_rows_and_long_runs(odd):
         pii.all_spans(t, pii.train())
 
 
+def test_field_sees_long_tokens_and_long_runs():
+    w, r = pii.train(), random.Random(12)
+    spans = lambda t: {(k, t[s:e]) for k, s, e in pii.all_spans(t, w)}
+    rows = ",".join(f'{{"name":"n{k}","phone":"{200 + k}-555-{1000 + k}"}}' for k in range(40))
+    assert " " not in rows and {("phone", f"{200 + k}-555-{1000 + k}") for k in range(40)} <= spans(rows)
+    assert ("phone", "212-555-0187") in spans("漢字" * 200 + "、212-555-0187、" + "文書" * 200)
+    # fields across every border of 64 tokens, none twice
+    table = "7, 8, " + ", ".join(["(212) 555 0187"] * 100)
+    assert [(k, table[s:e]) for k, s, e in pii.all_spans(table, w)] == [("phone", "(212) 555 0187")] * 100
+    # one pass finds what the whole programme finds
+    odd = ["".join(r.choice(["@", ".", "-", "+", " ", "(", ")", "1", "4111 1111 1111 1111", "555-123-4567", "12", "a", "b.c", "é", "\n", "x@y.org"]) for _ in range(r.randint(0, 120))) for _ in range(300)]
+    for t in [t for t, _ in pii._generated(150, 77)] + odd + [rows, table]:
+        for a, b in pii.regions(t):
+            s = pii.Sentence(t, a, b)
+            assert list(pii.field_spans(t, a, b, w)) == [(k, *s.span(i, j)) for k, i, j in pii.decode(s, w)]
+
+
 # --- 6 lines ----------------------------------------------------------------------------
 
 
