@@ -9,8 +9,10 @@ are hashes, so the tree needs no state that grows in one place: it is an aggrega
 
 A template that occurs in two documents or more recurs.  Lines of recurring templates are
 dropped from every document but the one of least doc_id that has the template, so that
-text that many documents share stays once.  Lines of under ``LEAST`` tokens are not
-templates and stay.  Repeats within one document are not recurrences.
+text that many documents share stays once.  The one template of a line of under ``LEAST``
+tokens is the whole line with its digits: a passage without blanks is one token, of which
+nothing would be left to tell it from others.  Of these, lines of under ``SHORT`` characters
+are not templates and stay.  Repeats within one document are not recurrences.
 
 Defined results: null and empty texts have no lines and are left as they are; documents
 with a null doc_id count as one document, after all others; rows that repeat a doc_id are
@@ -29,9 +31,10 @@ from pyspark.sql import functions as F
 from docketry.llm.text import NOT_SPACE, chunks, frugal, mix, small_batches, words
 from docketry.session import Scratch
 
-LEAD, LEAST, VARIED, RUNS = 3, 3, 8, 4
+LEAD, LEAST, SHORT, VARIED, RUNS = 3, 3, 8, 8, 4
 _STEP, _WILD = np.uint64(0xD6E8FEB86659FD93), np.uint64(0x2545F4914F6CDD1D)
 _RUN = mix(np.arange(1, RUNS + 1, dtype=np.uint64))
+_EXACT = mix(np.array([RUNS + 1], dtype=np.uint64))[0]
 _DIGIT = np.zeros(256, dtype=bool)
 _DIGIT[48:58] = True
 NO_ID = 2**63 - 1
@@ -52,10 +55,17 @@ def templates(b: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     n = np.diff(np.concatenate([first, [len(h)]]))
     pos = (np.arange(len(h)) - np.repeat(first, n)).astype(np.uint64)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h + pos * _STEP))])
+    few, m = first[n < LEAST], n[n < LEAST]
+    chars = np.concatenate([[0], np.cumsum((b & 0xC0) != 0x80)])
+    long = chars[w.ends[few + m - 1]] - chars[w.starts[few]] >= SHORT
+    few, m = few[long], m[long]
+    exact = np.zeros(len(few), np.uint64)
+    for k in range(LEAST - 1):
+        exact[m > k] += mix(w.hashes[few[m > k] + k] + np.uint64(k) * _STEP)
     first, n = first[n >= LEAST], n[n >= LEAST]
     whole = total[first + n] - total[first]
     size = n.astype(np.uint64) * _WILD
-    out = [(first, mix(whole + size))]
+    out = [(few, mix(exact + m.astype(np.uint64) * _WILD + _EXACT)), (first, mix(whole + size))]
     at, m = first[n >= VARIED], n[n >= VARIED]
     if len(at):
         whole, size = whole[n >= VARIED], size[n >= VARIED]

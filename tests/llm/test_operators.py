@@ -281,6 +281,16 @@ def test_one_varied_run_shares_a_template(spark):
     assert sorted((r["doc_id"], r["n_dropped"]) for r in rows) == [(1, 0), (2, 1), (3, 0)]
 
 
+def test_recurring_lines_without_blanks_stay_once(spark):
+    passage = "漢字文書の段落です。" * 50
+    rows = [(1, f"{passage}\nfirst own line"), (2, f"second own line\n{passage}"), (3, passage), (4, "Datenschutzerklärung lesen"), (5, "Datenschutzerklärung  lesen\nx"), (6, "https://example.org/page/17"), (7, "https://example.org/page/18"), (8, "第1章" + "本文" * 9), (9, "第2章" + "別文" * 9), (10, "ok 12"), (11, "ok 12")]
+    got = {r["doc_id"]: (r["text"], r["n_recurring"], r["n_dropped"]) for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == (rows[0][1], 1, 0) and got[2] == ("second own line", 1, 1) and got[3] == ("", 1, 1)
+    assert got[4] == ("Datenschutzerklärung lesen", 1, 0) and got[5] == ("x", 1, 1)
+    for k, t in rows[5:]:  # other lines, and lines under the least length
+        assert got[k] == (t, 0, 0)
+
+
 # --- 7 byte-level BPE -------------------------------------------------------------------
 
 
