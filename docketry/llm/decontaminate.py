@@ -14,8 +14,12 @@
 4. Phrases.  All postings of a candidate offset that agree with the item at that offset
    are gathered; runs of a window's length are occurrences, and their positions are hits.
 
-Proximity matches come from the same lists: the rarest terms of a window found at offsets
-that differ by up to ``slop``.
+Proximity matches are windows that stand in a text with up to ``SLOP`` words inserted, left
+out or replaced in all (a quarter of the words at most, so windows of under four words must
+be exact).  So many edits leave some run of a window's words whole; such runs are looked up
+by a hash, for whatever is in between need not be a benchmark word and has no posting.  The
+words about the runs found are stored and every window that holds one is tried on them.
+Exact occurrences are proximity matches too.
 
 Joins are equi-joins on terms or documents that adaptive execution can split; no list
 is gathered but the positions of one document at one offset against one item.  Rows are
@@ -37,10 +41,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from docketry.llm.text import ALNUM, chunks, frugal, small_batches, words
+from docketry.llm.text import ALNUM, chunks, frugal, mix, small_batches, words
 from docketry.session import Scratch
 
-WINDOW, SLOTS, RAREST = 13, 1 << 22, 3
+WINDOW, SLOTS, RAREST, SLOP = 13, 1 << 22, 3, 3
 
 
 def _slots(h: np.ndarray) -> np.ndarray:
@@ -117,6 +121,140 @@ def _hits(window: int):
     return run
 
 
+def _slots_of(rows: DataFrame, window: int) -> np.ndarray:
+    """The slot table of (hash, words) rows."""
+    need = np.full(SLOTS, 255, dtype=np.uint8)
+    # at most 64 pieces of 64 kB from each of at most 8 partitions
+    for r in rows.coalesce(8).mapInArrow(frugal(_slot_table(window)), "at long, need binary").toLocalIterator():
+        part = np.frombuffer(bytes(r["need"]), np.uint8)
+        need[r["at"] : r["at"] + len(part)] = np.minimum(need[r["at"] : r["at"] + len(part)], part)
+    return need
+
+
+def edits(n: int, slop: int) -> tuple[int, int]:
+    """Edits allowed in a window of n words, and the least run of its words that they leave whole."""
+    k = min(slop, n // 4)
+    return k, -(-(n - k) // (k + 1))
+
+
+def _seeds(h: np.ndarray, q: int) -> np.ndarray:
+    """A hash of every run of q words."""
+    out = np.full(max(0, len(h) - q + 1), q, dtype=np.uint64)
+    for k in range(q):
+        out = mix(out + h[k : k + len(out)])
+    return out
+
+
+def _item_seeds(window: int, slop: int):
+    """Every item's runs of the least length that edits leave, with its words (once for all its runs)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, b, o in chunks(batch.column(1)):
+                w = words(b, o, ALNUM)
+                for d in range(j - i):
+                    h = w.hashes[w.first[d] : w.first[d + 1]]
+                    n = min(window, len(h))
+                    if n:
+                        q = edits(n, slop)[1]
+                        yield pa.record_batch([batch.column(0).slice(i + d, 1), pa.array([q]), pa.array([h.view(np.int64)], pa.list_(pa.int64())), pa.array([_seeds(h, q).view(np.int64)], pa.list_(pa.int64()))], names=["item_id", "q", "item_words", "seeds"])
+
+    return run
+
+
+def _stretches(table, qs: list[int], reach: int):
+    """The words about the runs that the table admits, and where in them which run begins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        need = table.value
+        for batch in batches:
+            for i, _, b, o in chunks(batch.column(1)):
+                w = words(b, o, ALNUM)
+                found = []
+                for q in qs:
+                    seeds = _seeds(w.hashes, q)
+                    at = np.flatnonzero(need[_slots(seeds)] <= q)
+                    doc = np.searchsorted(w.first, at, side="right") - 1
+                    within = at + q <= w.first[doc + 1]
+                    found.append((at[within], doc[within], np.full(within.sum(), q), seeds[at[within]]))
+                at, doc, q, seed = (np.concatenate(x) for x in zip(*found, strict=True))
+                order = np.argsort(at, kind="stable")
+                at, doc, q, seed = at[order], doc[order], q[order], seed[order]
+                lo = np.maximum(at - reach, w.first[doc])
+                hi = np.maximum.accumulate(np.minimum(at + q + reach, w.first[doc + 1]))
+                cut = np.concatenate([[0], np.flatnonzero(lo[1:] >= hi[:-1]) + 1, [len(at)]]) if len(at) else np.zeros(1, np.int64)
+                rows = [(int(doc[x]), lo[x], hi[y - 1], x, y) for x, y in zip(cut[:-1], cut[1:], strict=True)]
+                rows_doc = pa.array([i + r[0] for r in rows], pa.int64())
+                yield pa.record_batch(
+                    [
+                        batch.column(0).take(rows_doc),
+                        batch.column(2).take(rows_doc),
+                        pa.array([r[1] - w.first[r[0]] for r in rows], pa.int64()),
+                        pa.array([w.hashes[r[1] : r[2]].view(np.int64) for r in rows], pa.list_(pa.int64())),
+                        pa.array([seed[r[3] : r[4]].view(np.int64) for r in rows], pa.list_(pa.int64())),
+                        pa.array([at[r[3] : r[4]] - r[1] for r in rows], pa.list_(pa.int64())),
+                    ],
+                    names=["doc_id", "h", "begin", "words", "seeds", "ats"],
+                )
+
+    return run
+
+
+def near_windows(item: list[int], starts: list[int], n: int, k: int, text: list[int]) -> list[int]:
+    """Those of an item's windows of n words that stand in the text with up to k edits.
+
+    Wu and Manber's automaton, the windows side by side in the bits of one number.
+    """
+    masks: dict[int, int] = {}
+    first = last = 0
+    for x, s in enumerate(starts):
+        first |= 1 << x * n
+        last |= 1 << x * n + n - 1
+        for y in range(n):
+            masks[item[s + y]] = masks.get(item[s + y], 0) | 1 << x * n + y
+    every = (1 << len(starts) * n) - 1
+    state, met = [0] * (k + 1), 0
+    for e in range(1, k + 1):
+        state[e] = (state[e - 1] << 1 | first) & every
+    for word in text:
+        mask, below, was = masks.get(word, 0), 0, 0
+        for e in range(k + 1):
+            old = state[e]
+            new = (old << 1 | first) & mask
+            if e:
+                new |= was | (was << 1 | below << 1 | first) & every
+            state[e], was, below = new, old, new
+        met |= below & last
+    return [s for x, s in enumerate(starts) if met >> x * n + n - 1 & 1]
+
+
+def _near(window: int, slop: int):
+    """Of (doc_id, h, item_id, words, item_words, ats, poss) the windows that match."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, starts = [], []
+            for r, (text, item, ats, poss) in enumerate(zip(*(batch.column(c).to_pylist() for c in (3, 4, 5, 6)), strict=True)):
+                n = min(window, len(item))
+                k, q = edits(n, slop)
+                hits, met, x = sorted(set(zip(ats, poss, strict=True))), set(), 0
+                while x < len(hits):
+                    # hits so close that one window may reach several
+                    y, begin, end = x, max(0, hits[x][0] - window - slop), 0
+                    while y < len(hits) and (y == x or hits[y][0] - window - slop < end):
+                        end = hits[y][0] + q + window + slop
+                        y += 1
+                    tried = sorted({s for _, p in hits[x:y] for s in range(max(0, p + q - n), min(p, len(item) - n) + 1)})
+                    met.update(near_windows(item, tried, n, k, text[begin:end]))
+                    x = y
+                rows += [r] * len(met)
+                starts += sorted(met)
+            at = pa.array(rows, pa.int64())
+            yield pa.record_batch([*(batch.column(c).take(at) for c in range(3)), pa.array(starts, pa.int32())], names=["doc_id", "h", "item_id", "start"])
+
+    return run
+
+
 class PositionalIndex:
     """The index of one corpus against one benchmark."""
 
@@ -125,15 +263,13 @@ class PositionalIndex:
         small_batches(spark)
         self.window, self.rarest, self.scratch = window, rarest, Scratch(spark, "index")
         items = items.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).alias("text")).where("item_id is not null")
+        self.item_texts = items
         self.items = self.scratch.table(items.mapInArrow(frugal(_item_words), "item_id string, pos int, term long, n int").distinct(), "items")
-        need = np.full(SLOTS, 255, dtype=np.uint8)
-        # at most 64 pieces of 64 kB from each of at most 8 partitions
-        for r in self.items.select("term", "n").coalesce(8).mapInArrow(frugal(_slot_table(window)), "at long, need binary").toLocalIterator():
-            part = np.frombuffer(bytes(r["need"]), np.uint8)
-            need[r["at"] : r["at"] + len(part)] = np.minimum(need[r["at"] : r["at"] + len(part)], part)
+        need = _slots_of(self.items.select("term", "n"), window)
         need_table = spark.sparkContext.broadcast(need)
         texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("h"))
         kind = texts.schema["doc_id"].dataType.simpleString()
+        self.doc_texts = texts
         self.texts = self.scratch.table(texts.mapInArrow(frugal(_postings(need_table)), f"doc_id {kind}, h long, n_words long, terms array<long>, places array<int>"), "texts")
         one = self.texts.where("size(terms) > 0").groupBy("doc_id", "h").agg(F.first("terms").alias("terms"), F.first("places").alias("places"))
         rows = one.select("doc_id", "h", F.explode(F.arrays_zip("terms", "places")).alias("p"))
@@ -177,15 +313,32 @@ class PositionalIndex:
         kind = f"doc_id {self.texts.schema['doc_id'].dataType.simpleString()}, h long, item_id string, delta int, positions array<int>"
         return groups.select("doc_id", "h", "item_id", "delta", "n", "places").mapInArrow(frugal(_hits(self.window)), kind).where("size(positions) > 0")
 
-    def proximity(self, slop: int = 3) -> DataFrame:
-        """(doc_id, h, item_id, start): windows whose two rarest words stand within ``slop`` of their distance."""
-        one, two = self._listed(1), self._listed(2).withColumnsRenamed({"doc_id": "d", "h": "e", "item_id": "i", "start": "s", "delta": "delta2"})
-        same = F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("e") == F.col("h")) & (F.col("i") == F.col("item_id")) & (F.col("s") == F.col("start"))
-        return one.join(two, same & (F.abs(F.col("delta") - F.col("delta2")) <= slop)).select("doc_id", "h", "item_id", "start").distinct()
-
-
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20, **cols: str) -> DataFrame:
-    """(doc_id, h, n_words, n_hit, items, contaminated) of every row of ``docs``; items sorted as strings."""
+    def proximity(self, slop: int = SLOP) -> DataFrame:
+        """(doc_id, h, item_id, start): the windows that stand in a text with up to ``slop`` edits."""
+        kind = self.texts.schema["doc_id"].dataType.simpleString()
+        items = self.scratch.table(self.item_texts.mapInArrow(frugal(_item_seeds(self.window, slop)), "item_id string, q long, item_words array<long>, seeds array<long>").distinct(), "seeds")
+        seeds = items.select("item_id", F.xxhash64("item_words").alias("v"), "q", F.posexplode("seeds").alias("pos", "seed"))
+        qs = sorted(r["q"] for r in items.select("q").distinct().collect())  # at most one for each length up to the window's
+        if not qs:
+            return self.doc_texts.limit(0).select("doc_id", "h", F.lit("").alias("item_id"), F.lit(0).alias("start"))
+        need = _slots_of(seeds.select("seed", F.col("q").cast("int").alias("n")), self.window)
+        shared = self.doc_texts.sparkSession.sparkContext.broadcast(need)
+        found = self.doc_texts.mapInArrow(frugal(_stretches(shared, qs, self.window + slop)), f"doc_id {kind}, h long, begin long, words array<long>, seeds array<long>, ats array<long>")
+        near = self.scratch.table(found, "stretches").dropDuplicates(["doc_id", "h", "begin"])
+        hits = near.select("doc_id", "h", "begin", F.explode(F.arrays_zip("seeds", "ats")).alias("x")).select("doc_id", "h", "begin", F.col("x.seeds").alias("seed"), F.col("x.ats").alias("at"))
+        pairs = hits.join(seeds, "seed").groupBy("doc_id", "h", "begin", "item_id", "v").agg(F.collect_list(F.struct("at", "pos")).alias("hits"))
+        text = near.select(F.col("doc_id").alias("d"), F.col("h").alias("e"), F.col("begin").alias("b"), "words")
+        whole = pairs.join(text, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("e") == F.col("h")) & (F.col("b") == F.col("begin")))
+        whole = whole.join(items.select("item_id", F.xxhash64("item_words").alias("v"), "item_words"), ["item_id", "v"])
+        rows = whole.select("doc_id", "h", "item_id", "words", "item_words", F.col("hits.at").alias("ats"), F.col("hits.pos").cast("array<long>").alias("poss"))
+        return rows.mapInArrow(frugal(_near(self.window, slop)), f"doc_id {kind}, h long, item_id string, start int").distinct()
+
+
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20, slop: int | None = None, **cols: str) -> DataFrame:
+    """(doc_id, h, n_words, n_hit, items, contaminated) of every row of ``docs``; items sorted as strings.
+
+    With ``slop`` also near_items, the items of which a window is in the text with so many edits.
+    """
     index = PositionalIndex(docs, items, window=window, **cols)
     found = index.scratch.table(index.phrases().select("doc_id", "h", "item_id", "positions"), "phrases")
     hit = found.select("doc_id", "h", F.explode("positions").alias("p")).distinct().groupBy("doc_id", "h").agg(F.count("*").alias("n_hit"))
@@ -193,17 +346,25 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
     marks = hit.join(named, hit.doc_id.eqNullSafe(named.doc_id) & (hit.h == named.h)).select(hit.doc_id.alias("d"), hit.h.alias("e"), "n_hit", "items")
     out = index.texts.select("doc_id", "h", "n_words").join(marks, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("e") == F.col("h")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return out.select("doc_id", "h", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"))
+    out = out.select("doc_id", "h", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"))
+    if slop is None:
+        return out
+    near = index.proximity(slop).groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("item_id")).alias("near")).withColumnsRenamed({"doc_id": "d", "h": "e"})
+    out = out.join(near, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("e") == F.col("h")), "left").drop("d", "e")
+    return out.withColumn("near", F.coalesce("near", F.array().cast("array<string>"))).withColumnRenamed("near", "near_items")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole ``documents`` against the whole ``benchmark``, windows of 13 words."""
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
-    return decontaminate(docs, items).select(
+    digest = lambda c: F.sha2(F.array_join(c, ",").cast("binary"), 256)
+    return decontaminate(docs, items, slop=SLOP).select(
         "doc_id",
         "n_words",
         "n_hit",
         F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        digest("items").alias("items_sha256"),
         "contaminated",
+        F.size("near_items").cast("long").alias("n_near_items"),
+        digest("near_items").alias("near_items_sha256"),
     )

@@ -138,6 +138,53 @@ def test_proximity_finds_what_phrases_miss(spark):
     assert {r["doc_id"] for r in index.proximity(3).collect()} <= {1}
 
 
+def edit_distance_within(pattern, words, k):
+    row = [0] * (len(words) + 1)
+    for i, x in enumerate(pattern, 1):
+        new = [i]
+        for j, y in enumerate(words, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return min(row) <= k
+
+
+def test_proximity_matches_brute_force(spark):
+    item = " ".join(f"t{k}" for k in range(13))
+    r = random.Random(11)
+    words = [f"w{k}" for k in range(12)]
+    line = lambda n: " ".join(r.choice(words) for _ in range(n))
+    items = [(7, item), (8, line(30)), (9, line(6)), (10, "w1 w2"), (11, line(4)), (12, line(9)), (13, None), (14, ""), (15, item.upper())]
+
+    def edited(t):
+        w = t.split()
+        for _ in range(r.randint(0, 5)):
+            p = r.randrange(len(w) + 1)
+            w[p : p + r.randint(0, 1)] = [r.choice(["foreign", "x", "w3"])] * r.randint(0, 1)
+        return " ".join(w)
+
+    docs = [(1, item.replace("t6", "foreign t6")), (2, item.replace("t6", "foreign")), (3, item.replace("t6 ", "")), (4, "t1 t2"), (5, None), (6, ""), (None, item.replace("t6", "foreign t6")), (7, f"a b {item.replace('t3', 'q r t3').replace('t9', 'z')} c d"), (7, "again"), (8, item.replace("t6", "q r s u t6"))]
+    docs += [(100 + k, f"{line(r.randint(0, 6))} {edited(r.choice(items)[1] or line(8))} {line(r.randint(0, 6))}") for k in range(60)]
+    docs += [(200, f"{items[1][1]} " * 3 + "x " * 100 + edited(items[1][1])), (200, items[1][1]), (200, items[1][1])]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = set()
+    for i, t in docs:
+        for k, x in items:
+            x, w = (x or "").lower().split(), (t or "").lower().split()
+            n = min(13, len(x))
+            for s in range(len(x) - n + 1) if x else ():
+                if edit_distance_within(x[s : s + n], w, min(3, n // 4)):
+                    want.add((i, str(k), s, t))
+    hashes = {(x["doc_id"], x["h"]): x["text"] for x in d.withColumn("h", F.xxhash64("text")).collect()}
+    got = {(x["doc_id"], x["item_id"], x["start"], hashes[x["doc_id"], x["h"]]) for x in decontaminate.PositionalIndex(d, b).proximity(3).collect()}
+    assert got == want and {i for i, k, _, _ in want if k == "7" and (i or 0) < 100} == {1, 2, 3, 7, None}
+    out = decontaminate.decontaminate(d, b, slop=3).collect()
+    assert len(out) == len(docs)
+    for x in out:
+        t = hashes[x["doc_id"], x["h"]]
+        assert x["near_items"] == sorted({k for i, k, _, u in want if (i, u) == (x["doc_id"], t)}) and set(x["items"]) <= set(x["near_items"])
+    assert decontaminate.PositionalIndex(d, b.limit(0)).proximity(3).count() == 0
+
+
 # --- 3 archives -------------------------------------------------------------------------
 
 
