@@ -55,3 +55,20 @@ def test_explorer_refuses(spark):
 
         e.list(Filters(), "odd")
     assert F.col("x") is not None
+
+
+def test_pairs_and_decisions_are_over_the_whole_table(spark, tmp_path):
+    from docketry.plans import registry
+
+    names = [(1, "Acme Labs", 3), (2, "Acme Labs Inc", 3), (3, "Acme Laboratories", 3), (4, "Borealis", 3), (5, "Acme Labs", 4), (7, "Borealis", 3), (9, "Solo", 9)]
+    spark.createDataFrame(names, "s_suppkey long, s_name string, s_nationkey int").write.parquet(str(tmp_path / "supplier.parquet"))
+    pairs = registry.queries()["do09_pair_scores"](spark, str(tmp_path)).collect()
+    want = {(a, b) for a, x, m in names for b, y, n in names if m == n and x[:5].upper() == y[:5].upper()}
+    assert sorted((r["l_id"], r["r_id"]) for r in pairs) == sorted(want)
+    score = {(r["l_id"], r["r_id"]): r["score"] for r in pairs}
+    got = {r["id"]: r for r in registry.queries()["do12_resolution_decisions"](spark, str(tmp_path)).collect()}
+    assert set(got) == {k for k, _, _ in names}
+    for k, r in got.items():
+        best = sorted(((v, b) for (a, b), v in score.items() if a == k), reverse=True)
+        assert (r["score"], r["candidate_id"]) == best[0]
+        assert r["margin"] == pytest.approx(best[0][0] - (best[1][0] if len(best) > 1 else 0), abs=1e-6)
