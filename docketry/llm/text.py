@@ -1,26 +1,28 @@
 """Vectorised word hashing over Arrow string columns.
 
 All words of a chunk of documents are found and hashed with a handful of numpy passes
-over the UTF-8 bytes, so that no Python object is made per word.  A word's hash is a
-polynomial hash modulo 2**64 of randomised byte values, taken from prefix sums (the base
-is odd, so its powers have inverses), then mixed with the word's length.
+over the UTF-8 bytes, so that no Python object is made per word.  A word's hash chains a
+mixing function over its blocks of eight bytes, each loaded for all words at once; words
+of more than ``LONG`` bytes are hashed one by one with BLAKE2b.  Hashes have 64 bits and
+no algebraic structure, so two given words collide with a chance of 2**-64.
 """
 
 from __future__ import annotations
 
 import ctypes
 import functools
+import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-_RNG = np.random.default_rng(20240229)
-_VALUE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_INV = pow(_BASE, -1, 2**64)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_SEED = 0x9E3779B97F4A7C15
+#: Masks that keep the first k bytes of a little-endian block.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+LONG = 256
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -60,16 +62,20 @@ def frugal(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
-            _POWERS.forget()
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-            except (OSError, AttributeError):  # another libc: nothing to trim
-                pass
+            give_back()
 
     return held
 
 
+def give_back() -> None:
+    """Return what the allocators hold but don't use to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another libc: nothing to trim
+        pass
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser on uint64 arrays."""
     h = (h ^ (h >> np.uint64(30))) * _M1
@@ -77,30 +83,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-class _Powers:
-    """Powers of the base and of its inverse, grown on demand."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, dtype=np.uint64)
-
-    def forget(self) -> None:
-        """Drop what a long text made grow."""
-        if len(self.up) > CHUNK_BYTES + 64:
-            self.__init__()
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << (n - 1).bit_length()
-            up, down = np.empty(size, dtype=np.uint64), np.empty(size, dtype=np.uint64)
-            up[0] = down[0] = 1
-            up[1:], down[1:] = np.uint64(_BASE), np.uint64(_INV)
-            self.up, self.down = np.cumprod(up), np.cumprod(down)
-        return self.up, self.down
-
-
-_POWERS = _Powers()
-
-
 @dataclass
 class Words:
     """Words of a chunk: hash, byte span in ``data``; those of document i are first[i]:first[i+1]."""
@@ -149,12 +131,24 @@ def words(b: np.ndarray, o: np.ndarray, is_word: np.ndarray, lower: np.ndarray =
     after[cut] = False
     starts = np.flatnonzero(inside & ~before)
     ends = np.flatnonzero(inside & ~after) + 1
-    up, down = _POWERS.get(n + 1)
-    total = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum(_VALUE[low] * up[:n], out=total[1:])
-    h = (total[ends] - total[starts]) * down[starts]
-    h = mix(h + (ends - starts).astype(np.uint64) * _M2)
-    return Words(low, h, starts, ends, np.searchsorted(starts, o))
+    return Words(low, _hashes(low, starts, ends), starts, ends, np.searchsorted(starts, o))
+
+
+def _hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The hashes of the byte spans."""
+    n, size = len(low), ends - starts
+    padded = np.zeros(n + 8, dtype=np.uint8)
+    padded[:n] = low
+    block = np.ndarray((n + 1,), "<u8", padded, 0, (1,))  # the eight bytes from each byte on
+    h = mix(size.astype(np.uint64) * _M2 + np.uint64(_SEED))
+    at, k = np.flatnonzero(size <= LONG), 0
+    while len(at):
+        rest = size[at] - 8 * k
+        h[at] = mix(h[at] * _M1 + (block[starts[at] + 8 * k] & _FIRST[np.minimum(rest, 8)]))
+        at, k = at[rest > 8], k + 1
+    for x in np.flatnonzero(size > LONG):
+        h[x] = int.from_bytes(hashlib.blake2b(low[starts[x] : ends[x]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def word_hashes(text: str, is_word: np.ndarray) -> np.ndarray:
