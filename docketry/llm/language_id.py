@@ -4,7 +4,8 @@ A text's vector counts byte trigrams (letters lower-cased, other ASCII read as s
 ``DIMS`` hashed dimensions, weighs them by 1 + log count and inverse document frequency
 and normalises.  Each language has up to ``CENTROIDS`` centroids, from spherical k-means
 on a sample of labelled documents of about ``SAMPLE`` rows in all, spread evenly over the
-languages and chosen by a hash; that bound is a parameter.  The prediction is the language
+``LANGUAGES`` commonest languages and chosen by a hash; both bounds are parameters.  The
+sample's vectors are made on executors and stay sparse on the driver.  The prediction is the language
 of the nearest centroid by cosine, which is also the score.  A text further from its
 centroid than ``REJECT`` times the cosine that 99 % of the centroid's own training
 documents reach, or 99 % of the language's if that is more, is rejected: a centroid of one
@@ -28,9 +29,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docketry.llm.text import chunks, frugal, small_batches
+from docketry.llm.text import chunks, frugal, give_back, small_batches
 
-DIMS, CENTROIDS, SAMPLE, REJECT = 4096, 4, 6000, 0.6
+DIMS, CENTROIDS, SAMPLE, LANGUAGES, REJECT = 4096, 4, 6000, 300, 0.6
 _DOCS = 128
 
 _NORMAL = np.full(256, 32, dtype=np.uint64)
@@ -87,58 +88,95 @@ def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _clusters(v: np.ndarray, k: int) -> np.ndarray:
+class Rows:
+    """Sparse rows: dimensions and values of row i are at first[i]:first[i+1]."""
+
+    def __init__(self, at: np.ndarray, values: np.ndarray, sizes: np.ndarray):
+        self.at, self.values, self.first = at, values, np.concatenate([[0], np.cumsum(sizes)])
+
+    def __len__(self) -> int:
+        return len(self.first) - 1
+
+    def dot(self, dense: np.ndarray) -> np.ndarray:
+        """The product with each row of ``dense``, one at a time; no row is empty."""
+        return np.stack([np.add.reduceat(self.values * d[self.at], self.first[:-1]) for d in dense], axis=1)
+
+    def take(self, rows: np.ndarray) -> Rows:
+        sizes = np.diff(self.first)[rows]
+        of = np.repeat(self.first[rows] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+        return Rows(self.at[of], self.values[of], sizes)
+
+    def sums(self, own: np.ndarray, k: int) -> np.ndarray:
+        """The sums of the rows by cluster."""
+        each = np.repeat(own, np.diff(self.first))
+        return np.stack([np.bincount(self.at[each == x], self.values[each == x], DIMS) for x in range(k)]).astype(np.float32)
+
+    def dense(self, row: int) -> np.ndarray:
+        i, j = self.first[row : row + 2]
+        return np.bincount(self.at[i:j], self.values[i:j], DIMS).astype(np.float32)
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    return v / max(np.linalg.norm(v), 1e-12)
+
+
+def _clusters(v: Rows, k: int) -> np.ndarray:
     """Spherical k-means from a farthest-first start."""
-    mean = v.mean(axis=0)
-    start = [mean / max(np.linalg.norm(mean), 1e-12)]
+    start = [_unit(v.sums(np.zeros(len(v), np.int64), 1)[0])]
     while len(start) < min(k, len(v)):
-        start.append(v[np.argmin((v @ np.array(start).T).max(axis=1))])
+        start.append(v.dense(int(v.dot(np.array(start)).max(axis=1).argmin())))
     c = np.array(start, dtype=np.float32)
     for _ in range(10):
-        own = (v @ c.T).argmax(axis=1)
-        for x in range(len(c)):
-            if (own == x).any():
-                m = v[own == x].sum(axis=0)
-                c[x] = m / max(np.linalg.norm(m), 1e-12)
+        own = v.dot(c).argmax(axis=1)
+        sums = v.sums(own, len(c))
+        for x in np.unique(own):
+            c[x] = _unit(sums[x])
     return c
 
 
-def fit(rows: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, reject: float = REJECT) -> Model | None:
-    """Learn from (lang, text, salt); ``salt`` is any stable column that spreads the sample."""
-    small_batches(rows.sparkSession)
-    rows = rows.where("lang is not null and text is not null")
-    seen = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().toLocalIterator()}
+def _sampled(rows: DataFrame, sample: int, languages: int) -> tuple[np.ndarray, Rows] | None:
+    """Language and trigram counts of the sample, in an order that no partitioning changes."""
+    counted = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages)
+    seen = {r["lang"]: r["count"] for r in counted.collect()}  # at most ``languages`` rows
     if not seen:
         return None
-    each = max(40, sample // len(seen))
+    each = max(1, sample // len(seen))
     share = F.create_map(*(F.lit(x) for lang, n in sorted(seen.items()) for x in (lang, min(1.0, each / n))))
     part = F.pmod(F.xxhash64("salt"), F.lit(1 << 30)) / float(1 << 30)
-    found = rows.where(part < share[F.col("lang")]).select("lang", "text").mapInArrow(frugal(_sparse), "lang string, at array<int>, n array<float>").toArrow()
+    found = rows.where(part < share[F.col("lang")]).select("lang", "text").mapInArrow(frugal(_sparse), "lang string, at array<int>, n array<float>").where("size(at) > 0").toArrow()
     if not found.num_rows:
         return None
+    flat = lambda c: np.concatenate([x.flatten().to_numpy() for x in found.column(c).chunks])
     lang = np.array(found.column("lang").to_pylist(), dtype=object)
-    c = np.zeros((len(lang), DIMS), dtype=np.float32)
-    for k, (at, n) in enumerate(zip(found.column("at"), found.column("n"), strict=True)):
-        c[k, at.values.to_numpy()] = n.values.to_numpy()
-    # a fixed order, whatever partition each came from
-    order = np.lexsort((c @ np.sin(np.arange(DIMS, dtype=np.float32)), lang.astype(str)))
-    lang, c = lang[order], c[order]
-    idf = (np.log((1 + len(c)) / (1 + (c > 0).sum(axis=0))) + 1).astype(np.float32)
-    v = _vectors(c, idf)
+    v = Rows(flat("at"), flat("n"), np.concatenate([np.diff(x.offsets.to_numpy()) for x in found.column("at").chunks]))
+    order = np.lexsort((v.dot(np.sin(np.arange(DIMS, dtype=np.float32))[None])[:, 0], lang.astype(str)))
+    return lang[order], v.take(order)
+
+
+def fit(rows: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS, reject: float = REJECT, languages: int = LANGUAGES) -> Model | None:
+    """Learn from (lang, text, salt); ``salt`` is any stable column that spreads the sample."""
+    small_batches(rows.sparkSession)
+    found = _sampled(rows.where("lang is not null and text is not null"), sample, languages)
+    if found is None:
+        return None
+    lang, v = found
+    idf = (np.log((1 + len(v)) / (1 + np.bincount(v.at, minlength=DIMS))) + 1).astype(np.float32)
+    v.values = ((1 + np.log(v.values)) * idf[v.at]).astype(np.float32)
+    norm = np.sqrt(np.add.reduceat(v.values.astype(np.float64) ** 2, v.first[:-1]))
+    v.values /= np.repeat(norm, np.diff(v.first)).astype(np.float32)
     names, all_, least = [], [], []
     for x in sorted(set(lang)):
-        own = v[lang == x]
-        own = own[np.linalg.norm(own, axis=1) > 0]
-        if not len(own):
-            continue
+        own = v.take(np.flatnonzero(lang == x))
         k = _clusters(own, centroids)
-        cos = own @ k.T
+        cos = own.dot(k)
         of, top = cos.argmax(axis=1), cos.max(axis=1)
         near = np.quantile(top, 0.01)
         names += [x] * len(k)
         all_.append(k)
         least += [reject * max(near, np.quantile(top[of == i], 0.01) if (of == i).any() else near) for i in range(len(k))]
-    return Model(names, idf, np.concatenate(all_), np.array(least)) if names else None
+    del found, v, own
+    give_back()
+    return Model(names, idf, np.concatenate(all_), np.array(least))
 
 
 def predict(df: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
