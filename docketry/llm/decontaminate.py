@@ -28,7 +28,8 @@ that share an id but not a text get their own.
 
 Defined results: null or wordless text has no words and no hits and isn't contaminated;
 null doc_ids are judged like others; benchmark items that are null or wordless match
-nothing; equal items all match; null item_ids match nothing; other columns are not read.
+nothing; equal items all match; texts that share an item_id are searched one by one and
+named by the one id; null item_ids match nothing; other columns are not read.
 """
 
 from __future__ import annotations
@@ -60,7 +61,7 @@ def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             pos = np.arange(len(w.hashes)) - np.repeat(w.first[:-1], n)
             yield pa.record_batch(
                 [part.take(pa.array(np.repeat(np.arange(j - i), n))), pa.array(pos, pa.int32()), pa.array(w.hashes.view(np.int64)), pa.array(np.repeat(n, n), pa.int32())],
-                names=["item_id", "pos", "term", "n"],
+                names=["item", "pos", "term", "n"],
             )
 
 
@@ -116,7 +117,7 @@ def _hits(window: int):
                 p = np.unique(found.values.to_numpy(zero_copy_only=False))
                 cut = np.flatnonzero(np.diff(p) != 1) + 1
                 out.append(np.concatenate([np.zeros(0, np.int32), *(r for r in np.split(p, cut) if len(r) >= min(window, n))]))
-            yield pa.record_batch([*(batch.column(k) for k in range(4)), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "h", "item_id", "delta", "positions"])
+            yield pa.record_batch([*(batch.column(k) for k in range(4)), pa.array(out, pa.list_(pa.int32()))], names=["doc_id", "h", "item", "delta", "positions"])
 
     return run
 
@@ -157,7 +158,7 @@ def _item_seeds(window: int, slop: int):
                     n = min(window, len(h))
                     if n:
                         q = edits(n, slop)[1]
-                        yield pa.record_batch([batch.column(0).slice(i + d, 1), pa.array([q]), pa.array([h.view(np.int64)], pa.list_(pa.int64())), pa.array([_seeds(h, q).view(np.int64)], pa.list_(pa.int64()))], names=["item_id", "q", "item_words", "seeds"])
+                        yield pa.record_batch([batch.column(0).slice(i + d, 1), pa.array([q]), pa.array([h.view(np.int64)], pa.list_(pa.int64())), pa.array([_seeds(h, q).view(np.int64)], pa.list_(pa.int64()))], names=["item", "q", "item_words", "seeds"])
 
     return run
 
@@ -229,7 +230,7 @@ def near_windows(item: list[int], starts: list[int], n: int, k: int, text: list[
 
 
 def _near(window: int, slop: int):
-    """Of (doc_id, h, item_id, words, item_words, ats, poss) the windows that match."""
+    """Of (doc_id, h, item, words, item_words, ats, poss) the windows that match."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,7 +251,7 @@ def _near(window: int, slop: int):
                 rows += [r] * len(met)
                 starts += sorted(met)
             at = pa.array(rows, pa.int64())
-            yield pa.record_batch([*(batch.column(c).take(at) for c in range(3)), pa.array(starts, pa.int32())], names=["doc_id", "h", "item_id", "start"])
+            yield pa.record_batch([*(batch.column(c).take(at) for c in range(3)), pa.array(starts, pa.int32())], names=["doc_id", "h", "item", "start"])
 
     return run
 
@@ -261,10 +262,13 @@ class PositionalIndex:
     def __init__(self, docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, rarest: int = RAREST):
         spark = docs.sparkSession
         small_batches(spark)
-        self.window, self.rarest, self.scratch = window, rarest, Scratch(spark, "index")
+        self.window, self.rarest, self.scratch, self.made = window, rarest, Scratch(spark, "index"), []
         items = items.select(F.col(item_col).cast("string").alias("item_id"), F.col(item_text_col).alias("text")).where("item_id is not null")
-        self.item_texts = items
-        self.items = self.scratch.table(items.mapInArrow(frugal(_item_words), "item_id string, pos int, term long, n int").distinct(), "items")
+        # an item is an id with a text
+        items = items.withColumn("item", F.xxhash64("item_id", "text"))
+        self.names = self._made(items.select("item", "item_id").distinct(), "names")
+        self.item_texts = items.select("item", "text")
+        self.items = self._made(self.item_texts.mapInArrow(frugal(_item_words), "item long, pos int, term long, n int").distinct(), "items")
         need = _slots_of(self.items.select("term", "n"), window)
         need_table = spark.sparkContext.broadcast(need)
         texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("h"))
@@ -273,65 +277,78 @@ class PositionalIndex:
         self.texts = self.scratch.table(texts.mapInArrow(frugal(_postings(need_table)), f"doc_id {kind}, h long, n_words long, terms array<long>, places array<int>"), "texts")
         one = self.texts.where("size(terms) > 0").groupBy("doc_id", "h").agg(F.first("terms").alias("terms"), F.first("places").alias("places"))
         rows = one.select("doc_id", "h", F.explode(F.arrays_zip("terms", "places")).alias("p"))
-        self.postings = self.scratch.table(rows.select("doc_id", "h", F.col("p.terms").alias("term"), F.col("p.places").alias("place")), "postings")
-        self.anchors = self.scratch.table(self._anchors(), "anchors")
+        self.postings = self._made(rows.select("doc_id", "h", F.col("p.terms").alias("term"), F.col("p.places").alias("place")), "postings")
+        self.anchors = self._made(self._anchors(), "anchors")
 
     def _anchors(self) -> DataFrame:
-        """(item_id, start, rank, term, pos): the rarest words of every window, rarest first."""
+        """(item, start, rank, term, pos): the rarest words of every window, rarest first."""
         often = self.postings.groupBy("term").count()
         known = self.items.join(often, "term", "left").fillna(0, ["count"])
         starts = F.sequence(F.greatest(F.lit(0), F.col("pos") - (self.window - 1)), F.greatest(F.lit(0), F.least("pos", F.col("n") - self.window)))
         each = known.withColumn("start", F.explode(F.when(F.col("n") <= self.window, F.array(F.lit(0))).otherwise(starts)))
-        rank = F.row_number().over(W.partitionBy("item_id", "start").orderBy("count", "pos"))
-        return each.withColumn("rank", rank).where(F.col("rank") <= self.rarest).select("item_id", "start", "rank", "term", "pos", "count")
+        rank = F.row_number().over(W.partitionBy("item", "start").orderBy("count", "pos"))
+        return each.withColumn("rank", rank).where(F.col("rank") <= self.rarest).select("item", "start", "rank", "term", "pos", "count")
 
     def _listed(self, rank: int) -> DataFrame:
         """Offsets at which the words of this rank stand; equal ones of overlapping windows count once."""
-        a = self.anchors.where(F.col("rank") == rank).select("item_id", "start", "term", "pos")
-        return a.join(self.postings, "term").select("doc_id", "h", "item_id", "start", (F.col("place") - F.col("pos")).alias("delta"))
+        a = self.anchors.where(F.col("rank") == rank).select("item", "start", "term", "pos")
+        return a.join(self.postings, "term").select("doc_id", "h", "item", "start", (F.col("place") - F.col("pos")).alias("delta"))
 
     def candidates(self) -> DataFrame:
-        """Distinct (doc_id, h, item_id, delta) at which all chosen words of a window stand."""
-        least = self.anchors.groupBy("item_id", "start").agg(F.max("rank").alias("ranks"), F.min("count").alias("c")).where("c > 0")
-        found = self._listed(1).join(least, ["item_id", "start"])
-        a = self.anchors.select(F.col("item_id").alias("i"), F.col("start").alias("s"), F.col("rank").alias("r"), F.col("term").alias("t"), F.col("pos").alias("p"))
+        """Distinct (doc_id, h, item, delta) at which all chosen words of a window stand."""
+        least = self.anchors.groupBy("item", "start").agg(F.max("rank").alias("ranks"), F.min("count").alias("c")).where("c > 0")
+        found = self._listed(1).join(least, ["item", "start"])
+        a = self.anchors.select(F.col("item").alias("i"), F.col("start").alias("s"), F.col("rank").alias("r"), F.col("term").alias("t"), F.col("pos").alias("p"))
         p = self.postings.select(F.col("doc_id").alias("d"), F.col("h").alias("e"), F.col("term").alias("u"), F.col("place").alias("q"))
         for rank in range(2, self.rarest + 1):
-            part = found.where(F.col("ranks") >= rank).join(a.where(F.col("r") == rank), (F.col("i") == F.col("item_id")) & (F.col("s") == F.col("start")))
+            part = found.where(F.col("ranks") >= rank).join(a.where(F.col("r") == rank), (F.col("i") == F.col("item")) & (F.col("s") == F.col("start")))
             same = F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("e") == F.col("h")) & (F.col("u") == F.col("t")) & (F.col("q") == F.col("p") + F.col("delta"))
             kept = part.join(p, same, "left_semi").select(*found.columns)
             found = kept.unionByName(found.where(F.col("ranks") < rank))
-        return found.select("doc_id", "h", "item_id", "delta").distinct()
+        return found.select("doc_id", "h", "item", "delta").distinct()
 
     def phrases(self) -> DataFrame:
         """(doc_id, h, item_id, delta, positions): the words of each text in exact occurrences of a window."""
-        c = self.scratch.table(self.candidates(), "candidates")
+        c = self._made(self.candidates(), "candidates")
         p = self.postings.select(F.col("doc_id").alias("d"), F.col("h").alias("e"), "term", "place")
         near = c.join(p, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("e") == F.col("h"))).withColumn("pos", F.col("place") - F.col("delta"))
-        agree = near.join(self.items, ["item_id", "pos", "term"])
-        groups = agree.groupBy("doc_id", "h", "item_id", "delta").agg(F.max("n").alias("n"), F.collect_set("place").alias("places"))
-        kind = f"doc_id {self.texts.schema['doc_id'].dataType.simpleString()}, h long, item_id string, delta int, positions array<int>"
-        return groups.select("doc_id", "h", "item_id", "delta", "n", "places").mapInArrow(frugal(_hits(self.window)), kind).where("size(positions) > 0")
+        agree = near.join(self.items, ["item", "pos", "term"])
+        groups = agree.groupBy("doc_id", "h", "item", "delta").agg(F.max("n").alias("n"), F.collect_set("place").alias("places"))
+        kind = f"doc_id {self.texts.schema['doc_id'].dataType.simpleString()}, h long, item long, delta int, positions array<int>"
+        return self.named(groups.select("doc_id", "h", "item", "delta", "n", "places").mapInArrow(frugal(_hits(self.window)), kind).where("size(positions) > 0"))
+
+    def _made(self, df: DataFrame, name: str) -> DataFrame:
+        """A table that close() deletes."""
+        self.made.append(self.scratch.table(df, name))
+        return self.made[-1]
+
+    def named(self, found: DataFrame) -> DataFrame:
+        """With each item's id in place of its key."""
+        return found.join(self.names, "item").drop("item")
+
+    def close(self) -> None:
+        """Delete all tables but ``texts``."""
+        self.scratch.drop(*self.made)
 
     def proximity(self, slop: int = SLOP) -> DataFrame:
         """(doc_id, h, item_id, start): the windows that stand in a text with up to ``slop`` edits."""
         kind = self.texts.schema["doc_id"].dataType.simpleString()
-        items = self.scratch.table(self.item_texts.mapInArrow(frugal(_item_seeds(self.window, slop)), "item_id string, q long, item_words array<long>, seeds array<long>").distinct(), "seeds")
-        seeds = items.select("item_id", F.xxhash64("item_words").alias("v"), "q", F.posexplode("seeds").alias("pos", "seed"))
+        items = self._made(self.item_texts.mapInArrow(frugal(_item_seeds(self.window, slop)), "item long, q long, item_words array<long>, seeds array<long>").distinct(), "seeds")
+        seeds = items.select("item", "q", F.posexplode("seeds").alias("pos", "seed"))
         qs = sorted(r["q"] for r in items.select("q").distinct().collect())  # at most one for each length up to the window's
         if not qs:
             return self.doc_texts.limit(0).select("doc_id", "h", F.lit("").alias("item_id"), F.lit(0).alias("start"))
         need = _slots_of(seeds.select("seed", F.col("q").cast("int").alias("n")), self.window)
         shared = self.doc_texts.sparkSession.sparkContext.broadcast(need)
         found = self.doc_texts.mapInArrow(frugal(_stretches(shared, qs, self.window + slop)), f"doc_id {kind}, h long, begin long, words array<long>, seeds array<long>, ats array<long>")
-        near = self.scratch.table(found, "stretches").dropDuplicates(["doc_id", "h", "begin"])
+        near = self._made(found, "stretches").dropDuplicates(["doc_id", "h", "begin"])
         hits = near.select("doc_id", "h", "begin", F.explode(F.arrays_zip("seeds", "ats")).alias("x")).select("doc_id", "h", "begin", F.col("x.seeds").alias("seed"), F.col("x.ats").alias("at"))
-        pairs = hits.join(seeds, "seed").groupBy("doc_id", "h", "begin", "item_id", "v").agg(F.collect_list(F.struct("at", "pos")).alias("hits"))
+        pairs = hits.join(seeds, "seed").groupBy("doc_id", "h", "begin", "item").agg(F.collect_list(F.struct("at", "pos")).alias("hits"))
         text = near.select(F.col("doc_id").alias("d"), F.col("h").alias("e"), F.col("begin").alias("b"), "words")
         whole = pairs.join(text, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("e") == F.col("h")) & (F.col("b") == F.col("begin")))
-        whole = whole.join(items.select("item_id", F.xxhash64("item_words").alias("v"), "item_words"), ["item_id", "v"])
-        rows = whole.select("doc_id", "h", "item_id", "words", "item_words", F.col("hits.at").alias("ats"), F.col("hits.pos").cast("array<long>").alias("poss"))
-        return rows.mapInArrow(frugal(_near(self.window, slop)), f"doc_id {kind}, h long, item_id string, start int").distinct()
+        whole = whole.join(items.select("item", "item_words"), "item")
+        rows = whole.select("doc_id", "h", "item", "words", "item_words", F.col("hits.at").alias("ats"), F.col("hits.pos").cast("array<long>").alias("poss"))
+        return self.named(rows.mapInArrow(frugal(_near(self.window, slop)), f"doc_id {kind}, h long, item long, start int")).distinct()
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, share: int = 20, slop: int | None = None, **cols: str) -> DataFrame:
@@ -348,8 +365,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, share
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     out = out.select("doc_id", "h", "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"))
     if slop is None:
+        index.close()
         return out
     near = index.proximity(slop).groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("item_id")).alias("near")).withColumnsRenamed({"doc_id": "d", "h": "e"})
+    near = index.scratch.table(near, "near")
+    index.close()
     out = out.join(near, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("e") == F.col("h")), "left").drop("d", "e")
     return out.withColumn("near", F.coalesce("near", F.array().cast("array<string>"))).withColumnRenamed("near", "near_items")
 
