@@ -13,10 +13,16 @@ Work is arranged so that no group, however large, meets in one task:
 * documents of equal shingle sets collapse into one representative by an aggregate;
 * each table first links every member with the bucket's least member (an aggregate and
   an equi-join), which connects real groups with a number of pairs linear in members;
+  a member that leads many is dealt out in parts of about ``PART`` partners;
 * only buckets that still hold several components are then compared pairwise, those of
   more than ``large`` members in pairs of tiles of about ``tile`` shingles; pairs already
   connected are passed over, and no link is lost to a cap.
 
+A pair is passed over without its sets only where it can't be similar: by its sizes, or
+because the sets' histograms over equal hash ranges (``sketch``) bound their intersection
+from above, and even that many common shingles would be too few.  Sets are compared as
+sets of 64-bit hashes of shingles (see ``text``).
+
 Defined results: null or wordless text has no shingles and links with nothing; a null
 doc_id links with nothing, has a null component and is kept; rows that repeat a doc_id
 share that id's component; other columns, whatever their names, are not read.
@@ -38,6 +44,8 @@ from docketry.session import Scratch
 COLLECTIONS, WIDTH, SHINGLE, PERCENT = 14, 2, 5, 80
 #: Buckets of more members are compared in tiles of about so many shingles.
 LARGE, TILE = 64, 500_000
+#: Partners of one document that are confirmed in one group.
+PART = 256
 
 _SKETCH = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, sketch binary"
 
@@ -70,23 +78,46 @@ def _minhash(s: np.ndarray, a: np.ndarray, c: np.ndarray) -> np.ndarray:
     return out
 
 
-BINS = 128
+#: Least and most hash ranges of a histogram; about half as many as there are shingles.
+BINS = (64, 1024)
 
 
 def _bins(s: np.ndarray) -> bytes:
-    """One byte for each of 128 equal hash ranges, taken from its least member; 0 where there is none."""
-    edge = np.arange(BINS, dtype=np.uint64) << np.uint64(57)
-    at = np.searchsorted(s, edge)
-    found = s[np.minimum(at, len(s) - 1)]
-    full = (at < len(s)) & ((found >> np.uint64(57)) == np.arange(BINS, dtype=np.uint64))
-    return np.where(full, found % np.uint64(255) + np.uint64(1), np.uint64(0)).astype(np.uint8).tobytes()
-
-
-def _may_be_similar(x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
-    """False only where the share of equal bins is 6.5 standard deviations below the threshold."""
-    used = ((x > 0) | (y > 0)).sum(axis=1)
-    p = percent / 100
-    return ((x == y) & (x > 0)).sum(axis=1) >= p * used - 6.5 * np.sqrt(p * (1 - p) * used)
+    """How many of the sorted hashes are in each of equal ranges; 255 stands for that many or more."""
+    log = int(np.clip(len(s) // 2, *BINS) - 1).bit_length()
+    edge = np.searchsorted(s, np.arange(1 << log, dtype=np.uint64) << np.uint64(64 - log))
+    return np.minimum(np.diff(edge, append=len(s)), 255).astype(np.uint8).tobytes()
+
+
+class _Histograms:
+    """The histograms of a group, compared at the coarser one's ranges."""
+
+    def __init__(self, column: pa.ChunkedArray):
+        rows = [np.frombuffer(x.as_buffer(), np.uint8) for x in column]
+        self.size = np.array([len(r) for r in rows])
+        self.full = np.array([bool((r == 255).any()) for r in rows])
+        self.place = np.zeros(len(rows), dtype=np.int64)
+        self.folded = {}
+        for k in np.unique(self.size):
+            at = np.flatnonzero(self.size == k)
+            self.place[at] = np.arange(len(at))
+            self.folded[k, k] = np.stack([rows[x] for x in at]).astype(np.uint16)
+
+    def _at(self, size: int, to: int) -> np.ndarray:
+        if (size, to) not in self.folded:
+            m = self.folded[size, size]
+            self.folded[size, to] = m.reshape(len(m), to, -1).sum(axis=2, dtype=np.uint16)
+        return self.folded[size, to]
+
+    def most(self, x: int, y: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """At most so many common shingles of x and each of y."""
+        out = np.minimum(n[y], n[x])
+        for k in np.unique(self.size[y]):
+            at = np.flatnonzero((self.size[y] == k) & ~self.full[y] & ~self.full[x])
+            to = min(k, self.size[x])
+            mine, theirs = self._at(self.size[x], to)[self.place[x]], self._at(k, to)[self.place[y[at]]]
+            out[at] = np.minimum(out[at], np.minimum(theirs, mine).sum(axis=1, dtype=np.int64))
+        return out
 
 
 def _sketches(size: int, collections: int, width: int):
@@ -118,7 +149,7 @@ def _sketches(size: int, collections: int, width: int):
 
 
 def _tables(collections: int):
-    """Rows (key, tab, doc_id) of every table, from the collections' keys."""
+    """Rows (key, tab, doc_id, size) of every table, from the collections' keys."""
     left, right = np.triu_indices(collections, 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,7 +161,8 @@ def _tables(collections: int):
                 # seeds are already in the collections' keys, so keys of different tables never meet
                 key = mix(u[:, left] + mix(u[:, right])).view(np.int64)
                 tab = np.tile(np.arange(len(left), dtype=np.int32), len(ids))
-                yield pa.record_batch([pa.array(key.ravel()), pa.array(tab), pa.array(np.repeat(ids, len(left)))], names=["key", "tab", "doc_id"])
+                size = part.column(2).to_numpy(zero_copy_only=False).astype(np.int32)
+                yield pa.record_batch([pa.array(key.ravel()), pa.array(tab), pa.array(np.repeat(ids, len(left))), pa.array(np.repeat(size, len(left)))], names=["key", "tab", "doc_id", "size"])
 
     return run
 
@@ -162,10 +194,14 @@ def _confirmed(percent: int):
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full shingle sets are similar; only texts of pairs are hashed again."""
+    """Those of the pairs (a, b, part) whose full shingle sets are similar; only texts of pairs are hashed again.
+
+    ``part`` deals the partners of a document that has many into groups, each of which gets a copy of its set.
+    """
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = texts.join(ids, "doc_id", "left_semi").mapInArrow(frugal(_with_sets(size)), "doc_id long, shingles binary")
-    one = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
+    left = pairs.select("a", "part").distinct().join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
+    one = pairs.join(left, ["a", "part"])
     two = one.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
     return two.select("a", "b", "sa", "sb").mapInArrow(frugal(_confirmed(percent)), "a long, b long")
 
@@ -197,13 +233,15 @@ def _pairs_of(collections: int, percent: int):
 def _columns(table: pa.Table) -> tuple[np.ndarray, ...]:
     docs, comp, n = (table.column(x).to_numpy() for x in ("doc_id", "component", "n_shingles"))
     bands = np.stack([x.values.to_numpy() for x in table.column("bands")])
-    return docs, comp, n, bands, np.stack([np.frombuffer(x.as_buffer(), np.uint8) for x in table.column("sketch")])
+    return docs, comp, n, bands, _Histograms(table.column("sketch"))
 
 
-def _partners(x: int, y: np.ndarray, comp: np.ndarray, n: np.ndarray, low: np.ndarray, percent: int) -> np.ndarray:
+def _partners(x: int, y: np.ndarray, comp: np.ndarray, n: np.ndarray, low: _Histograms, percent: int) -> np.ndarray:
+    """Those of y that are in another component and may be similar to x."""
     y = y[comp[y] != comp[x]]
     y = y[100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])]
-    return y[_may_be_similar(low[y], low[x], percent)]
+    both = low.most(x, y, n)
+    return y[100 * both >= percent * (n[x] + n[y] - both)]
 
 
 def _links_of_tiles(percent: int):
@@ -261,17 +299,19 @@ def minhash_dedup(
     reps = some.join(classes.select("h1", "h2", "n_shingles", F.col("rep").alias("doc_id")), ["h1", "h2", "n_shingles", "doc_id"], "left_semi")
     reps = scratch.table(reps.dropDuplicates(["doc_id", "h1", "h2", "n_shingles"]).select("doc_id", "n_shingles", "bands", "sketch"), "reps")
 
-    keyed = reps.select("doc_id", "bands").mapInArrow(frugal(_tables(collections)), "key long, tab int, doc_id long")
+    # the written table has few files, and each of its rows makes one for every table
+    spread = reps.select("doc_id", "bands", "n_shingles").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    keyed = spread.mapInArrow(frugal(_tables(collections)), "key long, tab int, doc_id long, size int")
     # first pass: every member against its bucket's least member
-    buckets = keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high")
-    members = scratch.table(keyed.join(buckets, "key").select("key", "tab", "doc_id", "low", "n"), "members")
-    stars = scratch.table(members.where("doc_id <> low").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct(), "stars")
-    size = reps.select("doc_id", "n_shingles").groupBy("doc_id").agg(F.max("n_shingles").alias("most"), F.min("n_shingles").alias("least"))
-    side = lambda x: size.select(F.col("doc_id").alias(x), F.col("most").alias(f"{x}_most"), F.col("least").alias(f"{x}_least"))
-    sized = stars.join(side("a"), "a").join(side("b"), "b").where(f"100 * a_most >= {percent} * b_least and 100 * b_most >= {percent} * a_least").select("a", "b")
-    links = scratch.table(confirm(sized, texts.where("doc_id is not null"), shingle, percent), "links")
-    found = connected_components(links.unionByName(same), scratch)
-    found = scratch.table(found, "found")
+    buckets = keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min_by("size", "doc_id").alias("low_size"), F.count("*").alias("n")).where("low < high")
+    members = scratch.table(keyed.join(buckets, "key").select("key", "tab", "doc_id", "size", "low", "low_size", "n"), "members")
+    sized = members.where(f"doc_id <> low and 100 * least(size, low_size) >= {percent} * greatest(size, low_size)")
+    stars = sized.groupBy(F.col("low").alias("a"), F.col("doc_id").alias("b")).agg(F.max("n").alias("n"))
+    part = F.ceil(F.col("n") / PART)
+    stars = scratch.table(stars.select("a", "b", F.xxhash64(part, F.pmod(F.xxhash64("b"), part)).alias("part")), "stars")
+    links = scratch.table(confirm(stars, texts.where("doc_id is not null"), shingle, percent), "links")
+    first = scratch.table(connected_components(links.unionByName(same), scratch), "found")
+    found = first
 
     # second pass: what buckets of three and more still hold apart
     placed = members.where("n > 2").join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
@@ -280,7 +320,7 @@ def minhash_dedup(
     mixed = placed.join(apart, "key").join(reps, "doc_id")
     small = mixed.where(F.col("m") <= large).select("key", "tab", "doc_id", "component", "n_shingles", "sketch", "bands")
     more = small.groupBy("key", "tab").applyInArrow(_pairs_of(collections, percent), "a long, b long").distinct()
-    more = scratch.table(more.join(stars, ["a", "b"], "left_anti"), "more")
+    more = scratch.table(more.join(stars, ["a", "b"], "left_anti").withColumn("part", F.lit(0).cast("long")), "more")
     links2 = confirm(more, texts.where("doc_id is not null"), shingle, percent)
     wide = scratch.table(mixed.where(F.col("m") > large).select("doc_id", "component", "n_shingles", "sketch", "bands").distinct(), "wide")
     if wide.take(1):
@@ -298,6 +338,7 @@ def minhash_dedup(
     if links2.take(1):
         bridge = found.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
         found = scratch.table(connected_components(links2.unionByName(bridge), scratch), "found")
+        scratch.drop(first)
     scratch.drop(members, stars, reps, classes, same, links, more, wide, links2)
     named = all_.select("doc_id", "n_shingles").join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     return named.select(
