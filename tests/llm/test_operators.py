@@ -131,11 +131,19 @@ def test_decontamination_matches_brute_force(spark):
 
 def test_proximity_finds_what_phrases_miss(spark):
     item = " ".join(f"t{k}" for k in range(13))
-    near = item.replace("t6", "other t6")
-    d = spark.createDataFrame([(1, near), (2, "t1 t2")], "doc_id long, text string")
-    index = decontaminate.PositionalIndex(d.withColumn("text", F.col("text")), spark.createDataFrame([(7, item + " other")], "item_id long, text string"))
+    d = spark.createDataFrame([(1, item.replace("t6", "foreign t6")), (2, "t1 t2"), (3, item.replace("t6", "foreign"))], "doc_id long, text string")
+    index = decontaminate.PositionalIndex(d, spark.createDataFrame([(7, item)], "item_id long, text string"))
     assert index.phrases().count() == 0
-    assert {r["doc_id"] for r in index.proximity(3).collect()} <= {1}
+    assert {(r["doc_id"], r["item_id"], r["start"]) for r in index.proximity(3).collect()} == {(1, "7", 0), (3, "7", 0)}
+
+
+def test_texts_that_share_an_item_id_are_searched_one_by_one(spark):
+    one, two = (" ".join(f"{x}{k}" for k in range(13)) for x in "ab")
+    items = [(7, one), (7, two), (7, one), (8, two), (None, one)]
+    d = spark.createDataFrame([(1, one), (2, f"{two} x"), (3, "y")], "doc_id long, text string").withColumns({"item_id": F.lit("i"), "h": F.lit(0), "term": F.lit(1)})
+    b = spark.createDataFrame(items, "item_id long, text string").withColumns({"pos": F.lit(3), "doc_id": F.lit("d")})
+    got = {r["doc_id"]: (r["n_hit"], r["items"], r["near_items"]) for r in decontaminate.decontaminate(d, b, slop=3).collect()}
+    assert got == {1: (13, ["7"], ["7"]), 2: (13, ["7", "8"], ["7", "8"]), 3: (0, [], [])}
 
 
 def edit_distance_within(pattern, words, k):
@@ -305,37 +313,99 @@ def test_field_sees_long_tokens_and_long_runs():
 # --- 6 lines ----------------------------------------------------------------------------
 
 
+def brute_lines(rows, keep_first=True):
+    """{(row number): (text, lines, recurring, dropped)} by comparing all lines of all documents."""
+    own = 2**63 - 1
+
+    def form(t):
+        w = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
+        masked = 2 * sum(bool(re.search("[0-9]", x)) for x in w) < len(w)
+        w = [None if masked and re.search("[0-9]", x) else x for x in w]
+        n = len(w) - line_dedup.LEAD
+        p = min(max(n, 0), line_dedup.RUNS) if masked else 0
+        if p + line_dedup.LEAD < 4:
+            return (len(w), masked, tuple(w)), None
+        return (len(w), tuple(w[: line_dedup.LEAD])), [w[line_dedup.LEAD + n * k // p : line_dedup.LEAD + n * (k + 1) // p] for k in range(p)]
+
+    def alike(x, y):
+        if x[0] != y[0] or (x[1] is None) != (y[1] is None):
+            return False
+        return x[1] is None or 4 * sum(a != b for a, b in zip(x[1], y[1], strict=True)) <= len(x[1]) + line_dedup.LEAD
+
+    parts = [[(x, form(x)) for x in t.split("\n")] if t else [] for _, t in rows]
+    seen = {(own if i is None else i, repr(f)): f for (i, _), p in zip(rows, parts, strict=True) for x, f in p if f[0][0]}
+    out = []
+    for (i, t), p in zip(rows, parts, strict=True):
+        i, keep, again = own if i is None else i, [], 0
+        for x, f in p:
+            others = [d for (d, _), g in seen.items() if d != i and alike(f, g)] if f[0][0] else []
+            again += bool(others)
+            if not others or (keep_first and min(others) > i):
+                keep.append(x)
+        out.append(("\n".join(keep) if p else t, len(p), again, len(p) - len(keep)))
+    return out
+
+
+def line_rows(spark, rows, **how):
+    df = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, row int").withColumns({"d": F.lit("x"), "line": F.lit(1), "KEY": F.lit("k"), "N_lines": F.lit("n")})
+    got = sorted(line_dedup.line_dedup(df, **how).collect(), key=lambda r: r["row"])
+    return [(r["text"], r["n_lines"], r["n_recurring"], r["n_dropped"]) for r in got]
+
+
+@pytest.mark.parametrize("tile", [3, 2048])
+@pytest.mark.parametrize("keep_first", [True, False])
+def test_lines_match_brute_force(spark, monkeypatch, tile, keep_first):
+    monkeypatch.setattr(line_dedup, "TILE", tile)
+    r = random.Random(21)
+    word = lambda k=9: "abcdefghijklmnop"[r.randrange(k)]
+    forms = [[word(16) for _ in range(r.choice([1, 2, 3, 4, 5, 7, 8, 12, 14, 15, 40, 61]))] for _ in range(25)]
+
+    def line():
+        w = list(r.choice(forms))
+        for _ in range(r.choice([0, 0, 1, 1, 2, 3, 4, 6])):
+            w[r.randrange(len(w))] = r.choice([word(), f"{r.randint(0, 99)}", word().upper(), "new"])
+        return r.choice(["  ", " "]).join(w)
+
+    rows = [(k, "\n".join(line() for _ in range(r.randint(0, 5)))) for k in range(120)]
+    rows += [(500 + k, " ".join(["same", "lead", *(word(4) for _ in range(6))])) for k in range(40)]
+    rows += [(700, None), (701, ""), (702, "\n \n\t\n"), (703, "twice here\ntwice here"), (None, rows[0][1]), (None, "no id\nat all"), (None, "no id"), (3, rows[3][1]), (3, "another text of id three"), (704, "another text of id three")]
+    assert line_rows(spark, rows, keep_first=keep_first) == brute_lines(rows, keep_first)
+
+
 def test_recurring_lines_stay_once(spark):
     passage = " ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
-    rows = [(1, f"own one here\n{passage}"), (2, f"{passage}\nown two here"), (3, f"error 17 at host alpha in module core today now\n{passage}"), (4, "error 99 at host alpha in module core today now\nfour"), (5, "ok fine"), (6, "ok fine"), (7, None), (8, ""), (9, "same line of five\nsame line of five"), (None, f"{passage}\nnull id"), (2, f"{passage}\nown two here")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"d": F.lit("x"), "line": F.lit(1)})
-    got = collections.defaultdict(list)
-    for r in line_dedup.line_dedup(df).collect():
-        got[r["doc_id"]].append((r["text"], r["n_lines"], r["n_recurring"], r["n_dropped"]))
-    assert got[1] == [(f"own one here\n{passage}", 2, 1, 0)]
-    assert got[2] == [("own two here", 2, 1, 1)] * 2
-    assert got[3] == [("error 17 at host alpha in module core today now", 2, 2, 1)]
-    assert got[4] == [("four", 2, 1, 1)]  # the template generalises the number
-    assert got[5] == [("ok fine", 1, 0, 0)] and got[6] == [("ok fine", 1, 0, 0)]
-    assert got[7] == [(None, 0, 0, 0)] and got[8] == [("", 0, 0, 0)]
-    assert got[9][0][3] == 0 and got[None] == [("null id", 2, 1, 1)]
-    assert line_dedup.line_dedup(df.limit(0)).count() == 0
-
-
-def test_one_varied_run_shares_a_template(spark):
-    a, b = "alpha beta gamma delta one two three four five six seven eight", "alpha beta gamma delta one changed three four five six seven eight"
-    rows = line_dedup.line_dedup(spark.createDataFrame([(1, a), (2, b), (3, "alpha beta gamma x y z u v w p q r")], "doc_id long, text string")).collect()
-    assert sorted((r["doc_id"], r["n_dropped"]) for r in rows) == [(1, 0), (2, 1), (3, 0)]
+    rows = [(1, f"own one here\n{passage}"), (2, f"{passage}\nown two here"), (3, f"error 17 at host alpha in module core today now\n{passage}"), (4, "error 99 at host alpha in module core today now\nfour"), (5, "ok fine"), (6, "ok fine"), (9, "same line of five\nsame line of five"), (None, f"{passage}\nnull id"), (2, f"{passage}\nown two here")]
+    got = line_rows(spark, rows)
+    assert got[0] == (rows[0][1], 2, 1, 0)
+    assert got[1] == got[8] == ("own two here", 2, 1, 1)
+    assert got[2] == ("error 17 at host alpha in module core today now", 2, 2, 1)
+    assert got[3] == ("four", 2, 1, 1)  # the template generalises the number
+    assert got[4] == ("ok fine", 1, 1, 0) and got[5] == ("", 1, 1, 1)
+    assert got[6] == (rows[6][1], 2, 0, 0) and got[7] == ("null id", 2, 1, 1)
+    assert line_dedup.line_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_templates_generalise_any_position(spark):
+    names = ["alice", "bob", "carol", "dave"]
+    cases = [
+        [f"error while reading {x} for the user named {y} at the gate" for x, y in zip(["alpha", "beta", "gamma", "delta"], names, strict=True)],
+        [f"Posted by {x} yesterday" for x in names],
+        ["Read more"] * 20,
+        [f"12 13 {k} 15" for k in range(4)],  # numbers alone are no template
+    ]
+    for k, lines in enumerate(cases):
+        dropped = sum(x[3] for x in line_rows(spark, list(enumerate(lines))))
+        assert dropped == (len(lines) - 1 if k < 3 else 0), lines
 
 
 def test_recurring_lines_without_blanks_stay_once(spark):
     passage = "漢字文書の段落です。" * 50
-    rows = [(1, f"{passage}\nfirst own line"), (2, f"second own line\n{passage}"), (3, passage), (4, "Datenschutzerklärung lesen"), (5, "Datenschutzerklärung  lesen\nx"), (6, "https://example.org/page/17"), (7, "https://example.org/page/18"), (8, "第1章" + "本文" * 9), (9, "第2章" + "別文" * 9), (10, "ok 12"), (11, "ok 12")]
-    got = {r["doc_id"]: (r["text"], r["n_recurring"], r["n_dropped"]) for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got[1] == (rows[0][1], 1, 0) and got[2] == ("second own line", 1, 1) and got[3] == ("", 1, 1)
-    assert got[4] == ("Datenschutzerklärung lesen", 1, 0) and got[5] == ("x", 1, 1)
-    for k, t in rows[5:]:  # other lines, and lines under the least length
-        assert got[k] == (t, 0, 0)
+    rows = [(1, f"{passage}\nfirst own line"), (2, f"second own line\n{passage}"), (3, passage), (4, "Datenschutzerklärung lesen"), (5, "Datenschutzerklärung  lesen\nx"), (6, "https://example.org/page/17"), (7, "https://example.org/page/18"), (8, "第1章" + "本文" * 9), (9, "第2章" + "別文" * 9)]
+    got = line_rows(spark, rows)
+    assert got[0] == (rows[0][1], 2, 1, 0) and got[1] == ("second own line", 2, 1, 1) and got[2] == ("", 1, 1, 1)
+    assert got[3] == ("Datenschutzerklärung lesen", 1, 1, 0) and got[4] == ("x", 2, 1, 1)
+    for (_, t), x in zip(rows[5:], got[5:], strict=True):  # other lines
+        assert x == (t, 1, 0, 0)
 
 
 # --- 7 byte-level BPE -------------------------------------------------------------------
@@ -454,6 +524,39 @@ def test_minhash_matches_brute_force(spark, large):
     assert got == brute_near(rows, 2, 80)
 
 
+def test_histograms_bound_the_common_shingles():
+    import pyarrow as pa
+
+    r = np.random.default_rng(13)
+    pool = r.integers(0, 2**63, 60_000, dtype=np.uint64) * np.uint64(2)
+    sets = [np.unique(r.choice(pool[: 2 * n], n)) for n in (1, 2, 40, 130, 135, 300, 500, 4000, 4500, 30_000)]
+    sets += [np.unique(np.concatenate([s[: len(s) * 4 // 5], r.choice(pool, len(s) // 5 + 1)])) for s in sets]
+    sets.append(np.arange(5000, dtype=np.uint64))  # all in one range, more than a byte counts
+    sets.append(np.arange(100, 5000, dtype=np.uint64))
+    low, n = minhash_dedup._Histograms(pa.chunked_array([pa.array([minhash_dedup._bins(s) for s in sets])])), np.array([len(s) for s in sets])
+    for x in range(len(sets)):
+        most = low.most(x, np.arange(len(sets)), n)
+        assert all(m >= len(np.intersect1d(sets[x], s)) for m, s in zip(most, sets, strict=True))
+    far = low.most(5, np.array([6]), n)[0]
+    assert 100 * far < 80 * (n[5] + n[6] - far)  # and it tells unlike sets apart
+
+
+def test_words_that_collide_under_polynomial_hashes_stay_apart(spark):
+    one = "".join("ab"[bin(k).count("1") & 1] for k in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    df = spark.createDataFrame([(1, f"{one} {one}"), (2, f"{two} {two}"), (3, one)], "doc_id long, text string")
+    assert all(r["kept"] for r in minhash_dedup.minhash_dedup(df, shingle=2).collect())
+    items = spark.createDataFrame([(1, two)], "item_id long, text string")
+    assert {r["doc_id"]: r["n_hit"] for r in decontaminate.decontaminate(df, items).collect()} == {1: 0, 2: 2, 3: 0}
+
+
+def test_minhash_links_all_similar_documents(docs):
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    for size in (2, 5):
+        got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in minhash_dedup.minhash_dedup(docs, shingle=size).collect()}
+        assert got == brute_near(rows, size, 80)
+
+
 def test_minhash_of_odd_rows(odd):
     got = minhash_dedup.minhash_dedup(odd).collect()
     assert len(got) == len(ODD) and {(r["component_id"], r["kept"]) for r in got if r["doc_id"] is None} == {(None, True)}
