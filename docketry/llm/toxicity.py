@@ -1,12 +1,12 @@
 """Toxicity by compression distance: two zstandard dictionaries and calibrated margins.
 
-Training takes a sample of labelled documents of about ``SAMPLE`` rows of each label
-(chosen by a hash; the bound is a parameter) and learns three things:
+Training takes a sample of labelled documents of about ``SAMPLE`` rows and ``SAMPLE_BYTES``
+of text for each label (chosen by a hash; the bounds are parameters) and learns three things:
 
 * an ordinary dictionary, trained by zstandard on ordinary text;
-* a toxic dictionary: of the strings of 5 and of 8 bytes of toxic text, those in
-  significantly more toxic than ordinary documents are joined into spans, and the spans are laid out by how
-  often they occur, the most frequent last, where matches are cheapest;
+* a toxic dictionary, trained by zstandard on the strings of toxic text that are its own:
+  of all strings of 5 and of 8 bytes, those in significantly more toxic than ordinary
+  documents are joined into spans, and each of their occurrences is a training sample;
 * a logistic calibration of how window margins turn into a probability, cross-fitted so
   that no document is scored by a dictionary that it helped to train.
 
@@ -15,8 +15,8 @@ Text is compressed in a form that lets a match tell where in a word it stands: t
 one bit), the rest in lower case, and white space as a space.
 
 Every text is cut into windows of ``WINDOW`` words.  Each is compressed under the ordinary
-dictionary alone and under it followed by the toxic one; both see the same ordinary
-content, so the difference in length tells toxic content and little else.  The whole text
+dictionary and under the toxic one, which the ordinary one's content precedes: so both see
+the same ordinary content, and the difference in length tells toxic content and little else.  The whole text
 counts: the largest margins and the numbers of windows above each threshold are features.
 
 Defined results: null and empty texts are one window of margin 0 and get the score that
@@ -37,9 +37,9 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docketry.llm.text import LOWER, NOT_SPACE, chunks, frugal, mix, small_batches
+from docketry.llm.text import LOWER, NOT_SPACE, chunks, frugal, give_back, mix, small_batches
 
-SAMPLE, WINDOW, GRAMS, HEAD, LEVEL = 3000, 8, (5, 8), 8, 3
+SAMPLE, SAMPLE_BYTES, WINDOW, GRAMS, HEAD, LEVEL = 3000, 16 << 20, 8, (5, 8), 8, 3
 ORDINARY_BYTES, TOXIC_BYTES = 32768, 8192
 _STEPS = (1, 2, 3, 4, 5, 6, 8)
 _BODY = LOWER.copy()
@@ -187,15 +187,20 @@ class Model:
         return 1 / (1 + np.exp(-z))
 
 
-def _dictionaries(toxic: list[np.ndarray], ordinary: list[np.ndarray]) -> Compressors:
-    samples = [t.tobytes()[i : i + 2000] for t in ordinary for i in range(0, len(t), 2000)]
+def _trained(samples: list[bytes], size: int, k: int) -> bytes:
+    """A dictionary trained by zstandard, or the samples where there are too few to train on."""
     try:
-        base = zstandard.train_dictionary(ORDINARY_BYTES, samples, d=6, k=32, level=LEVEL).as_bytes()
-    except zstandard.ZstdError:  # too little text to train on: the text itself serves
-        base = b"".join(samples)[-ORDINARY_BYTES:]
+        return zstandard.train_dictionary(size, samples, d=6, k=k, level=LEVEL).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)
+
+
+def _dictionaries(toxic: list[np.ndarray], ordinary: list[np.ndarray]) -> Compressors:
+    base = _trained([t.tobytes()[i : i + 2000] for t in ordinary for i in range(0, len(t), 2000)], ORDINARY_BYTES, 32)
     spans = toxic_spans(toxic, ordinary)
-    order = sorted((s for s, n in spans.items() if n >= 3), key=lambda s: (spans[s], s))
-    return Compressors(base, b"".join(x + b" " for x in order)[-TOXIC_BYTES:])
+    # twice in each sample, for the trainer passes over samples of a few bytes
+    own = [(s + b" ") * 2 for s in sorted(spans, key=lambda s: (spans[s], s)) if spans[s] >= 3 for _ in range(spans[s])]
+    return Compressors(base, _trained([own[i] for i in np.random.default_rng(0).permutation(len(own))], TOXIC_BYTES, 24))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, steps: int = 4000) -> np.ndarray:
@@ -252,17 +257,21 @@ def train(texts: list[str], toxic: list[int]) -> Model | float:
     return Model(pick(np.ones(len(y), dtype=bool)), mean, sd, _logistic((x - mean) / sd, y))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | float:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES) -> Model | float:
     """Learn from (doc_id, text) and (doc_id, toxic)."""
     spark = docs.sparkSession
     each = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where("toxic in (0, 1)")
-    counts = {r["toxic"]: r["count"] for r in each.groupBy("toxic").count().collect()}
-    share = F.when(F.col("toxic") == 1, min(1.0, sample / max(1, counts.get(1, 0)))).otherwise(min(1.0, sample / max(1, counts.get(0, 0))))
-    chosen = each.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30) < share)
+    texts = docs.select("doc_id", "text").where("text is not null")
+    sizes = texts.select("doc_id", F.octet_length("text").alias("size")).join(each, "doc_id").groupBy("toxic").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    share = {r["toxic"]: min(1.0, sample / r["n"], sample_bytes / max(1, r["size"])) for r in sizes.collect()}
+    chosen = each.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30) < F.when(F.col("toxic") == 1, share.get(1, 0.0)).otherwise(share.get(0, 0.0)))
     ids = [(r["doc_id"], r["toxic"]) for r in chosen.toLocalIterator()]  # about 2 * sample rows
     few = F.broadcast(spark.createDataFrame(ids or [(None, None)], "doc_id long, toxic int"))
-    rows = docs.select("doc_id", "text").where("text is not null").join(few, "doc_id").select("text", "toxic").toArrow()
-    return train(rows.column("text").to_pylist(), rows.column("toxic").to_pylist())
+    rows = texts.join(few, "doc_id").select("text", "toxic").toArrow()
+    model = train(rows.column("text").to_pylist(), rows.column("toxic").to_pylist())
+    del rows
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model | float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
