@@ -248,8 +248,9 @@ def _records(rows: list[tuple[dict[str, str], bytes]]) -> pa.RecordBatch:
 def read_bundles(index: DataFrame) -> DataFrame:
     """Every record of the archive, read back and held against its digest."""
     bundles = index.select("bundle").distinct()
-    # a stated number, or adaptive execution would put all of these few short rows into one task
-    bundles = bundles.repartition(max(1, min(10_000, bundles.count())), "bundle")
+    # by range, which deals out evenly: hashes leave some tasks empty, and a key that the
+    # rows are already dealt by is left to adaptive execution, which puts all into one task
+    bundles = bundles.repartitionByRange(max(1, min(10_000, bundles.count())), "bundle")
     return bundles.mapInArrow(_read, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary")
 
 
