@@ -95,14 +95,16 @@ def principal_axes(units: DataFrame) -> dict[int, np.ndarray]:
 
 def _cells(axes, width: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin = 0
         for batch in batches:
             dim, n = batch.column(2).to_numpy(), batch.num_rows
+            place, begin = np.arange(begin, begin + n), begin + n
             c = np.zeros((n, GRID), dtype=np.int32)
             for d in np.unique(dim):
                 at = np.flatnonzero(dim == d)
                 z = _matrix(batch.column(3).take(pa.array(at))) @ axes.value[int(d)][:, :GRID]
                 c[at, : z.shape[1]] = np.floor(z / width).astype(np.int32)
-            yield pa.record_batch([*(batch.column(k) for k in range(4)), *(pa.array(c[:, k]) for k in range(GRID))], names=["vec_id", "label", "dim", "x", *(f"c{k}" for k in range(GRID))])
+            yield pa.record_batch([*(batch.column(k) for k in range(4)), *(pa.array(c[:, k]) for k in range(GRID)), pa.array(place)], names=["vec_id", "label", "dim", "x", *(f"c{k}" for k in range(GRID)), "place"])
 
     return run
 
@@ -208,11 +210,12 @@ def embedding_dedup(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     axes = spark.sparkContext.broadcast(principal_axes(units))
     width = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-6
     cell = ["label", "dim", *(f"c{k}" for k in range(GRID))]
-    placed = units.mapInArrow(_cells(axes, width), "vec_id long, label string, dim int, x binary, " + ", ".join(f"c{k} int" for k in range(GRID)))
+    placed = units.mapInArrow(_cells(axes, width), "vec_id long, label string, dim int, x binary, " + ", ".join(f"c{k} int" for k in range(GRID)) + ", place long")
     placed = scratch.table(placed, "placed")
     most = F.least(F.lit(TILE_ROWS), F.greatest(F.lit(1), F.floor(F.lit(TILE_BYTES) / (F.col("dim") * 8))))
     sizes = scratch.table(placed.groupBy(*cell).agg(F.count("*").alias("n")).select(*cell, F.ceil(F.col("n") / most).cast("int").alias("tiles")), "sizes")
-    tiled = placed.join(sizes, cell).withColumn("tile", F.pmod(F.xxhash64("vec_id", "x"), F.col("tiles")).cast("int"))
+    # by where the row was read, so that equal rows are dealt out too
+    tiled = placed.join(sizes, cell).withColumn("tile", F.pmod(F.xxhash64("vec_id", "place"), F.col("tiles")).cast("int"))
     kinds = "label string, dim int, " + ", ".join(f"c{k} int" for k in range(GRID)) + ", tile int, ids binary, xs binary"
     tiles = scratch.table(tiled.select(*cell, "tile", "vec_id", "x").groupBy(*cell, "tile").applyInArrow(_pack, kinds), "tiles")
     # each tile with those of its own and of half the neighbouring cells: a list of names, not of rows
