@@ -18,9 +18,8 @@ within one document are not recurrences.
 
 Leaves are not gathered.  Lines that differ in at most k positions agree in one of k + 1
 groups of positions, so a line has that many keys, and aggregates find the keys that
-several distinct lines of several documents have.  A fixed table of bits about them
-(``BITS``; where it fills up, more lines pass than must) and a join pick the lines concerned.  Each is held
-against the first line of its key, which settles all lines of one template whatever their
+several distinct lines of several documents have.  A table of bits about them (see
+``bits``) and a join pick the lines concerned.  Each is held against the first line of its key, which settles all lines of one template whatever their
 number; only keys that also hold lines unlike their first one are compared further, in pairs of
 tiles of ``TILE`` lines, of which no pair is emitted.  Positions are compared by 32-bit
 hashes, with one group of them by 64 bits.
@@ -40,12 +39,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docketry.llm.bits import may_have, table_of
 from docketry.llm.text import NOT_SPACE, chunks, frugal, mix, small_batches, words
 from docketry.session import Scratch
 
 LEAD, RUNS, TILE = 2, 12, 2048
-#: Bits of the table of keys, as a power of two: 4 MB.
-BITS = 25
 _STEP, _WILD, _PLAIN, _KEY = (np.uint64(x) for x in (0xD6E8FEB86659FD93, 0x2545F4914F6CDD1D, 0x9E6C63D0876A9A47, 0xC2B2AE3D27D4EB4F))
 _DIGIT = np.zeros(256, dtype=bool)
 _DIGIT[48:58] = True
@@ -116,20 +114,6 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _bit_of(key: np.ndarray) -> np.ndarray:
-    return (key.view(np.uint64) >> np.uint64(64 - BITS)).astype(np.int64)
-
-
-def _bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The table of a partition's keys, in pieces of 64 kB."""
-    table = np.zeros(1 << BITS, dtype=bool)
-    for batch in batches:
-        table[_bit_of(batch.column(0).to_numpy())] = True
-    for k in range(0, 1 << BITS, 1 << 19):
-        if table[k : k + (1 << 19)].any():
-            yield pa.record_batch([pa.array([k >> 3]), pa.array([np.packbits(table[k : k + (1 << 19)]).tobytes()], pa.binary())], names=["at", "bits"])
-
-
 def _having(shared):
     """Lines with a key that the table has."""
 
@@ -137,8 +121,7 @@ def _having(shared):
         table = shared.value
         for batch in batches:
             keys = batch.column(3)
-            bit = _bit_of(keys.flatten().to_numpy())
-            found = np.concatenate([[0], np.cumsum(table[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8) & 1)])
+            found = np.concatenate([[0], np.cumsum(may_have(table, keys.flatten().to_numpy()))])
             o = keys.offsets.to_numpy() - keys.offsets[0].as_py()
             yield batch.filter(pa.array(found[o[1:]] > found[o[:-1]]))
 
@@ -170,11 +153,7 @@ def _alike(lines: DataFrame, scratch: Scratch) -> DataFrame:
     each = lines.where("size(keys) > 0").select("whole", "d", F.explode("keys").alias("key"))
     shared = each.groupBy("key").agg(F.min("whole").alias("w"), F.max("whole").alias("v"), F.min("d").alias("first"), F.max("d").alias("last")).where("w < v and first < last")
     shared = scratch.table(shared.select("key"), "keys")
-    table = np.zeros(1 << BITS >> 3, dtype=np.uint8)
-    # at most 64 pieces of 64 kB from each of at most 8 partitions
-    for r in shared.coalesce(8).mapInArrow(frugal(_bits), "at long, bits binary").toLocalIterator():
-        part = np.frombuffer(bytes(r["bits"]), np.uint8)
-        table[r["at"] : r["at"] + len(part)] |= part
+    table = table_of(shared)
     some = lines.select("whole", "d", "runs", "keys").where("size(keys) > 0").mapInArrow(frugal(_having(spark.sparkContext.broadcast(table))), "whole long, d long, runs array<int>, keys array<long>")
     some = some.groupBy("whole").agg(F.min("d").alias("first"), F.max("d").alias("last"), F.first("runs").alias("runs"), F.first("keys").alias("keys"))
     members = scratch.table(some.select("whole", "first", "last", "runs", F.explode("keys").alias("key")).join(shared, "key"), "members")

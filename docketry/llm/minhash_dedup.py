@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docketry.llm.bits import may_have, table_of
 from docketry.llm.components import connected_components
 from docketry.llm.text import NOT_SPACE, chunks, frugal, mix, small_batches, words
 from docketry.session import Scratch
@@ -148,34 +149,47 @@ def _sketches(size: int, collections: int, width: int):
     return run
 
 
+def _table_keys(u: np.ndarray) -> np.ndarray:
+    """The keys of every table, from the collections' keys (one row for each document).
+
+    Seeds are already in the collections' keys, so keys of different tables never meet.
+    """
+    left, right = np.triu_indices(u.shape[1], 1)
+    return mix(u[:, left] + mix(u[:, right])).view(np.int64)
+
+
 def _tables(collections: int):
-    """Rows (key, tab, doc_id, size) of every table, from the collections' keys."""
-    left, right = np.triu_indices(collections, 1)
+    """Rows (key, doc_id) of every table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 ids = part.column(0).to_numpy(zero_copy_only=False)
-                u = part.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(ids), collections)
-                # seeds are already in the collections' keys, so keys of different tables never meet
-                key = mix(u[:, left] + mix(u[:, right])).view(np.int64)
-                tab = np.tile(np.arange(len(left), dtype=np.int32), len(ids))
-                size = part.column(2).to_numpy(zero_copy_only=False).astype(np.int32)
-                yield pa.record_batch([pa.array(key.ravel()), pa.array(tab), pa.array(np.repeat(ids, len(left))), pa.array(np.repeat(size, len(left)))], names=["key", "tab", "doc_id", "size"])
+                key = _table_keys(part.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(ids), collections))
+                yield pa.record_batch([pa.array(key.ravel()), pa.array(np.repeat(ids, key.shape[1]))], names=["key", "doc_id"])
 
     return run
 
 
-def _with_sets(size: int):
+def _with_sets(size: int, shared):
+    """The shingle sets of documents that the table of ids may have."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s.tobytes() for s in shingle_sets(batch.column(1), size)]
-            yield pa.record_batch([batch.column(0), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
+            some = batch.filter(pa.array(may_have(shared.value, batch.column(0).to_numpy())))
+            sets = [s.tobytes() for s in shingle_sets(some.column(1), size)]
+            yield pa.record_batch([some.column(0), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
 
     return run
 
 
+def sets_of(ids: DataFrame, texts: DataFrame, size: int) -> DataFrame:
+    """(doc_id, shingles) of the documents of ``ids``, and of others that share their bits."""
+    shared = texts.sparkSession.sparkContext.broadcast(table_of(ids))
+    return texts.where("doc_id is not null").mapInArrow(frugal(_with_sets(size, shared)), "doc_id long, shingles binary")
+
+
 def _similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     at = np.searchsorted(x, y)
     at[at == len(x)] = 0
@@ -193,13 +207,15 @@ def _confirmed(percent: int):
     return run
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b, part) whose full shingle sets are similar; only texts of pairs are hashed again.
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b, part) whose full shingle sets are similar.
 
     ``part`` deals the partners of a document that has many into groups, each of which gets a copy of its set.
     """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = texts.join(ids, "doc_id", "left_semi").mapInArrow(frugal(_with_sets(size)), "doc_id long, shingles binary")
     left = pairs.select("a", "part").distinct().join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
     one = pairs.join(left, ["a", "part"])
     two = one.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
@@ -216,13 +232,14 @@ def _pairs_of(collections: int, percent: int):
 
     def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         docs, comp, n, bands, low = _columns(table)
+        here = (_table_keys(bands.view(np.uint64)) == key[0].as_py()).any(axis=0).argmax()  # the bucket's table
         a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for x in range(len(docs) - 1):
             y = _partners(x, np.arange(x + 1, len(docs)), comp, n, low, percent)
             same = bands[y] == bands[x]
             one = same.argmax(axis=1)
             same[np.arange(len(y)), one] = False
-            y = y[number[one, same.argmax(axis=1)] == key[1].as_py()]
+            y = y[number[one, same.argmax(axis=1)] == here]
             a.append(np.minimum(docs[x], docs[y]))
             b.append(np.maximum(docs[x], docs[y]))
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b)})
@@ -300,16 +317,21 @@ def minhash_dedup(
     reps = scratch.table(reps.dropDuplicates(["doc_id", "h1", "h2", "n_shingles"]).select("doc_id", "n_shingles", "bands", "sketch"), "reps")
 
     # the written table has few files, and each of its rows makes one for every table
-    spread = reps.select("doc_id", "bands", "n_shingles").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-    keyed = spread.mapInArrow(frugal(_tables(collections)), "key long, tab int, doc_id long, size int")
+    spread = reps.select("doc_id", "bands").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    keyed = spread.mapInArrow(frugal(_tables(collections)), "key long, doc_id long")
     # first pass: every member against its bucket's least member
-    buckets = keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min_by("size", "doc_id").alias("low_size"), F.count("*").alias("n")).where("low < high")
-    members = scratch.table(keyed.join(buckets, "key").select("key", "tab", "doc_id", "size", "low", "low_size", "n"), "members")
-    sized = members.where(f"doc_id <> low and 100 * least(size, low_size) >= {percent} * greatest(size, low_size)")
-    stars = sized.groupBy(F.col("low").alias("a"), F.col("doc_id").alias("b")).agg(F.max("n").alias("n"))
+    buckets = keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count("*").alias("n")).where("low < high")
+    members = scratch.table(keyed.join(buckets, "key").select("key", "doc_id", "low", "n"), "members")
+    stars = members.where("doc_id <> low").groupBy(F.col("low").alias("a"), F.col("doc_id").alias("b")).agg(F.max("n").alias("n"))
     part = F.ceil(F.col("n") / PART)
     stars = scratch.table(stars.select("a", "b", F.xxhash64(part, F.pmod(F.xxhash64("b"), part)).alias("part")), "stars")
-    links = scratch.table(confirm(stars, texts.where("doc_id is not null"), shingle, percent), "links")
+    size = reps.groupBy("doc_id").agg(F.max("n_shingles").alias("most"), F.min("n_shingles").alias("least"))
+    side = lambda x: size.select(F.col("doc_id").alias(x), F.col("most").alias(f"{x}_most"), F.col("least").alias(f"{x}_least"))
+    sized = stars.join(stars.select("a", "part").distinct().join(side("a"), "a"), ["a", "part"]).join(side("b"), "b")
+    sized = scratch.table(sized.where(f"100 * a_most >= {percent} * b_least and 100 * b_most >= {percent} * a_least").select("a", "b", "part"), "sized")
+    sets = scratch.table(sets_of(_ends(sized), texts, shingle), "sets")
+    links = scratch.table(confirm(sized, sets, percent), "links")
+    scratch.drop(sets, sized)
     first = scratch.table(connected_components(links.unionByName(same), scratch), "found")
     found = first
 
@@ -318,14 +340,14 @@ def minhash_dedup(
     placed = placed.withColumn("component", F.coalesce("component", "doc_id"))
     apart = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x < y").select("key", "m")
     mixed = placed.join(apart, "key").join(reps, "doc_id")
-    small = mixed.where(F.col("m") <= large).select("key", "tab", "doc_id", "component", "n_shingles", "sketch", "bands")
-    more = small.groupBy("key", "tab").applyInArrow(_pairs_of(collections, percent), "a long, b long").distinct()
+    small = mixed.where(F.col("m") <= large).select("key", "doc_id", "component", "n_shingles", "sketch", "bands")
+    more = small.groupBy("key").applyInArrow(_pairs_of(collections, percent), "a long, b long").distinct()
     more = scratch.table(more.join(stars, ["a", "b"], "left_anti").withColumn("part", F.lit(0).cast("long")), "more")
-    links2 = confirm(more, texts.where("doc_id is not null"), shingle, percent)
     wide = scratch.table(mixed.where(F.col("m") > large).select("doc_id", "component", "n_shingles", "sketch", "bands").distinct(), "wide")
+    sets = scratch.table(sets_of(_ends(more).unionByName(wide.select("doc_id")), texts, shingle), "sets")
+    links2 = confirm(more, sets, percent)
     if wide.take(1):
         # members of large buckets meet once for each collection, not for each table, and in tiles
-        sets = texts.join(wide.select("doc_id"), "doc_id", "left_semi").mapInArrow(frugal(_with_sets(shingle)), "doc_id long, shingles binary")
         full = wide.join(sets, "doc_id").select("*", F.posexplode("bands").alias("at", "band"))
         groups = wide.select("component", "n_shingles", F.posexplode("bands").alias("at", "band")).groupBy("at", "band")
         groups = groups.agg(F.min("component").alias("x"), F.max("component").alias("y"), F.sum("n_shingles").alias("size")).where("x < y")
@@ -339,7 +361,7 @@ def minhash_dedup(
         bridge = found.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
         found = scratch.table(connected_components(links2.unionByName(bridge), scratch), "found")
         scratch.drop(first)
-    scratch.drop(members, stars, reps, classes, same, links, more, wide, links2)
+    scratch.drop(members, stars, reps, classes, same, links, more, wide, sets, links2)
     named = all_.select("doc_id", "n_shingles").join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     return named.select(
         "doc_id",
