@@ -25,6 +25,7 @@ import itertools
 import math
 import random
 import re
+from bisect import bisect_right
 from collections import defaultdict, deque
 from collections.abc import Iterator, Sequence
 
@@ -349,13 +350,17 @@ def train(count: int = 500, rounds: int = 40, seed: int = 11) -> dict[str, float
 def all_spans(text: str, weights: dict[str, float]) -> list[tuple[str, int, int]]:
     """Base spans and the field's spans that touch none of them, by kind and start."""
     base = base_spans(text)
-    taken = sorted((s, e) for _, s, e in base)
-    more, k = [], 0
+    taken: list[list[int]] = []  # what base spans cover, in disjoint stretches
+    for s, e in sorted((s, e) for _, s, e in base):
+        if taken and s < taken[-1][1]:
+            taken[-1][1] = max(taken[-1][1], e)
+        else:
+            taken.append([s, e])
+    more = []
     for a, b in regions(text) if "@" in text or _DIGIT.search(text) else ():
         for kind, x, y in field_spans(text, a, b, weights):
-            while k < len(taken) and taken[k][1] <= x:
-                k += 1
-            if not any(p < y and x < q for p, q in taken[max(0, k - 4) : k + 4]):
+            k = bisect_right(taken, x, key=lambda t: t[1])  # the first that ends after x
+            if k == len(taken) or taken[k][0] >= y:
                 more.append((kind, x, y))
     return sorted(((k, s, e) for k, s, e in base + more), key=lambda z: (KINDS.index(z[0]), z[1]))
 
