@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docketry.llm.text import frugal, small_batches
+from docketry.llm.text import frugal, small_batches, string_bytes
 
 NONE = np.int64(2**62)
 REMEMBERED = 150_000
@@ -295,7 +295,7 @@ def _which(path: str | None, pattern: str | None) -> tuple[str, str]:
 
 
 def _replaced(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
-    keep = [k for k, x in enumerate(batch.schema.names) if x != name]
+    keep = [k for k, x in enumerate(batch.schema.names) if x.lower() != name.lower()]
     return pa.record_batch([*(batch.column(k) for k in keep), values], names=[*(batch.schema.names[k] for k in keep), name])
 
 
@@ -310,8 +310,8 @@ def _runs(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:
 
 def bpe_encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", path: str | None = None, pattern: str | None = None) -> DataFrame:
     """Add ``ids_col``, the token ids (array of int) of each text."""
-    kept = [F.col(f"`{c}`") for c in df.columns if c != ids_col]
-    names = [c for c in df.columns if c != ids_col]
+    names = [c for c in df.columns if c.lower() != ids_col.lower()]
+    kept = [F.col(f"`{c}`") for c in names]
     at = names.index(text_col)
     small_batches(df.sparkSession)
 
@@ -320,7 +320,7 @@ def bpe_encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", path
         for batch in batches:
             col = batch.column(at)
             col = col.fill_null("") if col.null_count else col
-            size = np.diff(np.frombuffer(col.buffers()[1], np.int32)[col.offset : col.offset + len(col) + 1])
+            size = np.diff(string_bytes(col)[1])
             for i, j in _runs(size, CHUNK_CHARS):
                 ids, sizes = c.encode(col.slice(i, j - i).to_pylist())
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
@@ -335,7 +335,7 @@ def bpe_encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", path
 
 def bpe_decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", path: str | None = None) -> DataFrame:
     """Add ``out_col``, the bytes that the ids stand for; null ids count as none."""
-    kept = [c for c in df.columns if c != out_col]
+    kept = [c for c in df.columns if c.lower() != out_col.lower()]
     small_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
