@@ -95,6 +95,14 @@ def test_embeddings_match_brute_force(spark, monkeypatch, tile):
     assert embedding_dedup.embedding_dedup(df.limit(0)).count() == 0
 
 
+def test_repeated_vectors_are_dealt_over_tiles(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "TILE_ROWS", 5)
+    rows = [(1, [1.0, 0.0, 0.5], 1)] * 40 + [(2, [1.0, 0.0, 0.5], 1), (3, [0.0, 1.0, 0.0], 1), (None, [1.0, 0.0, 0.5], 1)]
+    got = embedding_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    # a repeated vec_id's rows show the sum of their links, and don't count each other
+    assert collections.Counter((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got) == {(1, 40, 1, True): 40, (2, 40, 1, False): 1, (3, 0, 3, True): 1, (None, 0, None, True): 1}
+
+
 # --- 2 decontamination ------------------------------------------------------------------
 
 
@@ -115,6 +123,27 @@ def brute_hits(docs, items, window=13):
     return out
 
 
+def fast_hits(docs, items, window=13):
+    """What brute_hits finds, by a table of all windows."""
+    find = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
+    known = collections.defaultdict(set)
+    for item, x in items:
+        x = find(x)
+        n = min(window, len(x))
+        for s in range(len(x) - n + 1) if x and item is not None else ():
+            known[tuple(x[s : s + n])].add(str(item))
+    out = []
+    for _, t in docs:
+        w, hit, named = find(t), set(), set()
+        for n in range(1, window + 1):
+            for p in range(len(w) - n + 1):
+                if found := known.get(tuple(w[p : p + n])):
+                    hit.update(range(p, p + n))
+                    named |= found
+        out.append((len(w), len(hit), sorted(named), bool(hit) and 20 * len(hit) >= len(w)))
+    return out
+
+
 def test_decontamination_matches_brute_force(spark):
     r = random.Random(2)
     words = [f"w{k}" for k in range(30)]
@@ -125,6 +154,7 @@ def test_decontamination_matches_brute_force(spark):
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     got = sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["items"], r["contaminated"]) for r in decontaminate.decontaminate(d, b).collect())
     assert got == sorted((str(k), *x) for (k, _), x in zip(docs, brute_hits(docs, items), strict=True))
+    assert fast_hits(docs, items) == brute_hits(docs, items)
     assert not any(r["contaminated"] for r in decontaminate.decontaminate(d, b.limit(0)).collect())
     assert decontaminate.decontaminate(d.limit(0), b).count() == 0
 
@@ -286,6 +316,14 @@ def test_field_finds_held_out_entities():
     assert right / (right + wrong) > 0.9 and right / (right + missed) > 0.9
 
 
+def test_added_spans_touch_no_base_span():
+    w = pii.train()
+    text = "call 212-555-0187 or " + ", ".join(f"a{k}@b{k}.org +1 {200 + k} 555 0{100 + k} 10.0.0.{k} 4111 1111 1111 1111" for k in range(60))
+    base = {(s, e) for _, s, e in pii.base_spans(text)}
+    for _, s, e in pii.all_spans(text, w):
+        assert (s, e) in base or not any(s < q and p < e for p, q in base)
+
+
 def test_pii_of_odd_rows_and_long_runs(odd):
     got = pii.find_pii(odd).collect()
     assert len(got) == len(ODD) and all(isinstance(r["spans"], list) for r in got)
@@ -431,6 +469,8 @@ def test_bpe_of_odd_rows(odd):
     got = byte_bpe.bpe_decode(byte_bpe.bpe_encode(odd)).collect()
     assert sorted(((r["text"] or "").encode() for r in got)) == sorted(bytes(r["decoded"]) for r in got)
     assert byte_bpe.bpe_round_trip(odd.limit(0)).count() == 0
+    clash = odd.drop("ids", "decoded").withColumns({"IDS": F.lit(1), "Decoded": F.lit(2)})
+    assert byte_bpe.bpe_decode(byte_bpe.bpe_encode(clash)).select("ids", "decoded").count() == len(ODD)
 
 
 # --- 8 secrets --------------------------------------------------------------------------
