@@ -353,8 +353,28 @@ def bpe_decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", pa
 
 
 def bpe_round_trip(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row of ``docs``."""
-    coded = bpe_decode(bpe_encode(docs.select("doc_id", "text")).select("doc_id", "ids"))
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every row of ``docs``.
+
+    One worker encodes a text and decodes its ids again, where ``bpe_encode`` and
+    ``bpe_decode`` in a row would take two at a time.
+    """
+    small_batches(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        path, pattern = _which(None, None)
+        c, back = codec(path, pattern), decoder(path)
+        for batch in batches:
+            col = batch.column(1)
+            col = col.fill_null("") if col.null_count else col
+            for i, j in _runs(np.diff(string_bytes(col)[1]), CHUNK_CHARS):
+                ids, sizes = c.encode(col.slice(i, j - i).to_pylist())
+                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids, pa.int32()))
+                yield pa.record_batch([batch.column(0).slice(i, j - i), lists, pa.array(back.decode(ids, sizes), pa.binary())], names=["doc_id", "ids", "decoded"])
+        c.forget()
+
+    only = docs.select("doc_id", "text")
+    coded = only.mapInArrow(frugal(run), f"doc_id {only.schema['doc_id'].dataType.simpleString()}, ids array<int>, decoded binary")
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
