@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docketry.session import Scratch
+
 # --- null rules ---------------------------------------------------------------------------
 
 
@@ -130,26 +132,48 @@ def log_score(c: Column, cap: Column) -> Column:
 # --- rows ---------------------------------------------------------------------------------
 
 
+def running_total(df: DataFrame, order: Sequence[str | Column], amount: str, out: str, slices: int | None = None) -> DataFrame:
+    """Add the sum of ``amount`` over this row and those before it in a total order.
+
+    Rows are range-partitioned (into as many slices as shuffles have partitions, unless told) and summed within each slice; the sums of the slices before,
+    one short row each, give the offsets.  The slices are written once, because a second
+    evaluation could cut them elsewhere.
+    """
+    slices = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut = df.repartitionByRange(slices, *order).withColumn("__p", F.spark_partition_id())
+    cut = Scratch(df.sparkSession, "slices").table(cut)
+    own = F.sum(amount).over(W.partitionBy("__p").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow))
+    sums = cut.groupBy("__p").agg(F.sum(amount).alias("__n"))
+    before = sums.select("__p", (F.sum("__n").over(W.orderBy("__p")) - F.col("__n")).alias("__b"))  # a row for each slice
+    return cut.withColumn("__i", own).join(F.broadcast(before), "__p").withColumn(out, F.col("__b") + F.col("__i")).drop("__p", "__i", "__b")
+
+
 def average_rank_share(df: DataFrame, value: str, out: str, null_as_zero: bool = False) -> DataFrame:
     """Add the average rank of a value over the number of ranked rows.
 
-    Ranks come from counts by value: only distinct values pass through the one ordered
-    window, and the counts are joined back, so rows are never sorted in one place.
+    Ranks come from running totals of the counts by value, joined back.
     """
     v = F.coalesce(F.col(value), F.lit(0)) if null_as_zero else F.col(value)
     counts = df.where(v.isNotNull()).groupBy(v.alias("__v")).agg(F.count("*").alias("__n"))
-    below = F.sum("__n").over(W.orderBy("__v")) - F.col("__n")
-    total = F.sum("__n").over(W.partitionBy())
-    share = counts.select("__v", ((below + (F.col("__n") + 1) / 2) / total).alias(out))
+    upto = running_total(counts, ["__v"], "__n", "__upto")
+    total = F.broadcast(upto.agg(F.max("__upto").alias("__total")))  # one row
+    share = upto.crossJoin(total).select("__v", ((F.col("__upto") - F.col("__n") + (F.col("__n") + 1) / 2) / F.col("__total")).alias(out))
     return df.join(share, v == F.col("__v"), "left").drop("__v")
 
 
+def nearest_percentiles(df: DataFrame, values: Mapping[str, Column], p: float) -> DataFrame:
+    """One row: for each name the value at position floor(p * (n - 1) + 0.5) of its sorted non-null values, else 0."""
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("k"), c.cast("double").alias("v")) for k, c in values.items())))
+    counts = df.select(each.alias("x")).select("x.*").where("v is not null").groupBy("k", "v").agg(F.count("*").alias("n"))
+    upto = running_total(counts, ["k", "v"], "n", "upto")
+    ends = upto.groupBy("k").agg(F.min(F.col("upto") - F.col("n")).alias("start"), F.max("upto").alias("end"))  # a row for each name
+    place = F.floor(F.lit(p) * (F.col("end") - F.col("start") - 1) + 0.5)
+    found = upto.join(F.broadcast(ends), "k").where(F.col("upto") - F.col("start") > place)
+    return found.agg(*(F.round(F.coalesce(F.min(F.when(F.col("k") == k, F.col("v"))), F.lit(0.0)), 6).alias(k) for k in values))
+
+
 def nearest_percentile(df: DataFrame, value: Column, p: float, out: str) -> DataFrame:
-    """One row: the value at position floor(p * (n - 1) + 0.5) of the sorted non-null values, else 0."""
-    counts = df.select(value.cast("double").alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n"))
-    upto = counts.withColumn("upto", F.sum("n").over(W.orderBy("v"))).withColumn("total", F.sum("n").over(W.partitionBy()))
-    place = F.floor(F.lit(p) * (F.col("total") - 1) + 0.5)
-    return upto.where(F.col("upto") > place).agg(F.round(F.coalesce(F.min("v"), F.lit(0.0)), 6).alias(out))
+    return nearest_percentiles(df, {out: value}, p)
 
 
 def top_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

@@ -6,11 +6,10 @@ from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docketry.functions.semantics import top_by
+from docketry.functions.semantics import running_total, top_by
 
 
 def first_available(df: DataFrame, names: Sequence[str], kind: str) -> Column:
@@ -34,17 +33,10 @@ def wide_to_long(df: DataFrame, keys: Sequence[str], measures: Mapping[str, str]
     return df.select(*keys, F.explode(parts).alias("m")).select(*keys, "m.*").where("value > 0")
 
 
-def with_row_number(df: DataFrame, order: Sequence[str], start: int = 1, name: str = "source_row_number", slices: int = 64) -> DataFrame:
-    """Consecutive numbers in a total order, without sorting all rows in one task.
-
-    Rows are range-partitioned and numbered within each slice; the counts of the slices
-    before, one short row each, give the offsets.
-    """
-    cut = df.repartitionByRange(slices, *order).withColumn("__p", F.spark_partition_id())
-    cut = cut.withColumn("__i", F.row_number().over(W.partitionBy("__p").orderBy(*order)))
-    sizes = cut.groupBy("__p").agg(F.count("*").alias("__n"))
-    before = sizes.withColumn("__b", F.sum("__n").over(W.orderBy("__p")) - F.col("__n")).drop("__n")
-    return cut.join(F.broadcast(before), "__p").withColumn(name, F.col("__b") + F.col("__i") + (start - 1)).drop("__p", "__i", "__b")
+def with_row_number(df: DataFrame, order: Sequence[str | Column], start: int = 1, name: str = "source_row_number", slices: int | None = None) -> DataFrame:
+    """Consecutive numbers in a total order, without sorting all rows in one task."""
+    out = running_total(df.withColumn("__one", F.lit(1).cast("long")), order, "__one", name, slices)
+    return out.withColumn(name, F.col(name) + (start - 1)).drop("__one")
 
 
 def flat_for_export(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:

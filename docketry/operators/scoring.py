@@ -11,7 +11,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.functions.semantics import clip, known, log_score, nearest_percentile, stars, sum_across
+from docketry.functions.semantics import clip, known, log_score, nearest_percentiles, stars, sum_across
+from docketry.session import Scratch
 
 
 @dataclass(frozen=True)
@@ -85,9 +86,13 @@ def score_organizations(df: DataFrame, config: ScoreConfig | None = None) -> Dat
     legal = F.col("identity_scope") == "LEGAL_ENTITY"
     p = config.cap_percentile
     positive = lambda c, ok: F.when(known(ok & legal) & (F.col(c) >= 0), F.col(c))
-    caps = nearest_percentile(df, positive("weighted_first_count", F.col("first_valid")), p, "first_cap")
-    caps = caps.crossJoin(nearest_percentile(df, positive("weighted_second_count", F.col("second_valid")), p, "second_cap"))
-    caps = caps.crossJoin(nearest_percentile(df, positive("approvals", F.col("first_valid") & F.col("approvals_valid")), p, "approvals_cap"))
+    df = Scratch(df.sparkSession, "scores").table(df)  # read for the caps and for the scores
+    values = {
+        "first_cap": positive("weighted_first_count", F.col("first_valid")),
+        "second_cap": positive("weighted_second_count", F.col("second_valid")),
+        "approvals_cap": positive("approvals", F.col("first_valid") & F.col("approvals_valid")),
+    }
+    caps = nearest_percentiles(df, values, p)
     df = df.crossJoin(F.broadcast(caps))  # one row, whatever the input
 
     def components(x: str) -> dict[str, Column]:

@@ -93,10 +93,10 @@ def pr06(t: Tables) -> DataFrame:
     return P.with_row_number(t.part, ["p_partkey"], start=2).select("p_partkey", "source_row_number")
 
 
-@query("pr07_three_valued_filter", "SELECT o_orderkey FROM orders WHERE coalesce(CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_totalprice > 100000 END, FALSE) AND o_orderkey % 2 = 0")
+@query("pr07_three_valued_filter", "SELECT o_orderkey FROM orders WHERE coalesce(CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_totalprice > 100000 END, FALSE) AND o_totalprice < 300000")
 def pr07(t: Tables) -> DataFrame:
     maybe = F.when(C("o_orderstatus") == "P", None).otherwise(C("o_totalprice") > 100000)
-    return t.orders.where(S.known(maybe) & (C("o_orderkey") % 2 == 0)).select("o_orderkey")
+    return t.orders.where(S.known(maybe) & (C("o_totalprice") < 300000)).select("o_orderkey")
 
 
 @query("pr08_membership_predicates", "SELECT p_partkey FROM part WHERE p_size IN (1, 5, 9) AND p_retailprice BETWEEN 900 AND 1500 AND p_brand IS NOT NULL")
@@ -217,12 +217,14 @@ def jn14(t: Tables) -> DataFrame:
     return a.join(b, "k", "left").select("doc_id", "other")
 
 
-@query("jn15_blocked_candidates", """WITH k AS (SELECT s_suppkey AS a, unnest([ 'n:' || s_nationkey, 'r:' || (s_suppkey % 20) ]) AS key FROM supplier), c AS (SELECT c_custkey AS b, unnest([ 'n:' || c_nationkey, 'r:' || (c_custkey % 20) ]) AS key FROM customer WHERE c_custkey <= 60)
+@query("jn15_blocked_candidates", """WITH k AS (SELECT s_suppkey AS a, unnest([ 'n:' || s_nationkey || ':' || CAST(floor(s_acctbal / 500) AS INT), 'b:' || CAST(floor(s_acctbal) AS INT) ]) AS key FROM supplier),
+c AS (SELECT c_custkey AS b, unnest([ 'n:' || c_nationkey || ':' || CAST(floor(c_acctbal / 500) AS INT), 'b:' || CAST(floor(c_acctbal) AS INT) ]) AS key FROM customer)
 SELECT DISTINCT a, b FROM k JOIN c USING (key)""")
 def jn15(t: Tables) -> DataFrame:
-    keys = lambda n, i: F.explode(F.array(F.concat(F.lit("n:"), C(n).cast("string")), F.concat(F.lit("r:"), (C(i) % 20).cast("string")))).alias("key")
-    a = t.supplier.select(C("s_suppkey").alias("a"), keys("s_nationkey", "s_suppkey"))
-    b = t.customer.where("c_custkey <= 60").select(C("c_custkey").alias("b"), keys("c_nationkey", "c_custkey"))
+    whole = lambda c: F.floor(c).cast("int").cast("string")
+    keys = lambda n, v: F.explode(F.array(F.concat_ws(":", F.lit("n"), C(n).cast("string"), whole(C(v) / 500)), F.concat_ws(":", F.lit("b"), whole(C(v))))).alias("key")
+    a = t.supplier.select(C("s_suppkey").alias("a"), keys("s_nationkey", "s_acctbal"))
+    b = t.customer.select(C("c_custkey").alias("b"), keys("c_nationkey", "c_acctbal"))
     return a.join(b, "key").select("a", "b").distinct()
 
 
@@ -398,7 +400,7 @@ def ag30(t: Tables) -> DataFrame:
 
 @query("wn03_dense_index", "SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer")
 def wn03(t: Tables) -> DataFrame:
-    return t.customer.select("c_custkey", F.row_number().over(W.orderBy(C("c_acctbal").desc(), "c_custkey")).alias("rank"))
+    return P.with_row_number(t.customer.select("c_custkey", "c_acctbal"), [C("c_acctbal").desc(), C("c_custkey")], name="rank").select("c_custkey", "rank")
 
 
 @query("wn04_group_first_last", "SELECT DISTINCT o_custkey, first_value(o_orderkey) OVER w AS first, last_value(o_orderkey) OVER w AS last FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")

@@ -9,7 +9,7 @@ from docketry.functions import semantics as S
 from docketry.functions.names import core_name, normalize_name
 from docketry.operators.projection import first_available
 from docketry.plans.local import ENTITIES, FIRST, SECOND, Tables, entities, first_cases, query, second_cases
-from docketry.sources.files import page_text
+from docketry.sources.files import page_text, with_periods
 
 C = F.col
 
@@ -21,7 +21,8 @@ def sc09(t: Tables) -> DataFrame:
 
 @query("sc11_page_links")
 def sc11(t: Tables) -> DataFrame:
-    return page_text(t.pages.select("page_id", "html")).select("page_id", F.explode("links").alias("link"))
+    links = page_text(t.pages.select("page_id", "html")).select("page_id", F.explode("links").alias("link")).select("page_id", "link.*")
+    return with_periods(links).select("page_id", C("target").alias("link"), "text", "fiscal_year", "quarter")
 
 
 @query("sc03_schema_only", "SELECT 'region' AS relation, 2 AS columns_")
@@ -58,12 +59,40 @@ def normalize_state(c, names: dict[str, str]):
     return F.when(up.isin(*names.values()), up).otherwise(out)
 
 
-@query("fn18_exact_excerpt", "SELECT doc_id, item_id FROM documents, benchmark WHERE contains(lower(regexp_replace(documents.text, '\\s+', ' ', 'g')), lower(regexp_replace(benchmark.text, '\\s+', ' ', 'g'))) AND item_id = 0")
+_FN18 = r"""trim(regexp_replace(lower(translate(text, '‘’“”', '''''""')), '\s+', ' ', 'g'))"""
+
+
+@query("fn18_exact_excerpt", f"""WITH d AS (SELECT doc_id, {_FN18} AS t FROM documents), b AS (SELECT item_id, {_FN18} AS e FROM benchmark)
+SELECT DISTINCT doc_id, item_id FROM d JOIN b ON e <> '' AND contains(t, e)""")
 def fn18(t: Tables) -> DataFrame:
-    squeeze = lambda x: F.lower(F.regexp_replace(x, r"\s+", " "))
-    # one stated excerpt against all documents
-    one = t.benchmark.where("item_id = 0").select("item_id", squeeze(C("text")).alias("excerpt"))
-    return t.documents.select("doc_id", squeeze(C("text")).alias("t")).crossJoin(F.broadcast(one)).where(F.contains("t", "excerpt")).select("doc_id", "item_id")
+    return find_excerpts(t.documents.select("doc_id", "text"), t.benchmark.select("item_id", "text"))
+
+
+def evidence_text(c):
+    """Straight quotes, one space between words, lower case."""
+    return F.trim(F.regexp_replace(F.lower(F.translate(c, "‘’“”", "''\"\"")), r"\s+", " "))
+
+
+def find_excerpts(docs: DataFrame, excerpts: DataFrame) -> DataFrame:
+    """Distinct (doc_id, item_id) of excerpts that stand in a text of that id.
+
+    All words of an excerpt but the first and last are whole words of the text, so the
+    longest of them is the key of an equi-join.  Excerpts without one are looked up by
+    their first characters, which only costs where there are any.
+    """
+    d = docs.select("doc_id", evidence_text(C("text")).alias("t")).where("t <> ''")
+    e = excerpts.select("item_id", evidence_text(C("text")).alias("e")).where("e <> ''").withColumn("w", F.split("e", " "))
+    inner = F.array_distinct(F.expr("slice(w, 2, greatest(size(w) - 2, 0))"))
+    longest = F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
+    e = e.select("item_id", "e", longest.alias("key"), F.substring("e", 1, 3).alias("head"))
+    words = d.select("doc_id", F.explode(F.array_distinct(F.split("t", " "))).alias("key"))
+    pairs = words.join(e.where("key is not null"), "key").select("doc_id", "item_id", "e")
+    short = e.where("key is null").withColumn("n", F.length("head"))
+    for n in sorted(r["n"] for r in short.select("n").distinct().collect()):  # 1, 2 or 3
+        heads = d.select("doc_id", F.explode(F.array_distinct(F.expr(f"transform(sequence(1, length(t)), k -> substring(t, k, {n}))"))).alias("head"))
+        pairs = pairs.unionByName(heads.join(short.where(C("n") == n), "head").select("doc_id", "item_id", "e"))
+    # texts meet only the excerpts whose key they have
+    return d.join(pairs.distinct(), "doc_id").where(F.contains("t", "e")).select("doc_id", "item_id").distinct()
 
 
 @query("fn32_lists_to_text", "SELECT o_custkey, string_agg(DISTINCT o_orderstatus, '|' ORDER BY o_orderstatus) AS statuses FROM orders GROUP BY 1")

@@ -31,11 +31,13 @@ def get_session(app: str = "docketry", cores: int | str = "*", **conf: str) -> S
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    Taken from ``spark.checkpoint.dir``.  Only where that is unset (tests, a laptop)
-    a local folder is made, which is right because everything then runs on one machine.
+    Taken from ``spark.checkpoint.dir``.  Only where that is unset and the master is local
+    (tests, a laptop) a local folder is made, as everything then runs on one machine.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="docketry-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 import io
+import itertools
 import json
-import os
 import posixpath
-import re
-import tempfile
+import unicodedata
 import uuid
 import zipfile
 from collections.abc import Iterable, Sequence
@@ -21,6 +20,7 @@ from pyspark.sql import types as T
 DROPPED = frozenset(("script", "style", "noscript", "svg", "nav", "footer", "form"))
 BLOCKS = frozenset(("h1", "h2", "h3", "h4", "h5", "p", "li", "th", "td"))
 TEXT_CAP = 1_500_000
+LINK = T.StructType([T.StructField("target", T.StringType()), T.StructField("text", T.StringType())])
 
 
 def read_csv(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
@@ -48,7 +48,8 @@ class _Page(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[str] = []
-        self.links: list[str] = []
+        self.links: list[list[str]] = []
+        self.anchor = False
         self.title, self.skip, self.block, self.buffer, self.in_title = "", 0, "", [], False
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -59,10 +60,15 @@ class _Page(HTMLParser):
         elif tag in BLOCKS:
             self._close()
             self.block = tag
-        if tag == "a" and not self.skip and (href := dict(attrs).get("href")):
-            self.links.append(href)
+        if tag == "a":
+            href = dict(attrs).get("href")
+            self.anchor = bool(href)
+            if href:
+                self.links.append([href, ""])
 
     def handle_endtag(self, tag: str) -> None:
+        if tag == "a":
+            self.anchor = False
         if tag in DROPPED:
             self.skip = max(0, self.skip - 1)
         elif tag == "title":
@@ -71,6 +77,8 @@ class _Page(HTMLParser):
             self._close()
 
     def handle_data(self, data: str) -> None:
+        if self.anchor:
+            self.links[-1][1] += data
         if self.in_title:
             self.title += data
         elif self.block and not self.skip:
@@ -85,18 +93,21 @@ class _Page(HTMLParser):
         self.block, self.buffer = "", []
 
 
-def parse_page(html: str | None) -> tuple[str, str, list[str]]:
-    """Title, text by blocks without consecutive repeats, and links outside navigation."""
+def parse_page(html: str | None) -> tuple[str, str, list[tuple[str, str]]]:
+    """Title, text by blocks without consecutive repeats, and the target and text of every link.
+
+    Navigation and the like have no text of the page, but they have links.
+    """
     p = _Page()
     p.feed(html or "")
     p.close()
     p._close()
-    return " ".join(p.title.split()), "\n".join(p.lines)[:TEXT_CAP], p.links
+    return " ".join(p.title.split()), "\n".join(p.lines)[:TEXT_CAP], [(a, " ".join(b.split())) for a, b in p.links]
 
 
 def page_text(df: DataFrame, html_col: str = "html") -> DataFrame:
     """Add title, page_text and links."""
-    kind = T.StructType([T.StructField("title", T.StringType()), T.StructField("page_text", T.StringType()), T.StructField("links", T.ArrayType(T.StringType()))])
+    kind = T.StructType([T.StructField("title", T.StringType()), T.StructField("page_text", T.StringType()), T.StructField("links", T.ArrayType(LINK))])
 
     @F.pandas_udf(kind)
     def parse(s: pd.Series) -> pd.DataFrame:
@@ -105,34 +116,50 @@ def page_text(df: DataFrame, html_col: str = "html") -> DataFrame:
     return df.withColumn("__page", parse(html_col)).select("*", "__page.*").drop("__page")
 
 
+def with_periods(links: DataFrame, target: str = "target", text: str = "text") -> DataFrame:
+    """Add fiscal_year and quarter as a link's target or text tells them, else null.
+
+    A year is of four digits, after FY or alone, or of two after FY; a quarter is Q1 to Q4.
+    """
+    said = F.concat_ws(" ", F.regexp_replace(target, "%20|[_+-]", " "), F.col(text))
+    long, short = F.regexp_extract(said, r"(?i)(?:\bFY ?|\b)(20\d\d)(?!\d)", 1), F.regexp_extract(said, r"(?i)\bFY ?(\d\d)(?!\d)", 1)
+    year = F.when(long != "", long.cast("int")).when(short != "", short.cast("int") + 2000)
+    quarter = F.regexp_extract(said, r"(?i)(?:\b|\d)Q([1-4])(?!\d)", 1)
+    return links.withColumns({"fiscal_year": year, "quarter": F.when(quarter != "", quarter.cast("int"))})
+
+
 # --- sinks ------------------------------------------------------------------------------
 
 
 def publish(df: DataFrame, root: str, partition_by: Sequence[str] = ()) -> str:
-    """Write a new generation and swing the pointer to it; readers never see half of one.
-
-    ``root`` is a folder that the driver can write; data goes through Spark's writer.
-    """
+    """Write a new generation and swing the pointer to it; readers never see half of one."""
     name = f"gen-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").partitionBy(*partition_by).parquet(f"{root}/{name}")
-    write_json(f"{root}/current.json", {"generation": name})
+    write_json(df.sparkSession, f"{root}/current.json", {"generation": name})
     return f"{root}/{name}"
 
 
 def current(spark: SparkSession, root: str) -> DataFrame:
-    with open(f"{root}/current.json", encoding="utf-8") as f:
-        return spark.read.parquet(f"{root}/{json.load(f)['generation']}")
-
-
-def write_json(path: str, value) -> None:
-    """Flush, sync and replace, so that the file is the old one or the new."""
-    os.makedirs(os.path.dirname(path), exist_ok=True)
-    handle, name = tempfile.mkstemp(dir=os.path.dirname(path))
-    with os.fdopen(handle, "w", encoding="utf-8") as f:
-        json.dump(value, f, sort_keys=True)
-        f.flush()
-        os.fsync(f.fileno())
-    os.replace(name, path)
+    pointer = spark.read.text(f"{root}/current.json", wholetext=True).first()
+    return spark.read.parquet(f"{root}/{json.loads(pointer['value'])['generation']}")
+
+
+def write_json(spark: SparkSession, path: str, value) -> None:
+    """A JSON file in any file system that Spark knows: written beside its place, then renamed over it."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(path)
+    place = place.getFileSystem(conf).makeQualified(place)
+    beside = jvm.org.apache.hadoop.fs.Path(place.getParent(), f".{uuid.uuid4().hex}")
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.toUri(), conf)
+    out = place.getFileSystem(conf).create(beside, True)
+    try:
+        out.write(bytearray(json.dumps(value, sort_keys=True).encode()))
+        out.hsync()
+    finally:
+        out.close()
+    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files.rename(beside, place, over)
 
 
 def upsert(records: Iterable[dict], new: Iterable[dict], keys: Sequence[str]) -> list[dict]:
@@ -141,18 +168,15 @@ def upsert(records: Iterable[dict], new: Iterable[dict], keys: Sequence[str]) ->
     return [by[k] for k in sorted(by, key=str)]
 
 
-def header_name(raw: str) -> str:
-    """Normalised column name: lower case, runs of other signs as one underscore."""
-    import unicodedata
-
-    out = re.sub(r"[^a-z0-9]+", "_", unicodedata.normalize("NFKC", raw).strip().casefold()).strip("_")
-    return out or "unnamed_column"
-
-
 def header_names(raw: Sequence[str]) -> list[str]:
-    seen: dict[str, int] = {}
-    out = []
-    for x in map(header_name, raw):
-        seen[x] = seen.get(x, 0) + 1
-        out.append(x if seen[x] == 1 else f"{x}_{seen[x]}")
-    return out
+    """Column names of a header: lower-case words joined by underscores, all different.
+
+    A name that an earlier column has gets the least number from 2 on that makes it free.
+    """
+    taken: dict[str, None] = {}
+    for title in raw:
+        words = "".join(c if c.isascii() and c.isalnum() else " " for c in unicodedata.normalize("NFKC", title).casefold()).split()
+        name = "_".join(words) if words else "unnamed_column"
+        free = itertools.chain([name], (f"{name}_{k}" for k in itertools.count(2)))
+        taken[next(x for x in free if x not in taken)] = None
+    return list(taken)

@@ -72,3 +72,14 @@ def test_pairs_and_decisions_are_over_the_whole_table(spark, tmp_path):
         best = sorted(((v, b) for (a, b), v in score.items() if a == k), reverse=True)
         assert (r["score"], r["candidate_id"]) == best[0]
         assert r["margin"] == pytest.approx(best[0][0] - (best[1][0] if len(best) > 1 else 0), abs=1e-6)
+
+
+def test_excerpts_of_any_length_are_found(spark):
+    from docketry.plans.more import find_excerpts
+
+    docs = [(1, "The  Quick brown\nfox’s den"), (2, "xthe quick brown foxy"), (3, None), (4, ""), (5, "no"), (5, "quick thing")]
+    items = [(1, "the quick brown fox"), (2, "fox's"), (3, "n"), (4, None), (5, " "), (6, "k b"), (7, "quick  brown"), (8, "brown quick the fox")]
+    fold = lambda t: " ".join((t or "").lower().replace("’", "'").split())
+    want = {(i, k) for i, t in docs for k, x in items if fold(x) and fold(x) in fold(t)}
+    got = find_excerpts(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in got) == sorted(want)

@@ -23,7 +23,7 @@ def test_zipped_member_and_unsafe_names(spark, tmp_path):
 
 def test_page_text():
     html = "<html><title> T  x </title><nav><p>no</p><a href='/n'>n</a></nav><body><h2>Head</h2><p>one <b>two</b></p><p>one two</p><li>three</li><script>p</script><a href='/y'>y</a></body>"
-    assert files.parse_page(html) == ("T x", "[HEADING 2] Head\none two\nthree", ["/y"])
+    assert files.parse_page(html) == ("T x", "[HEADING 2] Head\none two\nthree", [("/n", "n"), ("/y", "y")])
     assert files.parse_page(None) == ("", "", [])
 
 
@@ -40,3 +40,10 @@ def test_ledger_and_headers():
     got = files.upsert([{"k": 1, "v": 1}, {"k": 2, "v": 2}], [{"k": 2, "v": 3}], ["k"])
     assert got == [{"k": 1, "v": 1}, {"k": 2, "v": 3}]
     assert files.header_names([" Job Title ", "job-title", "", "É1"]) == ["job_title", "job_title_2", "unnamed_column", "1"]
+    assert files.header_names(["a", "a_2", "a", "a"]) == ["a", "a_2", "a_3", "a_4"]
+
+
+def test_periods_of_links(spark):
+    rows = [("/LCA_Disclosure_Data_FY2024_Q3.xlsx", "", 2024, 3), ("/x.zip", "FY 23 data, Q1", 2023, 1), ("/2021-report", "Annual", 2021, None), ("/plain", "text 123456", None, None)]
+    df = spark.createDataFrame(rows, "target string, text string, y int, q int")
+    assert files.with_periods(df).where("not (fiscal_year <=> y and quarter <=> q)").count() == 0
