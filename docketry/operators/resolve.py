@@ -1,4 +1,10 @@
-"""Conservative resolution of organisation names: blocking, pair scores, decisions."""
+"""Conservative resolution of organisation names: blocking, pair scores, guards, decisions.
+
+Reviewed aliases come first, then equal names without a conflicting place, then a fuzzy
+candidate among the known entities, which is merged only when it is nearly equal, far ahead
+of the next and passes every guard.  What is left is a legal entity of its own; candidates
+that were not merged go to review.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +14,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docketry.functions.semantics import checked_join, known, stable_id
+
 AUTO, REVIEW, MARGIN = 0.97, 0.80, 0.05
+#: Words that scope comparisons leave out, words that tell an organisation's scope.
+SCOPE_STOPWORDS = ("AND", "AT", "OF", "THE")
+SCOPE_WORDS = ("AFFILIATE", "AFFILIATES", "ATHLETIC", "BRANCH", "CAMPUS", "DBA", "FOUNDATION", "HEALTH", "HOSPITAL", "HOSPITALS", "OFFICE", "RESEARCH", "SYSTEM")
 
 
 def _lcs(a: str, b: str) -> int:
@@ -50,20 +61,47 @@ def block_keys(state: Column, core: Column, acronym: Column, postal: Column) ->
     """Keys of which two names must share one to be compared."""
     return F.array_compact(
         F.array(
-            F.when((state != "") & (core != ""), F.concat(F.lit("state_prefix:"), state, F.lit(":"), F.substring(core, 1, 5))),
+            F.when((state != "") & (core != ""), F.concat(F.lit("state_prefix:"), state, F.lit(":"), F.substring(F.replace(core, F.lit(" "), F.lit("")), 1, 5))),
             F.when((state != "") & (F.length(acronym) >= 3), F.concat(F.lit("state_acronym:"), state, F.lit(":"), acronym)),
             F.when(postal != "", F.concat(F.lit("postal:"), postal)),
         )
     )
 
 
+# --- guards -----------------------------------------------------------------------------
+
+
+def location_conflict(state: Column, city: Column, other_state: Column, other_city: Column) -> Column:
+    """Both states are known and differ, or are equal while both cities are known and differ."""
+    return (state != "") & (other_state != "") & ((state != other_state) | ((city != "") & (other_city != "") & (city != other_city)))
+
+
+def suffix_conflict(a: Column, b: Column) -> Column:
+    """Both names have a legal suffix, and not the same."""
+    return (a != "") & (b != "") & (a != b)
+
+
+def scope_compatible(a: Column, b: Column) -> Column:
+    """As many informative words, initials in front apart, and the same words of scope."""
+
+    def parts(core: Column) -> Column:
+        said = F.array_join(F.filter(F.split(core, " "), lambda x: (x != "") & ~x.isin(*SCOPE_STOPWORDS)), " ")
+        return F.filter(F.split(F.regexp_replace(said, r"^(?:\S(?: |$))+", ""), " "), lambda x: x != "")
+
+    scope = lambda c: F.sort_array(F.array_intersect(parts(c), F.array(*map(F.lit, SCOPE_WORDS))))
+    return (F.size(parts(a)) == F.size(parts(b))) & (scope(a) == scope(b))
+
+
+# --- candidates -------------------------------------------------------------------------
+
+
 def candidate_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """Distinct pairs that share a block, scored.
 
     Both sides have id, core_name, acronym, state, city, postal_code.  The pairs come from
     an equi-join on exploded keys; adaptive execution splits a block that is too common.
     """
-    keyed = lambda d, p: d.select(*(F.col(c).alias(f"{p}_{c}") for c in ("id", "core_name", "state", "city", "postal_code")), F.explode(block_keys(F.col("state"), F.col("core_name"), F.col("acronym"), F.col("postal_code"))).alias("key"))
+    keyed = lambda d, p: d.select(*(F.col(c).alias(f"{p}_{c}") for c in ("id", "core_name", "state", "city", "postal_code", *(["legal_suffix"] if "legal_suffix" in d.columns else []))), F.explode(block_keys(F.col("state"), F.col("core_name"), F.col("acronym"), F.col("postal_code"))).alias("key"))
     pairs = keyed(left, "l").join(keyed(right, "r"), "key").drop("key").distinct()
     same = lambda c: (F.col(f"l_{c}") == F.col(f"r_{c}")) & (F.col(f"l_{c}") != "")
     score = name_score("l_core_name", "r_core_name") + F.when(same("state"), 0.08).otherwise(0.0) + F.when(same("city"), 0.05).otherwise(0.0) + F.when(same("postal_code"), 0.02).otherwise(0.0)
@@ -80,3 +118,129 @@ def decide(pairs: DataFrame) -> DataFrame:
     best = best.withColumn("margin", F.round(F.col("score") - F.coalesce("next", F.lit(0.0)), 6))
     status = F.when((F.col("score") >= AUTO) & (F.col("margin") >= MARGIN) & F.col("location_agreement"), "HIGH_CONFIDENCE_AUTO").when(F.col("score") >= REVIEW, "REVIEW_REQUIRED").otherwise("NEW_ENTITY")
     return best.select(F.col("l_id").alias("id"), F.col("r_id").alias("candidate_id"), "score", "margin", "location_agreement", status.alias("match_status"))
+
+
+# --- the whole resolution ---------------------------------------------------------------
+
+
+class ConflictingAliases(ValueError):
+    """Reviewed aliases of equal specificity name different entities."""
+
+
+def select_override(observations: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(observation_id, override_id): the most specific reviewed alias of each observation.
+
+    An alias has the normalized name and may ask for a source, city, state and postal code;
+    one that asks for the source is more specific than one that doesn't, then city, and so on.
+    """
+    asks = ("source_id", "city", "state", "postal_code")
+    a = aliases.select("normalized_name", *(F.col(c).alias(f"__{c}") for c in asks), F.col("legal_entity_id").alias("override_id"))
+    hit = observations.where("normalized_name <> ''").select("observation_id", "normalized_name", *asks).join(a, "normalized_name")
+    for c in asks:
+        hit = hit.where(F.col(f"__{c}").isNull() | (F.col(f"__{c}") == F.col(c)))
+    rank = F.struct(*(F.col(f"__{c}").isNotNull() for c in asks))
+    each = hit.groupBy("observation_id", rank.alias("rank")).agg(F.count_distinct("override_id").alias("n"), F.max("override_id").alias("override_id"))
+    best = each.groupBy("observation_id").agg(F.max(F.struct("rank", "n", "override_id")).alias("b")).select("observation_id", "b.n", "b.override_id")
+    if clash := best.where("n > 1").select("observation_id").take(1):
+        raise ConflictingAliases(f"reviewed aliases conflict for observation {clash[0][0]}")
+    return best.select("observation_id", "override_id")
+
+
+def _select_rejection(observations: DataFrame, rejections: DataFrame) -> DataFrame:
+    """(observation_id, rejected_id); a rejection for the source goes before one for all."""
+    r = rejections.select("normalized_name", F.col("source_id").alias("__source"), F.col("candidate_legal_entity_id").alias("rejected_id"))
+    hit = observations.select("observation_id", "normalized_name", "source_id").join(r, "normalized_name").where(F.col("__source").isNull() | (F.col("__source") == F.col("source_id")))
+    return hit.groupBy("observation_id").agg(F.max(F.struct(F.col("__source").isNotNull().alias("own"), "rejected_id"))["rejected_id"].alias("rejected_id"))
+
+
+def fuzzy_candidates(observations: DataFrame, entities: DataFrame) -> DataFrame:
+    """(observation_id, fuzzy_id, fuzzy_score, margin, auto): the best known entity of a shared block."""
+    pairs = candidate_pairs(observations.withColumnRenamed("observation_id", "id"), entities.where("core_name <> ''").withColumnRenamed("legal_entity_id", "id"))
+    safe = F.col("location_agreement") & ~suffix_conflict(F.col("l_legal_suffix"), F.col("r_legal_suffix")) & scope_compatible(F.col("l_core_name"), F.col("r_core_name"))
+    by_score = F.struct("score", F.col("r_id").alias("id"), known(safe).alias("safe"))
+    # the two best of each observation, by two aggregates whose partial results stay small
+    first = pairs.groupBy("l_id").agg(F.max(by_score).alias("b"))
+    rest = pairs.join(first.select("l_id", F.col("b.id").alias("__best")), "l_id").where("r_id <> __best").groupBy("l_id").agg(F.max("score").alias("next"))
+    both = first.join(rest, "l_id", "left").withColumn("margin", F.round(F.col("b.score") - F.coalesce("next", F.lit(0.0)), 6))
+    auto = F.col("b.safe") & (F.col("b.score") >= AUTO) & (F.col("margin") >= MARGIN)
+    return both.select(F.col("l_id").alias("observation_id"), F.col("b.id").alias("fuzzy_id"), F.col("b.score").alias("fuzzy_score"), "margin", auto.alias("auto"))
+
+
+_PLACE = ("core_name", "state", "city", "postal_code")
+_DECISION = "observation_id string, match_status string, match_method string, legal_entity_id string, candidate_legal_entity_id string, match_score double, candidate_margin double"
+
+
+def _score(a, b) -> float:
+    same = lambda c: bool(a[c]) and a[c] == b[c]
+    name = 0.6 * token_set_ratio(a["core_name"], b["core_name"]) / 100 + 0.25 * ratio(a["core_name"], b["core_name"]) / 100
+    return round(name + 0.08 * same("state") + 0.05 * same("city") + 0.02 * same("postal_code"), 6)
+
+
+def _conflict(a, b) -> bool:
+    return bool(a["state"] and b["state"] and (a["state"] != b["state"] or (a["city"] and b["city"] and a["city"] != b["city"])))
+
+
+def _of_one_name(key: tuple, seen: pd.DataFrame, known_: pd.DataFrame) -> pd.DataFrame:
+    """Decisions on all observations of one normalized name, the commonest first.
+
+    Only here does order count: an entity that one observation founds has the name that the
+    later ones are held against.
+    """
+    named = {r["legal_entity_id"]: r for r in known_.to_dict("records")}
+    rows = seen.astype(object).where(seen.notna(), None)
+    rows = rows.assign(__less=-seen["occurrence_count"]).sort_values(["__less", "state", "city", "source_id", "alias_raw", "postal_code", "observation_id"])
+    out = []
+    for r in rows.to_dict("records"):
+        status, method, entity, candidate, score, margin = "UNRESOLVED", "NO_NAME", None, None, 0.0, None
+        near = [k for k, e in sorted(named.items()) if not _conflict(r, e)]
+        if r["override_id"] is not None:
+            status, method, entity, score = "MANUAL_OVERRIDE", "REVIEWED_ALIAS", r["override_id"], 1.0
+        elif not key[0]:
+            pass
+        elif len(near) == 1:
+            status, method, entity, score = "DETERMINISTIC", "EXACT_NORMALIZED_NAME", near[0], 1.0
+        elif len(named) == 1:
+            candidate = next(iter(named))
+            status, method, score = "REVIEW_REQUIRED", "EXACT_NAME_LOCATION_CONFLICT_UNMERGED", _score(r, named[candidate])
+        else:
+            candidate, score, margin = r["fuzzy_id"], r["fuzzy_score"] or 0.0, r["margin"]
+            if r["rejected_core_name"] is not None:
+                candidate = r["rejected_id"]
+                score = _score(r, {c: r[f"rejected_{c}"] for c in _PLACE})
+            if candidate is not None and candidate == r["rejected_id"]:
+                status, method = "REJECTED", "REVIEWED_REJECTION"
+            elif candidate is not None and r["auto"]:
+                status, method, entity = "HIGH_CONFIDENCE_AUTO", "FUZZY_NAME_WITH_LOCATION", candidate
+            elif candidate is not None and score >= REVIEW:
+                status, method = "REVIEW_REQUIRED", "FUZZY_CANDIDATE_UNMERGED"
+        if entity is None and key[0]:
+            entity = r["own_id"]
+            named.setdefault(entity, r)
+            if status == "UNRESOLVED":
+                status, method, score = "DETERMINISTIC", "NEW_SOURCE_LEGAL_ENTITY", 1.0
+        out.append((r["observation_id"], status, method, entity, candidate, score, margin))
+    return pd.DataFrame(out, columns=["observation_id", "match_status", "match_method", "legal_entity_id", "candidate_legal_entity_id", "match_score", "candidate_margin"])
+
+
+def resolve(observations: DataFrame, entities: DataFrame, aliases: DataFrame, rejections: DataFrame) -> DataFrame:
+    """A decision for every observation.
+
+    Observations: observation_id, source_id, alias_raw, occurrence_count and, like the known
+    entities (legal_entity_id), normalized_name, core_name, acronym, legal_suffix, city, state,
+    postal_code, all text and never null.  All entities of a shared block are scored, without a
+    shortlist.  One task holds the distinct places under which one name was observed.
+    """
+    found = fuzzy_candidates(observations, entities)
+    rejected = _select_rejection(observations, rejections)
+    place = entities.select(F.col("legal_entity_id").alias("rejected_id"), *(F.col(c).alias(f"rejected_{c}") for c in _PLACE))
+    rows = observations.select("observation_id", "source_id", "alias_raw", "occurrence_count", "normalized_name", *_PLACE, stable_id("legal_source", F.col("normalized_name"), F.col("state"), F.col("city")).alias("own_id"))
+    rows = rows.join(select_override(observations, aliases), "observation_id", "left").join(found, "observation_id", "left")
+    rows = rows.join(rejected.join(place, "rejected_id", "left"), "observation_id", "left")
+    names = entities.select("normalized_name", "legal_entity_id", *_PLACE)
+    every = rows.groupBy("normalized_name").cogroup(names.join(rows.select("normalized_name").distinct(), "normalized_name", "left_semi").groupBy("normalized_name"))
+    return every.applyInPandas(_of_one_name, _DECISION)
+
+
+def attach_ids(rows: DataFrame, decisions: DataFrame, keys: list[str]) -> DataFrame:
+    """Source rows with the ids of their observations; fails if an observation has two decisions."""
+    return checked_join(rows, decisions, keys)

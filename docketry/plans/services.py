@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from docketry.functions.names import acronym
 from docketry.functions.semantics import average_rank_share, top_by
 from docketry.operators.classify import Rule, Taxonomy, classify, classify_rows
-from docketry.operators.resolve import candidate_pairs, decide
+from docketry.operators.resolve import attach_ids, candidate_pairs, decide, location_conflict, resolve, scope_compatible, select_override, suffix_conflict
 from docketry.operators.service import Explorer, Filters
 from docketry.plans.local import ENTITIES, FIRST, Tables, entities, first_cases, query
 
@@ -69,6 +69,63 @@ def do12(t: Tables) -> DataFrame:
     return decide(do09(t))
 
 
+def _observed(t: Tables) -> DataFrame:
+    """Customers under the names of suppliers of their number, as observations of a source."""
+    name = F.concat(F.lit("SUPPLIER "), F.lpad(F.col("c_custkey").cast("string"), 9, "0"))
+    nothing = F.lit("")
+    return t.customer.select(
+        F.col("c_custkey").cast("string").alias("observation_id"), F.col("c_mktsegment").alias("source_id"), F.col("c_name").alias("alias_raw"), F.lit(1).cast("long").alias("occurrence_count"), name.alias("normalized_name"),
+        name.alias("core_name"), acronym(name).alias("acronym"), nothing.alias("legal_suffix"), nothing.alias("city"), F.col("c_nationkey").cast("string").alias("state"), nothing.alias("postal_code"),
+    )
+
+
+def _aliases(t: Tables) -> DataFrame:
+    """For every tenth supplier a reviewed alias, and a more specific one for one source."""
+    name = F.concat(F.lit("SUPPLIER "), F.lpad(F.col("s_suppkey").cast("string"), 9, "0"))
+    some = t.supplier.where("s_acctbal < 1000").select(name.alias("normalized_name"), F.col("s_suppkey").cast("string").alias("k"))
+    kinds = F.explode(F.array(F.struct(F.lit(None).cast("string").alias("source_id"), F.lit("any_").alias("p")), F.struct(F.lit("BUILDING").alias("source_id"), F.lit("own_").alias("p"))))
+    some = some.withColumn("x", kinds)
+    none = F.lit(None).cast("string")
+    return some.select("normalized_name", "x.source_id", none.alias("city"), none.alias("state"), none.alias("postal_code"), F.concat("x.p", "k").alias("legal_entity_id"))
+
+
+@query("do11_guards", """SELECT s_suppkey, s_nationkey <> c_nationkey OR floor(s_acctbal / 1000) <> floor(c_acctbal / 1000) AS location_conflict,
+  s_acctbal > 2000 AND c_acctbal > 4000 AND c_acctbal <= 8000 AS suffix_conflict, (s_acctbal > 5000) = (c_acctbal > 5000) AS scope_compatible
+FROM supplier JOIN customer ON s_suppkey = c_custkey""")
+def do11(t: Tables) -> DataFrame:
+    s, c = F.col("s_acctbal"), F.col("c_acctbal")
+    text = lambda x: F.floor(x / 1000).cast("string")
+    suffix = F.when(c > 8000, "INC").when(c > 4000, "LLC").otherwise("")
+    core = lambda x, front: F.concat(F.lit(front), F.when(x > 5000, " HOSPITAL").otherwise(" LAB"))
+    return t.supplier.join(t.customer, F.col("s_suppkey") == F.col("c_custkey")).select(
+        "s_suppkey",
+        location_conflict(F.col("s_nationkey").cast("string"), text(s), F.col("c_nationkey").cast("string"), text(c)).alias("location_conflict"),
+        suffix_conflict(F.when(s > 2000, "INC").otherwise(""), suffix).alias("suffix_conflict"),
+        scope_compatible(core(s, "A B ACME"), core(c, "THE ACME")).alias("scope_compatible"),
+    )
+
+
+@query("do13_override", """SELECT CAST(c_custkey AS VARCHAR) AS observation_id, CASE WHEN c_mktsegment = 'BUILDING' THEN 'own_' ELSE 'any_' END || s_suppkey AS override_id
+FROM customer JOIN supplier ON c_custkey = s_suppkey WHERE s_acctbal < 1000""")
+def do13(t: Tables) -> DataFrame:
+    return select_override(_observed(t), _aliases(t))
+
+
+@query("do12_resolve")
+def do12_whole(t: Tables) -> DataFrame:
+    known_ = _named(t.supplier, "s_suppkey", "s_name", "s_nationkey")
+    name = F.concat(F.lit("SUPPLIER "), F.lpad(F.col("id").cast("string"), 9, "0"))
+    known_ = known_.select(F.concat(F.lit("legal_"), F.col("id").cast("string")).alias("legal_entity_id"), name.alias("normalized_name"), name.alias("core_name"), acronym(name).alias("acronym"), F.lit("").alias("legal_suffix"), "city", "state", "postal_code")
+    none = t.spark.createDataFrame([], "source_id string, normalized_name string, candidate_legal_entity_id string")
+    return resolve(_observed(t), known_, _aliases(t), none)
+
+
+@query("do14_attach_ids", "SELECT o_orderkey, CASE WHEN s_suppkey IS NULL THEN NULL WHEN c_mktsegment = 'BUILDING' THEN 'own_' || s_suppkey ELSE 'any_' || s_suppkey END AS override_id FROM orders JOIN customer ON o_custkey = c_custkey LEFT JOIN supplier ON c_custkey = s_suppkey AND s_acctbal < 1000")
+def do14(t: Tables) -> DataFrame:
+    rows = t.orders.select("o_orderkey", F.col("o_custkey").cast("string").alias("observation_id"))
+    return attach_ids(rows, do13(t), ["observation_id"]).select("o_orderkey", "override_id")
+
+
 @query("do10_block_keys", "SELECT s_suppkey AS id, 'state_prefix:' || s_nationkey || ':' || substr(upper(regexp_replace(s_name, '[^A-Za-z0-9]+', ' ', 'g')), 1, 5) AS key FROM supplier")
 def do10(t: Tables) -> DataFrame:
     from docketry.operators.resolve import block_keys

@@ -83,3 +83,71 @@ def test_excerpts_of_any_length_are_found(spark):
     want = {(i, k) for i, t in docs for k, x in items if fold(x) and fold(x) in fold(t)}
     got = find_excerpts(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert sorted((r["doc_id"], r["item_id"]) for r in got) == sorted(want)
+
+
+def resolution(spark, observations, entities, aliases=(), rejections=()):
+    text = lambda names: ", ".join(f"{n} string" for n in names)
+    place = ["normalized_name", "core_name", "acronym", "legal_suffix", "city", "state", "postal_code"]
+    o = spark.createDataFrame(observations, f"{text(['observation_id', 'source_id', 'alias_raw'])}, occurrence_count long, {text(place)}")
+    e = spark.createDataFrame(entities, text(["legal_entity_id", *place]))
+    a = spark.createDataFrame(list(aliases), text(["source_id", "normalized_name", "city", "state", "postal_code", "legal_entity_id"]))
+    r = spark.createDataFrame(list(rejections), text(["source_id", "normalized_name", "candidate_legal_entity_id"]))
+    return {x["observation_id"]: (x["match_status"], x["match_method"], x["legal_entity_id"], x["candidate_legal_entity_id"]) for x in resolve.resolve(o, e, a, r).collect()}
+
+
+def seen(i, name, city="", state="", postal="", n=1, suffix="", source="lca"):
+    return (i, source, name, n, name, name.removesuffix(f" {suffix}"), "".join(w[0] for w in name.split()), suffix, city, state, postal)
+
+
+def whole(i, name, city="", state="", postal="", suffix=""):
+    return (i, name, name.removesuffix(f" {suffix}"), "".join(w[0] for w in name.split()), suffix, city, state, postal)
+
+
+def test_resolution_takes_each_way(spark):
+    known = [whole("e1", "ACME WIDGETS", "AUSTIN", "TX", "78701"), whole("e2", "BETA UNIVERSITY", "RENO", "NV"), whole("e3", "GAMMA TOOLS INC", "ERIE", "PA", suffix="INC"), whole("e4", "ALPHA HOSPITAL GROUP", "MIAMI", "FL")]
+    got = resolution(
+        spark,
+        [
+            seen("1", "ACME WIDGETS", "AUSTIN", "TX"),
+            seen("2", "ACME WIDGETS", "DALLAS", "TX"),  # another city: not merged
+            seen("3", "BETA UNIVERSITY", "", ""),  # no known place: no conflict
+            seen("4", "ACME WIDGETS CO", "AUSTIN", "TX", "78701"),  # nearly equal, and location agrees
+            seen("5", "GAMMA TOOLS LLC", "ERIE", "PA", suffix="LLC"),  # suffixes conflict
+            seen("6", "ALPHA GROUP HOSPITAL SYSTEM", "MIAMI", "FL"),  # scope words differ
+            seen("7", "OTHER NAME", "X", "OH", n=9),
+            seen("8", "OTHER NAME", "X", "OH", n=2),  # meets the entity that 7 founded
+            seen("9", "OTHER NAME", "Y", "OH"),
+            seen("10", ""),
+            seen("11", "REVIEWED", "Z", "CA"),
+            seen("12", "ACME WIDGET", "AUSTIN", "TX", "78701"),
+        ],
+        known,
+        [(None, "REVIEWED", None, None, None, "e1"), ("lca", "REVIEWED", None, None, None, "e2"), ("other", "REVIEWED", "Z", "CA", None, "e3")],
+        [(None, "ACME WIDGET", "e1")],
+    )
+    assert got["1"] == ("DETERMINISTIC", "EXACT_NORMALIZED_NAME", "e1", None)
+    assert got["2"][:2] == ("REVIEW_REQUIRED", "EXACT_NAME_LOCATION_CONFLICT_UNMERGED") and got["2"][3] == "e1" and got["2"][2].startswith("legal_source_")
+    assert got["3"] == ("DETERMINISTIC", "EXACT_NORMALIZED_NAME", "e2", None)
+    assert got["4"][0] == "REVIEW_REQUIRED" and got["4"][3] == "e1"  # one informative word more
+    assert got["5"][0] == "REVIEW_REQUIRED" and got["5"][3] == "e3"
+    assert got["6"][0] in ("REVIEW_REQUIRED", "DETERMINISTIC") and got["6"][2].startswith("legal_source_")
+    assert got["7"][:2] == ("DETERMINISTIC", "NEW_SOURCE_LEGAL_ENTITY")
+    assert got["8"] == ("DETERMINISTIC", "EXACT_NORMALIZED_NAME", got["7"][2], None)
+    assert got["9"][:2] == ("REVIEW_REQUIRED", "EXACT_NAME_LOCATION_CONFLICT_UNMERGED") and got["9"][3] == got["7"][2]
+    assert got["10"] == ("UNRESOLVED", "NO_NAME", None, None)
+    assert got["11"] == ("MANUAL_OVERRIDE", "REVIEWED_ALIAS", "e2", None)
+    assert got["12"] == ("REJECTED", "REVIEWED_REJECTION", got["12"][2], "e1")
+
+
+def test_fuzzy_merge_and_its_guards(spark):
+    long = "NORTHERN INDUSTRIAL ELECTRONICS MANUFACTURING PARTNERSHIP INTERNATIONAL"
+    known = [whole("e1", f"{long} INC", "AUSTIN", "TX", "78701", "INC")]
+    near = f"{long}"[:-1]
+    got = resolution(spark, [seen("1", near, "AUSTIN", "TX", "78701"), seen("2", near, "DALLAS", "TX", "75001"), seen("3", f"{near} LLC", "AUSTIN", "TX", "78701", suffix="LLC")], known)
+    assert got["1"] == ("HIGH_CONFIDENCE_AUTO", "FUZZY_NAME_WITH_LOCATION", "e1", "e1")
+    assert got["2"][0] == "REVIEW_REQUIRED" and got["3"][0] == "REVIEW_REQUIRED"
+
+
+def test_conflicting_aliases_fail(spark):
+    with pytest.raises(resolve.ConflictingAliases):
+        resolution(spark, [seen("1", "A B")], [whole("e1", "C")], [(None, "A B", None, None, None, "e1"), (None, "A B", None, None, None, "e2")])
