@@ -1,13 +1,17 @@
-"""Gates, confusion metrics and reconciliations, each one aggregate over its input."""
+"""Gates, coverage and gold checks, fingerprints, reconciliations: aggregates over their input."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+import json
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.functions.semantics import known
+from docketry.functions.names import core_name, legal_suffix, normalize_name
+from docketry.functions.semantics import known, normalize_city
+from docketry.operators.resolve import AUTO, location_conflict, name_score, suffix_conflict
 
 
 def gate(counts: DataFrame, checks: Sequence[tuple[str, Column, bool, Column]]) -> DataFrame:
@@ -31,3 +35,110 @@ def reconcile(left: DataFrame, right: DataFrame, keys: Sequence[str], value: str
     on = [F.col(f"a_{k}") == F.col(f"b_{k}") for k in keys]
     rows = a.join(b, on, "full_outer")
     return rows.agg(F.count("*").alias("keys"), F.count_if(~F.col("a_value").eqNullSafe(F.col("b_value"))).alias("mismatches"), F.count_if(F.col(f"b_{keys[0]}").isNull()).alias("missing"))
+
+
+# --- coverage of fiscal years -------------------------------------------------------------
+
+
+class IncompleteCoverage(ValueError):
+    """A year's artifacts leave quarters out, overlap or are not reviewed."""
+
+
+def coverage_problems(artifacts: DataFrame, reviewed: DataFrame) -> DataFrame:
+    """(fiscal_year, problem) of every year; null where its artifacts cover it rightly.
+
+    A year with a partial artifact must be the latest and have that one cumulative artifact;
+    any other year has one annual artifact, or quarter partitions that cover each quarter once
+    and are just those reviewed.  ``reviewed`` has fiscal_year, first and last of each segment.
+    """
+    segment = lambda a, b: F.struct(F.col(a).cast("int").alias("first"), F.col(b).cast("int").alias("last"))
+    first, last, partition = F.col("coverage_start_quarter"), F.col("fiscal_quarter"), F.col("is_quarter_partition")
+    sound = known(first <= last)
+    years = artifacts.groupBy("fiscal_year").agg(
+        F.count("*").alias("n"),
+        F.max("is_partial_period").alias("partial"),
+        F.min(partition).alias("parts"),
+        F.max(last).alias("quarter"),
+        F.count_if(~sound).alias("unsound"),
+        F.sort_array(F.flatten(F.collect_list(F.when(sound, F.sequence(first, last))))).alias("quarters"),
+        F.sort_array(F.collect_list(segment("coverage_start_quarter", "fiscal_quarter"))).alias("segments"),
+    )
+    latest = F.broadcast(artifacts.agg(F.max("fiscal_year").alias("latest")))  # one row
+    known_ = reviewed.groupBy("fiscal_year").agg(F.sort_array(F.collect_list(segment("first", "last"))).alias("right"))
+    rows = years.crossJoin(latest).join(known_, "fiscal_year", "left")
+    alone = (F.col("n") == 1) & ~F.col("parts")
+    problem = (
+        F.when(F.col("partial"), F.when(~(alone & (F.col("fiscal_year") == F.col("latest"))), "PARTIAL_YEAR"))
+        .when(alone & F.col("quarter").isNull(), None)
+        .when(~F.col("parts"), "NOT_PARTITIONED")
+        .when(F.col("unsound") > 0, "QUARTER_BOUNDS")
+        .when(F.array_join("quarters", ",") != "1,2,3,4", "QUARTERS_COVERED")
+        .when(~known(F.col("segments") == F.col("right")), "NOT_REVIEWED")
+    )
+    return rows.select("fiscal_year", problem.alias("problem"))
+
+
+def require_coverage(artifacts: DataFrame, reviewed: DataFrame) -> None:
+    bad = coverage_problems(artifacts, reviewed).where("problem is not null").orderBy("fiscal_year").limit(10).collect()
+    if bad:
+        raise IncompleteCoverage("; ".join(f"FY{r['fiscal_year']}: {r['problem']}" for r in bad))
+
+
+# --- gold pairs ---------------------------------------------------------------------------
+
+
+def gold_report(pairs: DataFrame, minimums: Mapping[str, int] | None = None) -> DataFrame:
+    """One row: how automatic matching would do on labelled pairs of names.
+
+    Pairs have category, {left,right}_{name,city,state}, expected_match, ambiguous and
+    parent_legal_pair.  It passes with precision of 0.99, no false match, no parent merged
+    with its legal entity, every ambiguous pair left to review and enough pairs of each category.
+    """
+    side = {f"{s}_{c}": f for s in ("left", "right") for c, f in (("norm", normalize_name(F.col(f"{s}_name"))), ("place", normalize_city(F.col(f"{s}_city"))))}
+    df = pairs.withColumns(side)
+    score = F.round(
+        name_score(core_name(F.col("left_norm")), core_name(F.col("right_norm")))
+        + F.when((F.col("left_state") != "") & (F.col("left_state") == F.col("right_state")), 0.08).otherwise(0.0)
+        + F.when((F.col("left_place") != "") & (F.col("left_place") == F.col("right_place")), 0.05).otherwise(0.0),
+        6,
+    )
+    near = (F.col("left_state") != "") & (F.col("left_state") == F.col("right_state")) & (F.col("left_place") != "") & (F.col("left_place") == F.col("right_place"))
+    exact = (F.col("left_norm") != "") & (F.col("left_norm") == F.col("right_norm")) & ~location_conflict(F.col("left_state"), F.col("left_place"), F.col("right_state"), F.col("right_place"))
+    fuzzy = (score >= AUTO) & near & ~suffix_conflict(legal_suffix(F.col("left_norm")), legal_suffix(F.col("right_norm")))
+    df = df.withColumn("accepted", known(exact | fuzzy))
+    got, right = F.col("accepted"), F.col("expected_match")
+    need = minimums or {}
+    n = df.agg(
+        F.count("*").alias("row_count"),
+        F.count_if(got).alias("auto_accepted"),
+        F.count_if(got & right).alias("correct_auto"),
+        F.count_if(got & ~right).alias("false_auto"),
+        F.count_if(got & F.col("parent_legal_pair")).alias("parent_legal_collapses"),
+        F.count_if("ambiguous").alias("ambiguous_total"),
+        F.count_if(F.col("ambiguous") & ~got).alias("ambiguous_routed"),
+        *(F.count_if(F.col("category") == c).alias(f"__{c}") for c in need),
+    )
+    precision = F.when(F.col("auto_accepted") == 0, 0.0).otherwise(F.col("correct_auto") / F.col("auto_accepted"))
+    passed = (precision >= 0.99) & (F.col("false_auto") == 0) & (F.col("parent_legal_collapses") == 0) & (F.col("ambiguous_routed") == F.col("ambiguous_total"))
+    for c, least in need.items():
+        passed &= F.col(f"__{c}") >= least
+    return n.select("row_count", "auto_accepted", "false_auto", "parent_legal_collapses", "ambiguous_total", "ambiguous_routed", F.round(precision, 6).alias("auto_precision"), passed.alias("passed"))
+
+
+# --- fingerprints -------------------------------------------------------------------------
+
+
+def fingerprint(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row, the digest of the rows of the given columns, whatever their order and files.
+
+    Each row's SHA-256 is cut into eight numbers, whose sums and the row count are hashed.
+    """
+    text = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("~")) for c in sorted(columns)))
+    rows = df.select(F.sha2(text, 256).alias("h"))
+    parts = [F.coalesce(F.sum(F.conv(F.substring("h", 8 * k + 1, 8), 16, 10).cast("decimal(20,0)")), F.lit(0)).cast("string") for k in range(8)]
+    return rows.agg(F.sha2(F.concat_ws("|", F.count("*").cast("string"), *parts), 256).alias("fingerprint"))
+
+
+def build_id(prefix: str, material: Mapping[str, object]) -> str:
+    """prefix- and 16 hex digits of what a build was made from: versions, counts, fingerprints."""
+    return f"{prefix}-{hashlib.sha256(json.dumps(material, sort_keys=True).encode()).hexdigest()[:16]}"

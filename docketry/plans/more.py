@@ -9,7 +9,9 @@ from docketry.functions import semantics as S
 from docketry.functions.names import core_name, normalize_name
 from docketry.operators.projection import first_available
 from docketry.plans.local import ENTITIES, FIRST, SECOND, Tables, entities, first_cases, query, second_cases
-from docketry.sources.files import page_text, with_periods
+from docketry.sources.files import current, page_text, publish, read_csv, read_optional, with_periods
+from docketry.operators.quality import coverage_problems, fingerprint, gold_report
+from docketry.session import Scratch, shared_dir
 
 C = F.col
 
@@ -30,6 +32,74 @@ def sc03(t: Tables) -> DataFrame:
     return t.spark.range(1).select(F.lit("region").alias("relation"), F.lit(len(t.region.schema)).alias("columns_"))
 
 
+@query("sc05_csv_scan", "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name FROM nation")
+def sc05(t: Tables) -> DataFrame:
+    path = Scratch(t.spark, "csv").path("nation")
+    t.nation.select("n_nationkey", "n_name").write.option("header", True).csv(path)
+    return read_csv(t.spark, path).select("n_nationkey", "n_name")
+
+
+@query("sc16_publish", "SELECT s_suppkey, s_name FROM supplier")
+def sc16(t: Tables) -> DataFrame:
+    root = Scratch(t.spark, "published").path("supplier")
+    publish(t.supplier.limit(0).select("s_suppkey", "s_name"), root)  # an older generation
+    publish(t.supplier.select("s_suppkey", "s_name"), root)
+    return current(t.spark, root)
+
+
+@query("sc17_partitioned", "SELECT CAST(year(o_orderdate) AS INT) AS fy, count(*) AS n FROM orders GROUP BY 1")
+def sc17(t: Tables) -> DataFrame:
+    root = Scratch(t.spark, "published").path("orders")
+    publish(t.orders.select("o_orderkey", F.year("o_orderdate").alias("fy")), root, ["fy"])
+    return current(t.spark, root).groupBy("fy").agg(F.count("*").alias("n"))
+
+
+@query("sc23_optional_input", "SELECT (SELECT count(*) FROM nation) AS read_, 0 AS missing, 0 AS incompatible")
+def sc23(t: Tables) -> DataFrame:
+    path = Scratch(t.spark, "optional").path("nation")
+    t.nation.write.parquet(path)
+    counts = [read_optional(t.spark, p, kinds)[0].agg(F.count("*").alias(n)) for n, p, kinds in (("read_", path, "n_nationkey bigint"), ("missing", f"{shared_dir(t.spark)}/nothing-here", "k int"), ("incompatible", path, "other string"))]
+    return counts[0].crossJoin(counts[1]).crossJoin(counts[2]).select("read_", C("missing").cast("int").alias("missing"), C("incompatible").cast("int").alias("incompatible"))
+
+
+@query("fn03_normalize_name", "SELECT s_suppkey, 'UNIVERSITY AND ' || trim(regexp_replace(upper(s_name), '[^A-Z0-9]+', ' ', 'g')) || ' INC' AS name FROM supplier")
+def fn03(t: Tables) -> DataFrame:
+    return t.supplier.select("s_suppkey", normalize_name(F.concat(F.lit("Univ. & "), C("s_name"), F.lit(", Incorporated"))).alias("name"))
+
+
+_FQ = "CAST(floor(((month(o_orderdate) + 2) % 12) / 3) AS INT) + 1"
+
+
+@query("do02_coverage", f"""WITH q AS (SELECT DISTINCT CAST(year(o_orderdate) AS INT) + CASE WHEN month(o_orderdate) >= 10 THEN 1 ELSE 0 END AS fiscal_year, {_FQ} AS q FROM orders)
+SELECT fiscal_year, CASE WHEN count(*) < 4 THEN 'QUARTERS_COVERED' WHEN fiscal_year % 2 = 1 THEN 'NOT_REVIEWED' END AS problem FROM q GROUP BY 1""")
+def do02(t: Tables) -> DataFrame:
+    quarter = S.fiscal_quarter(C("o_orderdate"))
+    found = t.orders.select(S.fiscal_year(C("o_orderdate")).alias("fiscal_year"), quarter.alias("fiscal_quarter")).distinct()
+    found = found.withColumns({"coverage_start_quarter": C("fiscal_quarter"), "is_partial_period": F.lit(False), "is_quarter_partition": F.lit(True)})
+    reviewed = found.where("fiscal_year % 2 = 0").select("fiscal_year", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("first")).distinct().withColumn("last", C("first"))
+    return coverage_problems(found, reviewed)
+
+
+@query("do15_gold_report", """WITH p AS (SELECT c_custkey % 2 = 0 AS same, c_nationkey < 10 AS moved, c_mktsegment = 'BUILDING' AS ambiguous FROM customer), a AS (SELECT *, same AND NOT moved AS accepted FROM p)
+SELECT count(*) AS row_count, count_if(accepted) AS auto_accepted, 0 AS false_auto, 0 AS parent_legal_collapses, count_if(ambiguous) AS ambiguous_total, count_if(ambiguous AND NOT accepted) AS ambiguous_routed,
+ CASE WHEN count_if(accepted) = 0 THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS auto_precision, count_if(ambiguous AND accepted) = 0 AND count_if(accepted) > 0 AS passed FROM a""")
+def do15(t: Tables) -> DataFrame:
+    same, moved = C("c_custkey") % 2 == 0, C("c_nationkey") < 10
+    rows = t.customer.select(
+        C("c_mktsegment").alias("category"), F.concat("c_name", F.lit(" LLC")).alias("left_name"), F.when(same, F.concat("c_name", F.lit(" LLC"))).otherwise("unlike").alias("right_name"),
+        F.lit("Austin").alias("left_city"), F.when(moved, "Reno").otherwise("AUSTIN").alias("right_city"), F.lit("TX").alias("left_state"), F.lit("TX").alias("right_state"),
+        same.alias("expected_match"), (C("c_mktsegment") == "BUILDING").alias("ambiguous"), F.lit(False).alias("parent_legal_pair"),
+    )
+    out = gold_report(rows)
+    return out.withColumns({c: C(c).cast("int") for c in ("false_auto", "parent_legal_collapses")})
+
+
+@query("do47_fingerprint", """WITH h AS (SELECT sha256(coalesce(CAST(c_custkey AS VARCHAR), '~') || '|' || coalesce(c_mktsegment, '~') || '|' || coalesce(c_name, '~')) AS h FROM customer)
+SELECT sha256(count(*) || '|' || """ + " || '|' || ".join(f"CAST(sum(CAST('0x' || substr(h, {8 * k + 1}, 8) AS BIGINT)) AS VARCHAR)" for k in range(8)) + ") AS fingerprint FROM h")
+def do47(t: Tables) -> DataFrame:
+    return fingerprint(t.customer, ["c_name", "c_custkey", "c_mktsegment"])
+
+
 @query("fn02_fold")
 def fn02(t: Tables) -> DataFrame:
     # the fold sees each distinct word once

@@ -13,6 +13,8 @@ from collections.abc import Iterable, Sequence
 from html.parser import HTMLParser
 
 import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +30,25 @@ def read_csv(spark: SparkSession, path: str, separator: str = ",") -> DataFrame:
     return spark.read.option("header", True).option("sep", separator).option("inferSchema", False).csv(path)
 
 
+def read_optional(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, str | None]:
+    """A table that may be missing or of another shape, and why it was left out, if it was.
+
+    The schema is looked at here, not when the rows are read, so that a bad file costs a
+    warning and gives a typed empty table.  Tables that must exist are read plainly, and raise.
+    """
+    kinds = T.StructType.fromDDL(schema)
+    why = None
+    try:
+        found = spark.read.parquet(path)
+        if absent := [f.name for f in kinds if f.name not in found.columns]:
+            why = f"{path} lacks {', '.join(absent)}"
+        else:
+            return found.select(*(F.col(f"`{f.name}`").cast(f.dataType) for f in kinds)), None
+    except (AnalysisException, Py4JJavaError) as e:
+        why = f"{path} can't be read: {str(e).splitlines()[0]}"
+    return spark.createDataFrame([], kinds), why
+
+
 def read_zipped_csv(spark: SparkSession, path: str, member: str, columns: Sequence[str], separator: str = ",") -> DataFrame:
     """A named member of each archive, read where the archive is; unsafe names are refused."""
     if member != posixpath.normpath(member) or member.startswith(("/", "..")) or "\\" in member:

@@ -1,7 +1,7 @@
 """Classifier truth table, similarity definitions, explorer clamps and refusals."""
 
 import pytest
-from docketry.operators import resolve
+from docketry.operators import quality, resolve
 from docketry.operators.classify import Rule, Taxonomy, classify
 from docketry.operators.projection import clamp
 from docketry.operators.service import Explorer
@@ -151,3 +151,26 @@ def test_fuzzy_merge_and_its_guards(spark):
 def test_conflicting_aliases_fail(spark):
     with pytest.raises(resolve.ConflictingAliases):
         resolution(spark, [seen("1", "A B")], [whole("e1", "C")], [(None, "A B", None, None, None, "e1"), (None, "A B", None, None, None, "e2")])
+
+
+def test_coverage_of_fiscal_years(spark):
+    kinds = "fiscal_year int, coverage_start_quarter int, fiscal_quarter int, is_partial_period boolean, is_quarter_partition boolean"
+    full = [(2020, None, None, False, False), (2021, 1, 1, False, True), (2021, 2, 4, False, True), (2022, 1, 2, False, True), (2022, 2, 4, False, True), (2023, 4, 3, False, True), (2019, None, 4, False, False), (2018, 1, 4, False, True), (2024, 1, 2, True, False), (2017, 1, 2, True, False)]
+    reviewed = spark.createDataFrame([(2021, 1, 1), (2021, 2, 4), (2022, 1, 2), (2022, 3, 4)], "fiscal_year int, first int, last int")
+    got = {r["fiscal_year"]: r["problem"] for r in quality.coverage_problems(spark.createDataFrame(full, kinds), reviewed).collect()}
+    assert got == {2017: "PARTIAL_YEAR", 2018: "NOT_REVIEWED", 2019: "NOT_PARTITIONED", 2020: None, 2021: None, 2022: "QUARTERS_COVERED", 2023: "QUARTER_BOUNDS", 2024: None}
+    with pytest.raises(quality.IncompleteCoverage, match="FY2017: PARTIAL_YEAR"):
+        quality.require_coverage(spark.createDataFrame(full, kinds), reviewed)
+    quality.require_coverage(spark.createDataFrame(full[:3], kinds), reviewed)
+
+
+def test_gold_report_and_build_ids(spark):
+    kinds = "category string, left_name string, right_name string, left_city string, right_city string, left_state string, right_state string, expected_match boolean, ambiguous boolean, parent_legal_pair boolean"
+    rows = [("a", "Acme Inc.", "ACME, Incorporated", "X", "x", "TX", "TX", True, False, False), ("a", "Acme", "Acme", "X", "Y", "TX", "TX", False, True, False), ("b", "Beta", "Gamma", "", "", "", "", False, False, True)]
+    report = lambda more, **need: quality.gold_report(spark.createDataFrame([*rows, *more], kinds), need).first()
+    assert report([], a=2, b=1)["passed"] and not report([], a=3)["passed"]
+    bad = report([("b", "Delta", "Delta", "", "", "", "", False, False, True)])
+    assert (bad["false_auto"], bad["parent_legal_collapses"], bad["auto_precision"], bad["passed"]) == (1, 1, 0.5, False)
+    one, two = (quality.fingerprint(spark.range(9).repartition(n), ["id"]).first()[0] for n in (1, 4))
+    assert one == two != quality.fingerprint(spark.range(8), ["id"]).first()[0]
+    assert quality.build_id("p", {"b": 1, "a": one}) == quality.build_id("p", {"a": one, "b": 1})
