@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docketry.functions.names import core_name, legal_suffix, normalize_name
-from docketry.functions.semantics import known, normalize_city
+from docketry.functions.semantics import checked_join, evidence_text, is_official, known, normalize_city
 from docketry.operators.resolve import AUTO, location_conflict, name_score, suffix_conflict
 
 
@@ -125,6 +125,39 @@ def gold_report(pairs: DataFrame, minimums: Mapping[str, int] | None = None) ->
     return n.select("row_count", "auto_accepted", "false_auto", "parent_legal_collapses", "ambiguous_total", "ambiguous_routed", F.round(precision, 6).alias("auto_precision"), passed.alias("passed"))
 
 
+# --- reviewed facts against a benchmark ---------------------------------------------------
+
+
+def policy_evaluation(facts: DataFrame, documents: DataFrame, annotations: DataFrame, institutions: int = 30) -> DataFrame:
+    """One row: how far accepted facts agree with annotations, and whether all are supported.
+
+    A fact counts if its review accepted it and it is current.  An annotation is met by the
+    fact of its institution, address and type; that is correct if the value is equal, the
+    annotated excerpt stands in the fact's and the fact's was verified.  Of several such
+    facts the largest (by value, excerpt, verified) is taken.
+    """
+    now = facts.where(known((F.col("human_review_status") == "REVIEWED_ACCEPTED") & F.col("is_current")) & F.col("valid_to").isNull())
+    keys = ["policy_document_id", "institution_id"]
+    domain = F.rtrim(F.lower(F.coalesce("official_domain", F.lit(""))), F.lit("."))
+    now = checked_join(now, documents.select(*keys, domain.alias("__domain")), keys)
+    official = known(F.col("__domain") != "") & is_official(F.col("source_url"), F.col("__domain"))
+    said, verified = known(F.trim("supporting_excerpt") != ""), known(F.col("exact_excerpt_verified"))
+    now = now.select("institution_id", "source_url", "fact_type", "fact_value", "supporting_excerpt", official.alias("official"), said.alias("said"), verified.alias("verified"))
+    totals = now.agg(F.count("*").alias("n"), F.count_if("official").alias("urls"), F.count_if("said").alias("excerpts"), F.count_if(~F.col("verified") | ~F.col("official") | ~F.col("said")).alias("unsupported"))
+    on = ["institution_id", "source_url", "fact_type"]
+    one = now.groupBy(*on).agg(F.max(F.struct("fact_value", "supporting_excerpt", "verified")).alias("fact"))
+    met = annotations.join(one, on, "left")
+    want = evidence_text(F.col("supporting_excerpt"))
+    right = (F.col("fact.fact_value") == F.col("expected_value")) & (want != "") & F.contains(evidence_text(F.col("fact.supporting_excerpt")), want) & F.col("fact.verified")
+    n = met.agg(F.count("*").alias("annotations"), F.count_distinct("institution_id").alias("institutions"), F.count_if(F.col("fact").isNotNull()).alias("evaluated"), F.count_if(known(right)).alias("correct"))
+    share = lambda a, b: F.round(F.when(F.col(b) == 0, 0.0).otherwise(F.col(a) / F.col(b)), 6)
+    out = n.crossJoin(F.broadcast(totals))  # one row each
+    out = out.withColumns({"precision_": share("correct", "evaluated"), "coverage": share("evaluated", "annotations"), "url_rate": share("urls", "n"), "excerpt_rate": share("excerpts", "n")})
+    whole = (F.col("evaluated") == F.col("annotations")) & (F.col("annotations") > 0) & (F.col("urls") == F.col("n")) & (F.col("excerpts") == F.col("n")) & (F.col("n") > 0)
+    passed = (F.col("institutions") >= institutions) & (F.col("precision_") >= 0.95) & whole & (F.col("unsupported") == 0)
+    return out.select("annotations", "institutions", "evaluated", "correct", "precision_", "coverage", "url_rate", "excerpt_rate", "unsupported", passed.alias("passed"))
+
+
 # --- fingerprints -------------------------------------------------------------------------
 
 

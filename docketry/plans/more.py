@@ -10,7 +10,7 @@ from docketry.functions.names import core_name, normalize_name
 from docketry.operators.projection import first_available
 from docketry.plans.local import ENTITIES, FIRST, SECOND, Tables, entities, first_cases, query, second_cases
 from docketry.sources.files import current, page_text, publish, read_csv, read_optional, with_periods
-from docketry.operators.quality import coverage_problems, fingerprint, gold_report
+from docketry.operators.quality import coverage_problems, fingerprint, gold_report, policy_evaluation
 from docketry.session import Scratch, shared_dir
 
 C = F.col
@@ -100,6 +100,25 @@ def do47(t: Tables) -> DataFrame:
     return fingerprint(t.customer, ["c_name", "c_custkey", "c_mktsegment"])
 
 
+@query("do44_policy_evaluation", """WITH f AS (SELECT s_suppkey AS k, s_acctbal > 0 AS v, s_nationkey <> 3 AS verified, s_nationkey <> 4 AS official, s_nationkey <> 6 AS said FROM supplier WHERE s_nationkey <> 5),
+a AS (SELECT c_custkey AS k, c_acctbal > 0 AS v FROM customer), m AS (SELECT a.k, f.k IS NOT NULL AS covered, coalesce(f.v = a.v AND f.said AND f.verified, FALSE) AS correct FROM a LEFT JOIN f ON a.k = f.k)
+SELECT (SELECT count(*) FROM a) AS annotations, (SELECT count(*) FROM a) AS institutions, count_if(covered) AS evaluated, count_if(correct) AS correct, round(count_if(correct) / greatest(count_if(covered), 1), 6) AS precision_, round(count_if(covered) / count(*), 6) AS coverage,
+ (SELECT round(count_if(official) / count(*), 6) FROM f) AS url_rate, (SELECT round(count_if(said) / count(*), 6) FROM f) AS excerpt_rate, (SELECT count_if(NOT verified OR NOT official OR NOT said) FROM f) AS unsupported, FALSE AS passed FROM m""")
+def do44(t: Tables) -> DataFrame:
+    k = lambda c: C(c).cast("string")
+    url = lambda c, scheme="https": F.concat(F.lit(f"{scheme}://www.site"), k(c), F.lit(".org/policy"))
+    facts = t.supplier.select(
+        k("s_suppkey").alias("institution_id"), k("s_suppkey").alias("policy_document_id"), F.lit("sponsorship").alias("fact_type"), (C("s_acctbal") > 0).cast("string").alias("fact_value"),
+        F.when(C("s_nationkey") == 4, url("s_suppkey", "http")).otherwise(url("s_suppkey")).alias("source_url"), F.when(C("s_nationkey") == 6, " ").otherwise("The  office\nsponsors staff").alias("supporting_excerpt"),
+        (C("s_nationkey") != 3).alias("exact_excerpt_verified"), F.when(C("s_nationkey") == 5, "REJECTED").otherwise("REVIEWED_ACCEPTED").alias("human_review_status"), F.lit(True).alias("is_current"), F.lit(None).cast("date").alias("valid_to"),
+    )
+    documents = t.supplier.select(k("s_suppkey").alias("institution_id"), k("s_suppkey").alias("policy_document_id"), F.concat(F.lit("Site"), k("s_suppkey"), F.lit(".org.")).alias("official_domain"))
+    # annotations quote the page that the fact is on, under the address that the fact has
+    plain = t.customer.join(t.supplier, C("c_custkey") == C("s_suppkey"), "left")
+    quoted = plain.select(k("c_custkey").alias("institution_id"), F.when(C("s_nationkey") == 4, url("c_custkey", "http")).otherwise(url("c_custkey")).alias("source_url"), F.lit("sponsorship").alias("fact_type"), (C("c_acctbal") > 0).cast("string").alias("expected_value"), F.lit("office SPONSORS").alias("supporting_excerpt"))
+    return policy_evaluation(facts, documents, quoted)
+
+
 @query("fn02_fold")
 def fn02(t: Tables) -> DataFrame:
     # the fold sees each distinct word once
@@ -138,11 +157,6 @@ def fn18(t: Tables) -> DataFrame:
     return find_excerpts(t.documents.select("doc_id", "text"), t.benchmark.select("item_id", "text"))
 
 
-def evidence_text(c):
-    """Straight quotes, one space between words, lower case."""
-    return F.trim(F.regexp_replace(F.lower(F.translate(c, "‘’“”", "''\"\"")), r"\s+", " "))
-
-
 def find_excerpts(docs: DataFrame, excerpts: DataFrame) -> DataFrame:
     """Distinct (doc_id, item_id) of excerpts that stand in a text of that id.
 
@@ -150,8 +164,8 @@ def find_excerpts(docs: DataFrame, excerpts: DataFrame) -> DataFrame:
     longest of them is the key of an equi-join.  Excerpts without one are looked up by
     their first characters, which only costs where there are any.
     """
-    d = docs.select("doc_id", evidence_text(C("text")).alias("t")).where("t <> ''")
-    e = excerpts.select("item_id", evidence_text(C("text")).alias("e")).where("e <> ''").withColumn("w", F.split("e", " "))
+    d = docs.select("doc_id", S.evidence_text(C("text")).alias("t")).where("t <> ''")
+    e = excerpts.select("item_id", S.evidence_text(C("text")).alias("e")).where("e <> ''").withColumn("w", F.split("e", " "))
     inner = F.array_distinct(F.expr("slice(w, 2, greatest(size(w) - 2, 0))"))
     longest = F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
     e = e.select("item_id", "e", longest.alias("key"), F.substring("e", 1, 3).alias("head"))

@@ -174,3 +174,17 @@ def test_gold_report_and_build_ids(spark):
     one, two = (quality.fingerprint(spark.range(9).repartition(n), ["id"]).first()[0] for n in (1, 4))
     assert one == two != quality.fingerprint(spark.range(8), ["id"]).first()[0]
     assert quality.build_id("p", {"b": 1, "a": one}) == quality.build_id("p", {"a": one, "b": 1})
+
+
+def test_policy_evaluation_passes_and_fails(spark):
+    def report(**change):
+        fact = {"institution_id": "1", "policy_document_id": "d", "fact_type": "t", "fact_value": "YES", "source_url": "https://hr.u.edu/p", "supporting_excerpt": "We  sponsor", "exact_excerpt_verified": True, "human_review_status": "REVIEWED_ACCEPTED", "is_current": True, "valid_to": None} | change
+        kinds = ", ".join(f"{c} {'boolean' if isinstance(v, bool) else 'string'}" for c, v in fact.items())
+        documents = spark.createDataFrame([("d", "1", "U.edu.")], "policy_document_id string, institution_id string, official_domain string")
+        quoted = spark.createDataFrame([("1", "https://hr.u.edu/p", "t", "YES", "we sponsor")], "institution_id string, source_url string, fact_type string, expected_value string, supporting_excerpt string")
+        return quality.policy_evaluation(spark.createDataFrame([tuple(fact.values())], kinds), documents, quoted, institutions=1).first()
+
+    assert report()["passed"] and report()["precision_"] == 1
+    assert report(fact_value="NO")["correct"] == 0 and report(supporting_excerpt="other")["precision_"] == 0
+    assert report(exact_excerpt_verified=False)["unsupported"] == 1 and report(human_review_status="NEW")["evaluated"] == 0
+    assert not report(valid_to="2024-01-01")["passed"] and report(source_url="https://u.edu.evil.org/p")["coverage"] == 0
