@@ -108,14 +108,14 @@ def do44(t: Tables) -> DataFrame:
     k = lambda c: C(c).cast("string")
     url = lambda c, scheme="https": F.concat(F.lit(f"{scheme}://www.site"), k(c), F.lit(".org/policy"))
     facts = t.supplier.select(
-        k("s_suppkey").alias("institution_id"), k("s_suppkey").alias("policy_document_id"), F.lit("sponsorship").alias("fact_type"), (C("s_acctbal") > 0).cast("string").alias("fact_value"),
-        F.when(C("s_nationkey") == 4, url("s_suppkey", "http")).otherwise(url("s_suppkey")).alias("source_url"), F.when(C("s_nationkey") == 6, " ").otherwise("The  office\nsponsors staff").alias("supporting_excerpt"),
+        k("s_suppkey").alias("institution_id"), k("s_suppkey").alias("policy_document_id"), F.lit("support").alias("fact_type"), (C("s_acctbal") > 0).cast("string").alias("fact_value"),
+        F.when(C("s_nationkey") == 4, url("s_suppkey", "http")).otherwise(url("s_suppkey")).alias("source_url"), F.when(C("s_nationkey") == 6, " ").otherwise("The  office\nsupports staff").alias("supporting_excerpt"),
         (C("s_nationkey") != 3).alias("exact_excerpt_verified"), F.when(C("s_nationkey") == 5, "REJECTED").otherwise("REVIEWED_ACCEPTED").alias("human_review_status"), F.lit(True).alias("is_current"), F.lit(None).cast("date").alias("valid_to"),
     )
     documents = t.supplier.select(k("s_suppkey").alias("institution_id"), k("s_suppkey").alias("policy_document_id"), F.concat(F.lit("Site"), k("s_suppkey"), F.lit(".org.")).alias("official_domain"))
     # annotations quote the page that the fact is on, under the address that the fact has
     plain = t.customer.join(t.supplier, C("c_custkey") == C("s_suppkey"), "left")
-    quoted = plain.select(k("c_custkey").alias("institution_id"), F.when(C("s_nationkey") == 4, url("c_custkey", "http")).otherwise(url("c_custkey")).alias("source_url"), F.lit("sponsorship").alias("fact_type"), (C("c_acctbal") > 0).cast("string").alias("expected_value"), F.lit("office SPONSORS").alias("supporting_excerpt"))
+    quoted = plain.select(k("c_custkey").alias("institution_id"), F.when(C("s_nationkey") == 4, url("c_custkey", "http")).otherwise(url("c_custkey")).alias("source_url"), F.lit("support").alias("fact_type"), (C("c_acctbal") > 0).cast("string").alias("expected_value"), F.lit("office SUPPORTS").alias("supporting_excerpt"))
     return policy_evaluation(facts, documents, quoted)
 
 

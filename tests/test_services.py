@@ -178,10 +178,10 @@ def test_gold_report_and_build_ids(spark):
 
 def test_policy_evaluation_passes_and_fails(spark):
     def report(**change):
-        fact = {"institution_id": "1", "policy_document_id": "d", "fact_type": "t", "fact_value": "YES", "source_url": "https://hr.u.edu/p", "supporting_excerpt": "We  sponsor", "exact_excerpt_verified": True, "human_review_status": "REVIEWED_ACCEPTED", "is_current": True, "valid_to": None} | change
+        fact = {"institution_id": "1", "policy_document_id": "d", "fact_type": "t", "fact_value": "YES", "source_url": "https://hr.u.edu/p", "supporting_excerpt": "We  support", "exact_excerpt_verified": True, "human_review_status": "REVIEWED_ACCEPTED", "is_current": True, "valid_to": None} | change
         kinds = ", ".join(f"{c} {'boolean' if isinstance(v, bool) else 'string'}" for c, v in fact.items())
         documents = spark.createDataFrame([("d", "1", "U.edu.")], "policy_document_id string, institution_id string, official_domain string")
-        quoted = spark.createDataFrame([("1", "https://hr.u.edu/p", "t", "YES", "we sponsor")], "institution_id string, source_url string, fact_type string, expected_value string, supporting_excerpt string")
+        quoted = spark.createDataFrame([("1", "https://hr.u.edu/p", "t", "YES", "we support")], "institution_id string, source_url string, fact_type string, expected_value string, supporting_excerpt string")
         return quality.policy_evaluation(spark.createDataFrame([tuple(fact.values())], kinds), documents, quoted, institutions=1).first()
 
     assert report()["passed"] and report()["precision_"] == 1
