@@ -96,11 +96,6 @@ def is_official(url: Column, domain: Column) -> Column:
     return known(url.rlike("(?i)^https://") & ((h == domain) | F.endswith(h, F.concat(F.lit("."), domain))))
 
 
-def evidence_text(c: Column) -> Column:
-    """Straight quotes, one space between words, lower case."""
-    return F.trim(F.regexp_replace(F.lower(F.translate(c, "‘’“”", "''\"\"")), r"\s+", " "))
-
-
 def stars(rating: Column) -> Column:
     return F.concat(F.repeat(F.lit("★"), rating), F.repeat(F.lit("☆"), 5 - rating))
 

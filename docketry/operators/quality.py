@@ -9,8 +9,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docketry.functions.names import core_name, legal_suffix, normalize_name
-from docketry.functions.semantics import checked_join, evidence_text, is_official, known, normalize_city
+from docketry.functions.names import core_name, evidence_text, legal_suffix, normalize_name
+from docketry.functions.semantics import checked_join, is_official, known, normalize_city
 from docketry.operators.resolve import AUTO, location_conflict, name_score, suffix_conflict
 
 

@@ -45,16 +45,6 @@ def sc13(t: Tables) -> DataFrame:
     return t.orders.groupBy(F.year("o_orderdate").alias("y")).agg(F.countDistinct("o_orderstatus").alias("kinds")).where("kinds >= 2").agg(F.max("y").alias("latest"))
 
 
-@query("sc15_url_candidates", """WITH s AS (SELECT page_id, url, CAST(contains(lower(url), 'page') AS INT) + CAST(contains(lower(url), 'ref') AS INT) + CAST(contains(lower(url), 'en') AS INT) AS score FROM pages),
- h AS (SELECT *, regexp_replace(lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#:]*)', 1)), '^www\\.', '') AS host FROM s WHERE score > 0)
-SELECT page_id, host, score FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY score DESC, page_id) AS rn FROM h) WHERE rn <= 5""")
-def sc15(t: Tables) -> DataFrame:
-    score = reduce(lambda a, b: a + b, (F.contains(F.lower("url"), F.lit(w)).cast("int") for w in ("page", "ref", "en")))
-    rows = t.pages.select("page_id", S.host_of(C("url")).alias("host"), score.alias("score")).where("score > 0")
-    w = W.partitionBy("host").orderBy(C("score").desc(), "page_id")
-    return rows.withColumn("rn", F.row_number().over(w)).where("rn <= 5").drop("rn")
-
-
 @query("sc19_export_text", """SELECT o_custkey, string_agg(DISTINCT o_orderpriority, '|' ORDER BY o_orderpriority) AS families, CAST(count(*) AS VARCHAR) AS n FROM orders GROUP BY 1""")
 def sc19(t: Tables) -> DataFrame:
     rows = t.orders.groupBy("o_custkey").agg(F.array_sort(F.collect_set("o_orderpriority")).alias("families"), F.count("*").alias("n"))
@@ -565,18 +555,6 @@ def fn19(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.lower(F.substring("text", 1, 500000)).rlike("ignore (all|any) previous|system prompt|you are now|disregard the above").alias("flagged"))
 
 
-@query("fn20_document_type", "SELECT page_id, CASE WHEN contains(lower(url), 'page=') THEN 'LISTING' WHEN contains(lower(url), '#top') THEN 'ANCHOR' ELSE 'OTHER' END AS kind FROM pages")
-def fn20(t: Tables) -> DataFrame:
-    u = F.lower("url")
-    return t.pages.select("page_id", F.when(u.contains("page="), "LISTING").when(u.contains("#top"), "ANCHOR").otherwise("OTHER").alias("kind"))
-
-
-@query("fn21_stable_identity", "SELECT s_suppkey, lower(trim(regexp_replace(translate(s_name, '.,#', ''), '\\s+', ' ', 'g'))) AS name, CASE WHEN length(z) = 4 THEN '0' || z ELSE z END AS zip FROM (SELECT *, CAST(1000 + s_suppkey AS VARCHAR) AS z FROM supplier)")
-def fn21(t: Tables) -> DataFrame:
-    z = (C("s_suppkey") + 1000).cast("string")
-    return t.supplier.select("s_suppkey", F.lower(F.trim(F.regexp_replace(F.translate("s_name", ".,#", ""), r"\s+", " "))).alias("name"), F.when(F.length(z) == 4, S.zfill(z, 5)).otherwise(z).alias("zip"))
-
-
 @query("fn22_stars", "SELECT p_partkey, repeat('★', p_size % 6) || repeat('☆', 5 - p_size % 6) AS stars FROM part")
 def fn22(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", S.stars((C("p_size") % 6).cast("int")).alias("stars"))
@@ -628,11 +606,6 @@ def fn30(t: Tables) -> DataFrame:
     return t.orders.select("o_orderkey", recency(F.year("o_orderdate"), F.lit(2000), F.lit(None).cast("int")).alias("r"))
 
 
-@query("fn31_is_current", "SELECT o_orderkey, CAST(o_orderdate AS DATE) >= DATE '2001-08-01' - INTERVAL 548 DAY AS current_ FROM orders")
-def fn31(t: Tables) -> DataFrame:
-    return t.orders.select("o_orderkey", (C("o_orderdate").cast("date") >= F.date_sub(F.lit("2001-08-01").cast("date"), 548)).alias("current_"))
-
-
 @query("fn33_map_replace", "SELECT n_nationkey, CASE n_regionkey WHEN 0 THEN 'south' WHEN 1 THEN 'west' ELSE 'other' END AS area FROM nation")
 def fn33(t: Tables) -> DataFrame:
     return t.nation.select("n_nationkey", P.replace_strict(C("n_regionkey"), {0: "south", 1: "west"}, "other").alias("area"))

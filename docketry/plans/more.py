@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docketry.functions import semantics as S
-from docketry.functions.names import core_name, normalize_name
+from docketry.functions.names import core_name, evidence_text, normalize_name
 from docketry.operators.projection import first_available
 from docketry.plans.local import ENTITIES, FIRST, SECOND, Tables, entities, first_cases, query, second_cases
 from docketry.sources.files import current, page_text, publish, read_csv, read_optional, with_periods
@@ -132,22 +132,6 @@ def fn04(t: Tables) -> DataFrame:
     return t.supplier.select("s_suppkey", core_name(name).alias("core"))
 
 
-@query("fn08_normalize_state", "SELECT n_nationkey, CASE WHEN n_nationkey % 3 = 0 THEN 'WA' WHEN n_nationkey % 3 = 1 THEN 'NC' ELSE '' END AS state FROM nation")
-def fn08(t: Tables) -> DataFrame:
-    k = C("n_nationkey") % 3
-    raw = F.when(k == 0, "Washington").when(k == 1, "NORTH CAROLINA WATAUGA COUNTY").otherwise("junk")
-    return t.nation.select("n_nationkey", normalize_state(raw, {"WASHINGTON": "WA", "NORTH CAROLINA": "NC", "CAROLINA": "XX"}).alias("state"))
-
-
-def normalize_state(c, names: dict[str, str]):
-    """A code, a full name, or the longest state name that the value begins with; else empty."""
-    up = F.trim(F.regexp_replace(F.upper(F.coalesce(c, F.lit(""))), "[^A-Z]+", " "))
-    out = F.lit("")
-    for name in sorted(names, key=len):
-        out = F.when((up == name) | up.startswith(f"{name} "), F.lit(names[name])).otherwise(out)
-    return F.when(up.isin(*names.values()), up).otherwise(out)
-
-
 _FN18 = r"""trim(regexp_replace(lower(translate(text, '‘’“”', '''''""')), '\s+', ' ', 'g'))"""
 
 
@@ -164,8 +148,8 @@ def find_excerpts(docs: DataFrame, excerpts: DataFrame) -> DataFrame:
     longest of them is the key of an equi-join.  Excerpts without one are looked up by
     their first characters, which only costs where there are any.
     """
-    d = docs.select("doc_id", S.evidence_text(C("text")).alias("t")).where("t <> ''")
-    e = excerpts.select("item_id", S.evidence_text(C("text")).alias("e")).where("e <> ''").withColumn("w", F.split("e", " "))
+    d = docs.select("doc_id", evidence_text(C("text")).alias("t")).where("t <> ''")
+    e = excerpts.select("item_id", evidence_text(C("text")).alias("e")).where("e <> ''").withColumn("w", F.split("e", " "))
     inner = F.array_distinct(F.expr("slice(w, 2, greatest(size(w) - 2, 0))"))
     longest = F.array_max(F.transform(inner, lambda x: F.struct(F.length(x).alias("n"), x.alias("x"))))["x"]
     e = e.select("item_id", "e", longest.alias("key"), F.substring("e", 1, 3).alias("head"))

@@ -182,15 +182,6 @@ def do36(t: Tables) -> DataFrame:
     return with_row_number(rows.groupBy("org").agg(F.min("tier").alias("tier")), ["tier", "org"], name="rank").select("org", "tier", F.col("rank").cast("long").alias("rank"))
 
 
-@query("do37_match_evaluation", """SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 'NO_MATCH' WHEN s_suppkey % 4 = 1 THEN 'CONFIRMED_ACTIVE' WHEN s_suppkey % 4 = 2 THEN 'CONFIRMED_INACTIVE' ELSE 'AMBIGUOUS' END AS status FROM supplier""")
-def do37(t: Tables) -> DataFrame:
-    k = F.col("s_suppkey") % 4
-    rows = t.supplier.select("s_suppkey", F.when(k != 0, F.col("s_name")).alias("found"), F.when(k != 3, F.col("s_nationkey")).alias("place"), F.when(k == 1, "Open").when(k == 2, "Terminated").alias("account"), "s_name", "s_nationkey")
-    same = (F.col("found") == F.col("s_name")) & (F.col("place") == F.col("s_nationkey"))
-    status = F.when(F.col("found").isNull(), "NO_MATCH").when(same & (F.col("account") == "Open"), "CONFIRMED_ACTIVE").when(same & (F.col("account") == "Terminated"), "CONFIRMED_INACTIVE").otherwise("AMBIGUOUS")
-    return rows.select("s_suppkey", status.alias("status"))
-
-
 @query("do39_name_reconciliation", """WITH refs AS (SELECT n_name AS name, 1 AS prec, n_nationkey AS org FROM nation UNION ALL SELECT r_name, 2, 100 + r_regionkey FROM region UNION ALL SELECT n_name, 3, 200 + n_nationkey FROM nation),
  obs AS (SELECT n_nationkey AS id, n_name AS name FROM nation UNION ALL SELECT 1000 + r_regionkey, r_name FROM region UNION ALL SELECT 5000, 'NOBODY'),
  best AS (SELECT name, min(prec) AS prec FROM refs GROUP BY 1), hit AS (SELECT refs.name, count(DISTINCT org) AS orgs, min(org) AS org FROM refs JOIN best USING (name, prec) GROUP BY 1)
@@ -206,13 +197,6 @@ def do39(t: Tables) -> DataFrame:
     return obs.join(hit, "name", "left").select("id", F.when(one, F.col("org")).alias("org"), F.when(one, "MATCHED").otherwise("REVIEW").alias("status"))
 
 
-@query("do40_candidate_rank", """WITH p AS (SELECT s_suppkey, 0.7 * (rank() OVER (ORDER BY s_acctbal) + (count(*) OVER (PARTITION BY s_acctbal) - 1) / 2.0) / count(*) OVER () + 0.3 * (rank() OVER (ORDER BY s_nationkey) + (count(*) OVER (PARTITION BY s_nationkey) - 1) / 2.0) / count(*) OVER () AS v FROM supplier)
-SELECT s_suppkey, round(v, 6) AS priority FROM p ORDER BY round(v, 6) DESC, s_suppkey LIMIT 50""")
-def do40(t: Tables) -> DataFrame:
-    rows = average_rank_share(average_rank_share(t.supplier.select("s_suppkey", "s_acctbal", "s_nationkey"), "s_acctbal", "a"), "s_nationkey", "b")
-    return rows.select("s_suppkey", F.round(0.7 * F.col("a") + 0.3 * F.col("b"), 6).alias("priority")).orderBy(F.col("priority").desc(), "s_suppkey").limit(50)
-
-
 @query("do27_source_health", """SELECT 'orders' AS source_id, count(*) AS rows_, CAST(max(year(o_orderdate)) AS INT) AS latest, 'partial year ' || CAST(max(year(o_orderdate)) AS VARCHAR) AS warning FROM orders UNION ALL SELECT 'lineitem', count(*), CAST(max(year(l_shipdate)) AS INT), 'partial year ' || CAST(max(year(l_shipdate)) AS VARCHAR) FROM lineitem""")
 def do27(t: Tables) -> DataFrame:
     one = lambda name, df, d: df.agg(F.lit(name).alias("source_id"), F.count("*").alias("rows_"), F.max(F.year(d)).alias("latest")).withColumn("warning", F.concat(F.lit("partial year "), F.col("latest").cast("string")))
