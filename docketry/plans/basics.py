@@ -51,17 +51,6 @@ def sc19(t: Tables) -> DataFrame:
     return P.flat_for_export(rows, keep=["o_custkey"])
 
 
-@query("sc20_load_views", "SELECT 'nation' AS relation, count(*) AS n FROM nation UNION ALL SELECT 'region', count(*) FROM region UNION ALL SELECT 'supplier', count(*) FROM supplier")
-def sc20(t: Tables) -> DataFrame:
-    parts = [getattr(t, x).agg(F.count("*").alias("n")).select(F.lit(x).alias("relation"), "n") for x in ("nation", "region", "supplier")]
-    return reduce(DataFrame.unionByName, parts)
-
-
-@query("sc21_typed_empty", "SELECT CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS status WHERE FALSE")
-def sc21(t: Tables) -> DataFrame:
-    return P.empty(t.spark, "id long, status string")
-
-
 @query("sc22_add_missing_column", "SELECT r_regionkey, CAST(NULL AS DOUBLE) AS score FROM region")
 def sc22(t: Tables) -> DataFrame:
     return P.ensure_columns(t.region, {"score": "double", "r_regionkey": "int"}).select("r_regionkey", "score")

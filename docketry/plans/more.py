@@ -245,10 +245,3 @@ def do45(t: Tables) -> DataFrame:
     top = t.supplier.orderBy(C("s_acctbal").desc(), "s_suppkey").limit(50).select("s_suppkey")
     facts = t.lineitem.groupBy(C("l_suppkey").alias("s_suppkey"), C("l_returnflag").alias("fact")).agg(F.count("*").alias("n"))
     return top.withColumn("fact", F.explode(F.array(F.lit("A"), F.lit("N"), F.lit("R")))).join(facts, ["s_suppkey", "fact"], "left")
-
-
-@query("do48_trend_view", "SELECT coalesce(a.y, b.y) AS y, coalesce(a.n, 0) AS orders_, coalesce(b.n, 0) AS lines_ FROM (SELECT CAST(year(o_orderdate) AS INT) AS y, count(*) AS n FROM orders GROUP BY 1) a FULL OUTER JOIN (SELECT CAST(year(l_shipdate) AS INT) AS y, count(*) AS n FROM lineitem GROUP BY 1) b ON a.y = b.y")
-def do48(t: Tables) -> DataFrame:
-    a = t.orders.groupBy(F.year("o_orderdate").alias("y")).agg(F.count("*").alias("a"))
-    b = t.lineitem.groupBy(F.year("l_shipdate").alias("y")).agg(F.count("*").alias("b"))
-    return a.join(b, "y", "full_outer").select("y", F.coalesce("a", F.lit(0)).alias("orders_"), F.coalesce("b", F.lit(0)).alias("lines_"))
