@@ -224,22 +224,6 @@ def do30(t: Tables) -> DataFrame:
     return t.conversations.groupBy("conv_id").pivot("role", ["user", "assistant", "system"]).agg(F.max("turn"))
 
 
-_V1 = """WITH b AS (SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN least(100.0, greatest(0.0, ln(1 + c_acctbal) / ln(1 + 10000.0) * 100)) END AS history, CASE WHEN c_custkey % 3 <> 0 THEN CAST(c_custkey % 101 AS DOUBLE) END AS policy FROM customer),
- s AS (SELECT c_custkey, CASE WHEN history IS NULL AND policy IS NULL THEN NULL ELSE round((coalesce(history * 0.7, 0) + coalesce(policy * 0.3, 0)) / (CASE WHEN history IS NULL THEN 0 ELSE 0.7 END + CASE WHEN policy IS NULL THEN 0 ELSE 0.3 END), 2) END AS score,
-  round(CASE WHEN history IS NULL THEN 0 ELSE 0.7 END + CASE WHEN policy IS NULL THEN 0 ELSE 0.3 END, 4) AS coverage FROM b)
-SELECT c_custkey, score, coverage, CASE WHEN coverage < 0.5 OR score IS NULL THEN 'UNKNOWN' WHEN score >= 80 THEN 'A' WHEN score >= 60 THEN 'B' WHEN score >= 40 THEN 'C' ELSE 'D' END AS grade FROM s"""
-
-
-@query("do33_weighted_grades", _V1)
-def do33(t: Tables) -> DataFrame:
-    k, b = C("c_custkey"), C("c_acctbal")
-    parts = {"history": F.when(b > 0, S.log_score(b, F.lit(10000.0))), "policy": F.when(k % 3 != 0, (k % 101).cast("double"))}
-    score, cover = S.weighted(parts, {"history": 0.7, "policy": 0.3})
-    rows = t.customer.select("c_custkey", F.round(score, 2).alias("score"), F.round(cover, 4).alias("coverage"))
-    s = C("score")
-    return rows.withColumn("grade", F.when((C("coverage") < 0.5) | s.isNull(), "UNKNOWN").when(s >= 80, "A").when(s >= 60, "B").when(s >= 40, "C").otherwise("D"))
-
-
 @query("do45_review_packet", "SELECT s_suppkey, k AS fact, n FROM (SELECT s_suppkey FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 50) CROSS JOIN (VALUES ('A'), ('N'), ('R')) v(k) LEFT JOIN (SELECT l_suppkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2) ON l_suppkey = s_suppkey AND l_returnflag = k")
 def do45(t: Tables) -> DataFrame:
     top = t.supplier.orderBy(C("s_acctbal").desc(), "s_suppkey").limit(50).select("s_suppkey")
