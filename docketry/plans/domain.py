@@ -210,22 +210,6 @@ def ag31(t: Tables) -> DataFrame:
 
 # --- supersession, latest, histories --------------------------------------------------------
 
-_DO03 = """WITH r AS (SELECT conv_id, turn, role, text, lead(role) OVER w AS next_role, lead(turn) OVER w AS next_turn FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text))
-SELECT conv_id, turn, next_turn AS superseded_by FROM r WHERE role = 'user' AND next_role = 'assistant' AND next_turn > turn"""
-
-
-@query("do03_supersession", _DO03)
-def do03(t: Tables) -> DataFrame:
-    w = W.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = t.conversations.withColumns({"next_role": F.lead("role").over(w), "superseded_by": F.lead("turn").over(w)})
-    return rows.where((F.col("role") == "user") & (F.col("next_role") == "assistant") & (F.col("superseded_by") > F.col("turn"))).select("conv_id", "turn", "superseded_by")
-
-
-@query("do04_apply_supersession", f"SELECT c.conv_id, c.turn, c.role FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM ({_DO03}) s WHERE s.conv_id = c.conv_id AND s.turn = c.turn)")
-def do04(t: Tables) -> DataFrame:
-    return t.conversations.join(do03(t), ["conv_id", "turn"], "left_anti").select("conv_id", "turn", "role")
-
-
 @query("ag11_latest_per_key", "SELECT conv_id, max(turn) AS turn, max_by(role, turn) AS role FROM conversations GROUP BY 1")
 def ag11(t: Tables) -> DataFrame:
     return t.conversations.groupBy("conv_id").agg(F.max("turn").alias("turn"), F.max_by("role", "turn").alias("role"))
@@ -247,12 +231,6 @@ def do41(t: Tables) -> DataFrame:
     return closed.unionByName(new.withColumns({"valid_to": F.lit(None).cast("long"), "is_current": F.lit(True)}))
 
 
-@query("do42_review_overlay", """SELECT d.doc_id, CASE WHEN l.quality IS NULL THEN 'PENDING' WHEN l.quality = 1 THEN 'ACCEPTED' ELSE 'REJECTED' END AS review_status, l.toxic IS NOT NULL AS reviewed FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
-def do42(t: Tables) -> DataFrame:
-    q = F.col("quality")
-    return t.documents.select("doc_id").join(t.labels, "doc_id", "left").select("doc_id", F.when(q.isNull(), "PENDING").when(q == 1, "ACCEPTED").otherwise("REJECTED").alias("review_status"), F.col("toxic").isNotNull().alias("reviewed"))
-
-
 @query("do07_crosswalk", """SELECT s_suppkey, s_nationkey, c.n IS NOT NULL AND c.n > 0 AS matched, CASE WHEN c.n IS NULL THEN 'NEEDS_REVIEW' ELSE 'EXACT' END AS match_status FROM supplier LEFT JOIN (SELECT c_nationkey, count(*) AS n FROM customer WHERE c_acctbal > 9000 GROUP BY 1) c ON s_nationkey = c_nationkey""")
 def do07(t: Tables) -> DataFrame:
     c = t.customer.where("c_acctbal > 9000").groupBy("c_nationkey").agg(F.count("*").alias("n"))
@@ -329,13 +307,6 @@ def jn07(t: Tables) -> DataFrame:
     return reconcile(count(t.orders), count(t.orders.where("o_totalprice > 2000")), ["k"], "n")
 
 
-@query("do52_ledger_audit", f"""WITH led AS ({_DO03}) SELECT (SELECT count(*) FROM conversations) AS staged, (SELECT count(*) FROM led) AS superseded,
- (SELECT count(*) FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM led WHERE led.conv_id = c.conv_id AND led.turn = c.turn)) AS active, (SELECT count(DISTINCT conv_id) FROM conversations) AS cases""")
-def do52(t: Tables) -> DataFrame:
-    one = t.conversations.agg(F.count("*").alias("staged"), F.countDistinct("conv_id").alias("cases"))
-    return one.crossJoin(do03(t).agg(F.count("*").alias("superseded"))).crossJoin(do04(t).agg(F.count("*").alias("active"))).select("staged", "superseded", "active", "cases")
-
-
 @query("do53_entity_audit", f"WITH {ENTITIES}, {FIRST} SELECT legal_entity_id, legal_name, count(*) AS n, count(DISTINCT role_family) AS families, CASE WHEN count(*) >= 20 THEN 'HIGH' ELSE 'LOW' END AS confidence FROM first_cases JOIN entities USING (legal_entity_id) GROUP BY 1, 2 ORDER BY n DESC, legal_entity_id LIMIT 50")
 def do53(t: Tables) -> DataFrame:
     n = first_cases(t).groupBy("legal_entity_id").agg(F.count("*").alias("n"), F.countDistinct("role_family").alias("families"))

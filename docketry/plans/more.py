@@ -189,12 +189,6 @@ def pr15(t: Tables) -> DataFrame:
     return t.supplier.where((C("s_acctbal") >= 500) & C("s_nationkey").isin(1, 2, 3, 4, 5, 6) & C("s_name").ilike("%0%")).select("s_suppkey")
 
 
-@query("do01_active_artifacts", """SELECT o_custkey, o_orderpriority, max(o_orderdate) AS retrieved, max_by(o_orderkey, (o_orderdate, o_orderkey)) AS artifact FROM orders WHERE o_orderstatus <> 'O' GROUP BY 1, 2""")
-def do01(t: Tables) -> DataFrame:
-    rows = t.orders.where("o_orderstatus <> 'O'")
-    return rows.groupBy("o_custkey", "o_orderpriority").agg(F.max("o_orderdate").alias("retrieved"), F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("artifact"))
-
-
 @query("do05_validation_counters", "SELECT count(*) AS rows_, count_if(o_totalprice <= 0) AS non_positive, count_if(o_orderstatus NOT IN ('F', 'O', 'P')) AS bad_status, count(*) - count(DISTINCT o_orderkey) AS repeated, CASE WHEN count(*) - count(DISTINCT o_orderkey) > 0 OR count_if(o_totalprice <= 0) > 0 THEN 'FAILED' ELSE 'PASSED' END AS status FROM orders")
 def do05(t: Tables) -> DataFrame:
     n = t.orders.agg(F.count("*").alias("rows_"), F.count_if(C("o_totalprice") <= 0).alias("non_positive"), F.count_if(~C("o_orderstatus").isin("F", "O", "P")).alias("bad_status"), (F.count("*") - F.countDistinct("o_orderkey")).alias("repeated"))
@@ -207,23 +201,12 @@ def do08(t: Tables) -> DataFrame:
     return raw.groupBy(F.upper("segment").alias("name"), "state").agg(F.sum("n").alias("occurrence_count"), F.min("f").alias("first"))
 
 
-@query("do25_latest_shared_cohort", "SELECT user_id, max(value) AS top FROM events WHERE CAST(ts AS DATE) = (SELECT max(CAST(ts AS DATE)) FROM events) GROUP BY 1")
-def do25(t: Tables) -> DataFrame:
-    day = t.events.agg(F.max(C("ts").cast("date")).alias("latest"))
-    return t.events.crossJoin(F.broadcast(day)).where(C("ts").cast("date") == C("latest")).groupBy("user_id").agg(F.max("value").alias("top"))
-
-
 @query("do26_institution_metrics", "SELECT s_suppkey, count(l_orderkey) AS cases, max(CAST(year(l_shipdate) AS INT)) AS latest, count(l_orderkey) > 0 AS has_data FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey GROUP BY 1")
 def do26(t: Tables) -> DataFrame:
     n = t.lineitem.groupBy(C("l_suppkey").alias("s_suppkey")).agg(F.count("*").alias("cases"), F.max(F.year("l_shipdate")).alias("latest"))
     return t.supplier.select("s_suppkey").join(n, "s_suppkey", "left").select("s_suppkey", F.coalesce("cases", F.lit(0)).alias("cases"), "latest", C("cases").isNotNull().alias("has_data"))
 
 
-@query("do30_latest_fact_pivot", "SELECT conv_id, max(CASE WHEN role = 'user' THEN turn END) AS \"user\", max(CASE WHEN role = 'assistant' THEN turn END) AS assistant, max(CASE WHEN role = 'system' THEN turn END) AS system FROM conversations GROUP BY 1")
-def do30(t: Tables) -> DataFrame:
-    return t.conversations.groupBy("conv_id").pivot("role", ["user", "assistant", "system"]).agg(F.max("turn"))
-
-
 @query("do45_review_packet", "SELECT s_suppkey, k AS fact, n FROM (SELECT s_suppkey FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 50) CROSS JOIN (VALUES ('A'), ('N'), ('R')) v(k) LEFT JOIN (SELECT l_suppkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2) ON l_suppkey = s_suppkey AND l_returnflag = k")
 def do45(t: Tables) -> DataFrame:
     top = t.supplier.orderBy(C("s_acctbal").desc(), "s_suppkey").limit(50).select("s_suppkey")

@@ -182,21 +182,6 @@ def do36(t: Tables) -> DataFrame:
     return with_row_number(rows.groupBy("org").agg(F.min("tier").alias("tier")), ["tier", "org"], name="rank").select("org", "tier", F.col("rank").cast("long").alias("rank"))
 
 
-@query("do39_name_reconciliation", """WITH refs AS (SELECT n_name AS name, 1 AS prec, n_nationkey AS org FROM nation UNION ALL SELECT r_name, 2, 100 + r_regionkey FROM region UNION ALL SELECT n_name, 3, 200 + n_nationkey FROM nation),
- obs AS (SELECT n_nationkey AS id, n_name AS name FROM nation UNION ALL SELECT 1000 + r_regionkey, r_name FROM region UNION ALL SELECT 5000, 'NOBODY'),
- best AS (SELECT name, min(prec) AS prec FROM refs GROUP BY 1), hit AS (SELECT refs.name, count(DISTINCT org) AS orgs, min(org) AS org FROM refs JOIN best USING (name, prec) GROUP BY 1)
-SELECT id, CASE WHEN orgs = 1 THEN org END AS org, CASE WHEN orgs = 1 THEN 'MATCHED' ELSE 'REVIEW' END AS status FROM obs LEFT JOIN hit USING (name)""")
-def do39(t: Tables) -> DataFrame:
-    n, r = t.nation, t.region
-    parts = [n.select(F.col("n_name").alias("name"), F.lit(1).alias("prec"), F.col("n_nationkey").alias("org")), r.select(F.col("r_name").alias("name"), F.lit(2).alias("prec"), (F.col("r_regionkey") + 100).alias("org")), n.select(F.col("n_name").alias("name"), F.lit(3).alias("prec"), (F.col("n_nationkey") + 200).alias("org"))]
-    refs = reduce(DataFrame.unionByName, parts)
-    best = refs.groupBy("name").agg(F.min("prec").alias("prec"))
-    hit = refs.join(best, ["name", "prec"]).groupBy("name").agg(F.countDistinct("org").alias("orgs"), F.min("org").alias("org"))
-    obs = n.select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name")).unionByName(r.select((F.col("r_regionkey") + 1000).alias("id"), F.col("r_name").alias("name"))).unionByName(t.spark.sql("SELECT 5000 AS id, 'NOBODY' AS name"))
-    one = F.col("orgs") == 1
-    return obs.join(hit, "name", "left").select("id", F.when(one, F.col("org")).alias("org"), F.when(one, "MATCHED").otherwise("REVIEW").alias("status"))
-
-
 @query("do27_source_health", """SELECT 'orders' AS source_id, count(*) AS rows_, CAST(max(year(o_orderdate)) AS INT) AS latest, 'partial year ' || CAST(max(year(o_orderdate)) AS VARCHAR) AS warning FROM orders UNION ALL SELECT 'lineitem', count(*), CAST(max(year(l_shipdate)) AS INT), 'partial year ' || CAST(max(year(l_shipdate)) AS VARCHAR) FROM lineitem""")
 def do27(t: Tables) -> DataFrame:
     one = lambda name, df, d: df.agg(F.lit(name).alias("source_id"), F.count("*").alias("rows_"), F.max(F.year(d)).alias("latest")).withColumn("warning", F.concat(F.lit("partial year "), F.col("latest").cast("string")))
@@ -207,9 +192,3 @@ def do27(t: Tables) -> DataFrame:
 def do28(t: Tables) -> DataFrame:
     seen = t.orders.where("o_orderstatus <> 'P'").groupBy(F.col("o_orderpriority").alias("artifact")).agg(F.count("*").alias("n"))
     return seen.join(t.orders.where("o_totalprice > 1000").select(F.col("o_orderpriority").alias("artifact")), "artifact", "left_semi")
-
-
-@query("do29_best_evidence", "SELECT doc_id, role, turn FROM (SELECT d.doc_id, c.role, c.turn, row_number() OVER (PARTITION BY d.doc_id ORDER BY c.turn DESC NULLS LAST, c.role) AS rn FROM documents d LEFT JOIN conversations c ON d.doc_id = c.conv_id) WHERE rn = 1")
-def do29(t: Tables) -> DataFrame:
-    rows = t.documents.select("doc_id").join(t.conversations.select("conv_id", "role", "turn"), F.col("doc_id") == F.col("conv_id"), "left")
-    return top_by(rows, ["doc_id"], [F.col("turn").desc_nulls_last(), F.col("role")]).select("doc_id", "role", "turn")
