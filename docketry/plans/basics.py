@@ -32,14 +32,6 @@ def sc08(t: Tables) -> DataFrame:
     return P.wide_to_long(t.lineitem, ["l_orderkey", "l_linenumber"], {"tax": "l_tax", "discount": "l_discount"})
 
 
-@query("sc12_canonical_artifact", """WITH a AS (SELECT o_orderkey, year(o_orderdate) AS y, o_orderpriority AS p, o_orderdate AS d, CASE WHEN o_orderstatus = 'F' THEN 1 WHEN o_orderstatus = 'P' THEN 2 ELSE 3 END AS tier FROM orders)
-SELECT CAST(y AS INT) AS y, p, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY y, p ORDER BY tier, d DESC, o_orderkey) AS rn FROM a) WHERE rn = 1""")
-def sc12(t: Tables) -> DataFrame:
-    tier = F.when(C("o_orderstatus") == "F", 1).when(C("o_orderstatus") == "P", 2).otherwise(3)
-    rows = t.orders.select("o_orderkey", F.year("o_orderdate").alias("y"), C("o_orderpriority").alias("p"), C("o_orderdate").alias("d"), tier.alias("tier"))
-    return S.top_by(rows, ["y", "p"], [C("tier"), C("d").desc(), C("o_orderkey")]).select("y", "p", "o_orderkey")
-
-
 @query("sc13_latest_period_pairs", """WITH p AS (SELECT year(o_orderdate) AS y, count(DISTINCT o_orderstatus) AS kinds FROM orders GROUP BY 1) SELECT CAST(max(y) AS INT) AS latest FROM p WHERE kinds >= 2""")
 def sc13(t: Tables) -> DataFrame:
     return t.orders.groupBy(F.year("o_orderdate").alias("y")).agg(F.countDistinct("o_orderstatus").alias("kinds")).where("kinds >= 2").agg(F.max("y").alias("latest"))

@@ -272,22 +272,6 @@ def do32(t: Tables) -> DataFrame:
 
 # --- quality, audits --------------------------------------------------------------------------
 
-_CHECKS = """WITH n AS (SELECT count(*) AS orders, count(DISTINCT o_orderkey) AS keys, count_if(o_totalprice IS NULL OR o_totalprice <= 0) AS bad, count_if(c_custkey IS NULL) AS lost FROM orders LEFT JOIN customer ON o_custkey = c_custkey)
-SELECT 'unique_case_ids' AS check_id, CASE WHEN orders = keys THEN 'PASS' ELSE 'FAIL' END AS status, TRUE AS critical, CAST(orders - keys AS DOUBLE) AS observed FROM n
-UNION ALL SELECT 'positive_amounts', CASE WHEN bad = 0 THEN 'PASS' ELSE 'WARN' END, FALSE, CAST(bad AS DOUBLE) FROM n
-UNION ALL SELECT 'entity_rate', CASE WHEN (orders - lost) >= 0.95 * orders THEN 'PASS' ELSE 'FAIL' END, TRUE, round(CAST(orders - lost AS DOUBLE) / greatest(orders, 1), 6) FROM n"""
-
-
-@query("do46_quality_gate", _CHECKS)
-def do46(t: Tables) -> DataFrame:
-    from docketry.operators.quality import gate
-
-    rows = t.orders.join(t.customer.select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"), "left")
-    n, keys, bad, lost = (F.col(x) for x in ("n", "keys", "bad", "lost"))
-    counts = rows.agg(F.count("*").alias("n"), F.countDistinct("o_orderkey").alias("keys"), F.count_if(F.col("o_totalprice").isNull() | (F.col("o_totalprice") <= 0)).alias("bad"), F.count_if(F.col("c_custkey").isNull()).alias("lost"))
-    return gate(counts, [("unique_case_ids", n == keys, True, n - keys), ("positive_amounts", bad == 0, False, bad), ("entity_rate", n - lost >= 0.95 * n, True, F.round((n - lost) / F.greatest(n, F.lit(1)), 6))])
-
-
 @query("ag32_confusion_metrics", """WITH p AS (SELECT l.quality = 1 AS gold, n_chars >= 1000 AS pred FROM labels l JOIN documents d ON l.doc_id = d.doc_id)
 SELECT count_if(gold AND pred) AS tp, count_if(NOT gold AND pred) AS fp, count_if(gold AND NOT pred) AS fn, round(CASE WHEN count_if(pred) = 0 THEN 0.0 ELSE CAST(count_if(gold AND pred) AS DOUBLE) / count_if(pred) END, 6) AS precision_,
  round(CASE WHEN count_if(gold) = 0 THEN 0.0 ELSE CAST(count_if(gold AND pred) AS DOUBLE) / count_if(gold) END, 6) AS recall FROM p""")

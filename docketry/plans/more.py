@@ -205,10 +205,3 @@ def do08(t: Tables) -> DataFrame:
 def do26(t: Tables) -> DataFrame:
     n = t.lineitem.groupBy(C("l_suppkey").alias("s_suppkey")).agg(F.count("*").alias("cases"), F.max(F.year("l_shipdate")).alias("latest"))
     return t.supplier.select("s_suppkey").join(n, "s_suppkey", "left").select("s_suppkey", F.coalesce("cases", F.lit(0)).alias("cases"), "latest", C("cases").isNotNull().alias("has_data"))
-
-
-@query("do45_review_packet", "SELECT s_suppkey, k AS fact, n FROM (SELECT s_suppkey FROM supplier ORDER BY s_acctbal DESC, s_suppkey LIMIT 50) CROSS JOIN (VALUES ('A'), ('N'), ('R')) v(k) LEFT JOIN (SELECT l_suppkey, l_returnflag, count(*) AS n FROM lineitem GROUP BY 1, 2) ON l_suppkey = s_suppkey AND l_returnflag = k")
-def do45(t: Tables) -> DataFrame:
-    top = t.supplier.orderBy(C("s_acctbal").desc(), "s_suppkey").limit(50).select("s_suppkey")
-    facts = t.lineitem.groupBy(C("l_suppkey").alias("s_suppkey"), C("l_returnflag").alias("fact")).agg(F.count("*").alias("n"))
-    return top.withColumn("fact", F.explode(F.array(F.lit("A"), F.lit("N"), F.lit("R")))).join(facts, ["s_suppkey", "fact"], "left")

@@ -46,18 +46,6 @@ def do17(t: Tables) -> DataFrame:
     return classify_rows(rows, TAXONOMY, "title", "code").select("l_orderkey", "l_linenumber", "role_family")
 
 
-@query("do18_taxonomy_change", f"""SELECT a.classification_method AS before_, CASE WHEN a.classification_method = 'SOC_MAPPING' THEN 'DEFAULT' ELSE a.classification_method END AS after_, count(*) AS n FROM ({_CLASSIFY}) a GROUP BY 1, 2""")
-def do18(t: Tables) -> DataFrame:
-    a = do16(t).select("p_partkey", F.col("classification_method").alias("before_"))
-    b = a.select("p_partkey", F.when(F.col("before_") == "SOC_MAPPING", "DEFAULT").otherwise(F.col("before_")).alias("after_"))
-    return a.join(b, "p_partkey").groupBy("before_", "after_").agg(F.count("*").alias("n"))
-
-
-def _named(df: DataFrame, key: str, name: str, nation: str) -> DataFrame:
-    core = F.upper(F.regexp_replace(name, "[^A-Za-z0-9]+", " "))
-    return df.select(F.col(key).alias("id"), core.alias("core_name"), acronym(core).alias("acronym"), F.col(nation).cast("string").alias("state"), F.lit("").alias("city"), F.lit("").alias("postal_code"))
-
-
 @query("do09_pair_scores")
 def do09(t: Tables) -> DataFrame:
     # every name against the whole table, itself included
@@ -182,12 +170,6 @@ def do36(t: Tables) -> DataFrame:
     return with_row_number(rows.groupBy("org").agg(F.min("tier").alias("tier")), ["tier", "org"], name="rank").select("org", "tier", F.col("rank").cast("long").alias("rank"))
 
 
-@query("do27_source_health", """SELECT 'orders' AS source_id, count(*) AS rows_, CAST(max(year(o_orderdate)) AS INT) AS latest, 'partial year ' || CAST(max(year(o_orderdate)) AS VARCHAR) AS warning FROM orders UNION ALL SELECT 'lineitem', count(*), CAST(max(year(l_shipdate)) AS INT), 'partial year ' || CAST(max(year(l_shipdate)) AS VARCHAR) FROM lineitem""")
-def do27(t: Tables) -> DataFrame:
-    one = lambda name, df, d: df.agg(F.lit(name).alias("source_id"), F.count("*").alias("rows_"), F.max(F.year(d)).alias("latest")).withColumn("warning", F.concat(F.lit("partial year "), F.col("latest").cast("string")))
-    return one("orders", t.orders, "o_orderdate").unionByName(one("lineitem", t.lineitem, "l_shipdate"))
-
-
 @query("do28_observed_artifacts", "SELECT o_orderpriority AS artifact, count(*) AS n FROM orders WHERE o_orderstatus <> 'P' AND o_orderpriority IN (SELECT o_orderpriority FROM orders WHERE o_totalprice > 1000) GROUP BY 1")
 def do28(t: Tables) -> DataFrame:
     seen = t.orders.where("o_orderstatus <> 'P'").groupBy(F.col("o_orderpriority").alias("artifact")).agg(F.count("*").alias("n"))

@@ -166,7 +166,11 @@ def current(spark: SparkSession, root: str) -> DataFrame:
 
 
 def write_json(spark: SparkSession, path: str, value) -> None:
-    """A JSON file in any file system that Spark knows: written beside its place, then renamed over it."""
+    write_bytes(spark, path, json.dumps(value, sort_keys=True).encode())
+
+
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """A small file in any file system that Spark knows: written beside its place, then renamed over it."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     place = jvm.org.apache.hadoop.fs.Path(path)
     place = place.getFileSystem(conf).makeQualified(place)
@@ -174,7 +178,7 @@ def write_json(spark: SparkSession, path: str, value) -> None:
     files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(place.toUri(), conf)
     out = place.getFileSystem(conf).create(beside, True)
     try:
-        out.write(bytearray(json.dumps(value, sort_keys=True).encode()))
+        out.write(bytearray(content))
         out.hsync()
     finally:
         out.close()
