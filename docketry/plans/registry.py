@@ -28,7 +28,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def _load() -> None:
     """Import the modules that register queries."""
-    from docketry.plans import basics, domain, evidence, history, more, reports, scores, services, views  # noqa: F401
+    from docketry.plans import basics, domain, evidence, history, more, presentation, reports, scores, services, views  # noqa: F401
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

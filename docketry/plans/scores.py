@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from docketry.operators import evidence_scores as X
 from docketry.operators.scoring import ScoreConfig

@@ -161,3 +161,22 @@ def test_gate_without_tables_fails(spark):
     checks = {r["check_id"]: r["status"] for r in R.quality_checks({"data_health": spark.range(5)}, {"data_health": ["id"], "legal_entities": ["x"]}, "m", "s").collect()}
     assert len(checks) == 12 and checks["source_freshness"] == "PASS" and checks["required_columns"] == "PASS"
     assert {k for k, v in checks.items() if v == "FAIL"} == {"required_processed_tables", "source_manifest", "schema_reports", "entity_match_coverage", "role_classification_coverage", "score_contract"}
+
+
+def test_service(spark, sf_dir):
+    from docketry.operators.presentation import FRAMES, Presentation, Unavailable
+    from docketry.operators.service import Filters
+    from docketry.plans.local import Tables
+    from docketry.plans.presentation import service
+
+    s = service(Tables(spark, sf_dir))
+    frames = s.detail(7)
+    assert tuple(frames) == FRAMES and frames["summary"].count() == 1 and s.detail(-1) is None
+    for call in (lambda: s.compare(range(6)), lambda: s.employers(sort="stars"), lambda: Presentation(spark, {**s.views, "vw_data_health": spark.range(1)}, s.tables)):
+        with pytest.raises(ValueError):
+            call()
+    assert s.employers(limit=-3).count() == 1 and s.employers(limit=None).count() == s.export_employers(Filters()).count() == s.views["vw_employer_explorer"].count()
+    assert s.search("  ").count() == 0 and s.compare([" "]).count() == 0
+    assert s.supporting_cases(8).where("source_id = 'dol_lca'").count() == 0  # its first history is unrated
+    assert {r["facet"] for r in s.facets("employers", ["segment", "state"]).collect()} == {"segment", "state"}
+    assert Unavailable(spark).detail(7) is None
