@@ -18,7 +18,7 @@ C = F.col
 
 @query("sc09_page_text")
 def sc09(t: Tables) -> DataFrame:
-    return page_text(t.pages.select("page_id", "html")).select("page_id", "title", "page_text")
+    return page_text(t.pages.select("page_id", "html")).select("page_id", "title", "page_text", "published")
 
 
 @query("sc11_page_links")

@@ -65,74 +65,138 @@ def read_zipped_csv(spark: SparkSession, path: str, member: str, columns: Sequen
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, schema)
 
 
+#: Where a page tells its date, best first; the title of pages without one.
+DATES = (("property", "article:modified_time"), ("property", "article:published_time"), ("name", "last-modified"), ("name", "date"))
+UNTITLED = "Untitled policy page"
+#: Elements within which a block may hold another of its kind, and what a new block ends.
+BARRIERS = frozenset(("ul", "ol", "table"))
+ENDS = {"li": ("li",), "td": ("td", "th"), "th": ("td", "th")}
+
+
 class _Page(HTMLParser):
+    """Blocks of text in the order they begin, each with all text within it, by the parts of a page that hold them."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.lines: list[str] = []
+        self.open: list[tuple[str, list[str] | None]] = []  # blocks with their text; barriers without
+        self.blocks: list[tuple[str, list[str], frozenset[str]]] = []
+        self.roots: dict[str, list] = {}  # kind: tag and depth, 0 once it has ended
         self.links: list[list[str]] = []
-        self.anchor = False
-        self.title, self.skip, self.block, self.buffer, self.in_title = "", 0, "", [], False
+        self.titles: list[list[str]] = []
+        self.dates: dict[object, str] = {}
+        self.skip, self.anchor, self.in_title = 0, False, False
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        have = dict(attrs)
+        if tag == "a":
+            self.anchor = bool(have.get("href"))
+            if self.anchor:
+                self.links.append([have["href"], ""])
         if tag in DROPPED:
             self.skip += 1
-        elif tag == "title":
+        if self.skip:
+            return
+        if tag == "title":
             self.in_title = True
+            self.titles.append([])
+        elif tag in ("meta", "time"):
+            self._date(tag, have)
+        for kind, at in self.roots.items():
+            at[1] += at[1] > 0 and at[0] == tag
+        for kind in ("main", "article"):
+            if tag == kind:
+                self.roots.setdefault(kind, [tag, 1])
+        if have.get("role") == "main":
+            self.roots.setdefault("role", [tag, 1])
+        if tag in BARRIERS:
+            self.open.append((tag, None))
         elif tag in BLOCKS:
-            self._close()
-            self.block = tag
-        if tag == "a":
-            href = dict(attrs).get("href")
-            self.anchor = bool(href)
-            if href:
-                self.links.append([href, ""])
+            self._end("p")
+            for other in ENDS.get(tag, ()):
+                self._end(other)
+            held: list[str] = []
+            self.open.append((tag, held))
+            self.blocks.append((tag, held, frozenset(k for k, at in self.roots.items() if at[1])))
+
+    def _date(self, tag: str, have: dict[str, str | None]) -> None:
+        keys = [k for k in DATES if tag == "meta" and have.get(k[0]) == k[1]] + (["time"] if tag == "time" and "datetime" in have else [])
+        for k in keys:
+            self.dates.setdefault(k, (have.get("content") or have.get("datetime") or "").strip())
+
+    def _end(self, tag: str) -> None:
+        """End the innermost open element of a kind, and what is open within it, unless a list or table is between."""
+        for k in range(len(self.open) - 1, -1, -1):
+            if self.open[k][0] == tag:
+                del self.open[k:]
+                return
+            if self.open[k][0] in BARRIERS and tag not in BARRIERS:
+                return
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "a":
             self.anchor = False
         if tag in DROPPED:
             self.skip = max(0, self.skip - 1)
-        elif tag == "title":
-            self.in_title = False
-        elif tag == self.block:
-            self._close()
+        elif not self.skip:
+            if tag == "title":
+                self.in_title = False
+            if tag in BLOCKS or tag in BARRIERS:
+                self._end(tag)
+            for at in self.roots.values():
+                at[1] -= at[1] > 0 and at[0] == tag
 
     def handle_data(self, data: str) -> None:
         if self.anchor:
             self.links[-1][1] += data
+        if self.skip:
+            return
         if self.in_title:
-            self.title += data
-        elif self.block and not self.skip:
-            self.buffer.append(data)
-
-    def _close(self) -> None:
-        line = " ".join("".join(self.buffer).split())
-        if line and self.block.startswith("h"):
-            line = f"[HEADING {self.block[1]}] {line}"
-        if line and (not self.lines or self.lines[-1] != line):
-            self.lines.append(line)
-        self.block, self.buffer = "", []
-
-
-def parse_page(html: str | None) -> tuple[str, str, list[tuple[str, str]]]:
-    """Title, text by blocks without consecutive repeats, and the target and text of every link.
-
-    Navigation and the like have no text of the page, but they have links.
+            self.titles[-1].append(data)
+            return
+        for _, held in self.open:
+            if held is not None:
+                held.append(data)
+
+    def text(self) -> str:
+        root = next((k for k in ("main", "role", "article") if k in self.roots), None)
+        lines: list[str] = []
+        for tag, held, within in self.blocks:
+            line = squeezed(held)
+            if not line or (root and root not in within):
+                continue
+            line = f"[HEADING {tag[1]}] {line}" if tag[0] == "h" else line
+            if not lines or lines[-1] != line:
+                lines.append(line)
+        return "\n".join(lines)[:TEXT_CAP]
+
+
+def squeezed(parts: Iterable[str]) -> str:
+    return " ".join(" ".join(parts).split())
+
+
+def parse_page(html: str | None) -> tuple[str, str, str | None, list[tuple[str, str]]]:
+    """Title, text by blocks without consecutive repeats, date as told, and the target and text of every link.
+
+    The text is that of the first main element, else of role main, else of the first article,
+    else of the body.  A block within a block is in the text of both.  Navigation and the like
+    have no text of the page, but they have links.  A page without a title has its first h1.
     """
     p = _Page()
     p.feed(html or "")
     p.close()
-    p._close()
-    return " ".join(p.title.split()), "\n".join(p.lines)[:TEXT_CAP], [(a, " ".join(b.split())) for a, b in p.links]
+    head = next((squeezed(held) for tag, held, _ in p.blocks if tag == "h1"), UNTITLED)
+    published = next((p.dates[k] for k in (*DATES, "time") if p.dates.get(k)), None)
+    return squeezed(p.titles[0]) if p.titles else head, p.text(), published, [(a, " ".join(b.split())) for a, b in p.links]
 
 
 def page_text(df: DataFrame, html_col: str = "html") -> DataFrame:
-    """Add title, page_text and links."""
-    kind = T.StructType([T.StructField("title", T.StringType()), T.StructField("page_text", T.StringType()), T.StructField("links", T.ArrayType(LINK))])
+    """Add title, page_text, published and links."""
+    texts = ("title", "page_text", "published")
+    kind = T.StructType([*(T.StructField(c, T.StringType()) for c in texts), T.StructField("links", T.ArrayType(LINK))])
 
     @F.pandas_udf(kind)
     def parse(s: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([parse_page(x) for x in s], columns=["title", "page_text", "links"])
+        return pd.DataFrame([parse_page(x) for x in s], columns=[*texts, "links"])
 
     return df.withColumn("__page", parse(html_col)).select("*", "__page.*").drop("__page")
 

@@ -23,8 +23,22 @@ def test_zipped_member_and_unsafe_names(spark, tmp_path):
 
 def test_page_text():
     html = "<html><title> T  x </title><nav><p>no</p><a href='/n'>n</a></nav><body><h2>Head</h2><p>one <b>two</b></p><p>one two</p><li>three</li><script>p</script><a href='/y'>y</a></body>"
-    assert files.parse_page(html) == ("T x", "[HEADING 2] Head\none two\nthree", [("/n", "n"), ("/y", "y")])
-    assert files.parse_page(None) == ("", "", [])
+    assert files.parse_page(html) == ("T x", "[HEADING 2] Head\none two\nthree", None, [("/n", "n"), ("/y", "y")])
+    assert files.parse_page(None) == files.parse_page("") == (files.UNTITLED, "", None, [])
+
+
+def test_page_parts_dates_and_nested_blocks():
+    text = lambda html: files.parse_page(html)[1]
+    assert text("<p>a</p><article><p>b</p></article><div role=main><div><p>c</p></div></div><p>d</p>") == "c"
+    assert text("<p>a</p><article><p>b</p></article><article><p>c</p></article>") == "b"
+    assert text("<main></main><p>a</p>") == ""
+    assert text("<nav><main><p>a</p></main></nav><p>b</p>") == "b"
+    assert text("<ul><li>a<ul><li>b</li></ul>c<li>d<p>e</ul><p>f<b>g</b>h<p>i") == "a b c\nb\nd e\ne\nf g h\ni"
+    assert text("<table><tr><td>a<td>b<th>c</table>") == "a\nb\nc"
+    meta = "<meta name='date' content='2020'><time datetime='2019'>x</time><meta property='article:published_time' content='2021'>"
+    assert files.parse_page(f"<h1>A <i>b</i></h1>{meta}")[::2] == ("A b", "2021")
+    assert files.parse_page("<time datetime='2019'>x</time><time datetime='2018'>")[2] == "2019"
+    assert files.parse_page("<meta name='date' content=' '><title></title><h1>x</h1>")[::2] == ("", None)
 
 
 def test_publication_swings_a_pointer(spark, tmp_path):
