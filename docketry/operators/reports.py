@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docketry.functions.names import normalize_state
 from docketry.functions.semantics import known
 from docketry.operators.history import require_none
 
@@ -112,6 +113,60 @@ def source_health(sources: Mapping[str, tuple[DataFrame, str, str | None]], coho
     return rows.withColumns({"evidence_class": F.lit("OBSERVED_GOVERNMENT_RECORD"), "freshness_warning": F.when(F.col("has_partial_period"), text)})
 
 
+# --- coverage of entities -----------------------------------------------------------------
+
+#: Resolutions that count as valid.
+RESOLVED = ("DETERMINISTIC", "HIGH_CONFIDENCE_AUTO", "MANUAL_OVERRIDE")
+
+
+def coverage_states(df: DataFrame) -> DataFrame:
+    """Add how far each program's evidence is known to be the organisation's, and the worse of both.
+
+    Reads entity_resolution_status and, for h1b and perm, has_unresolved_{}_candidate_evidence
+    and weighted_relevant_{lca,perm}_count.  Unresolved candidates make observed evidence
+    partial; where nothing is observed the identity itself is open.
+    """
+    valid = known(F.col("entity_resolution_status").isin(*RESOLVED))
+    out = df.withColumn("entity_resolution_valid", valid)
+    for program, count in (("h1b", "weighted_relevant_lca_count"), ("perm", "weighted_relevant_perm_count")):
+        open_ = known(F.col(f"has_unresolved_{program}_candidate_evidence"))
+        state = F.when(~valid, "UNRESOLVED_IDENTITY").when(open_ & known(F.col(count) > 0), "PARTIAL_ENTITY_COVERAGE").when(open_, "UNRESOLVED_IDENTITY").otherwise("COMPLETE_ENTITY_COVERAGE")
+        out = out.withColumns({f"{program}_entity_coverage_state": state, f"{program}_entity_resolution_valid": state != "UNRESOLVED_IDENTITY"})
+    either = lambda s: (F.col("h1b_entity_coverage_state") == s) | (F.col("perm_entity_coverage_state") == s)
+    worse = F.when(either("UNRESOLVED_IDENTITY"), "UNRESOLVED_IDENTITY").when(either("PARTIAL_ENTITY_COVERAGE"), "PARTIAL_ENTITY_COVERAGE").otherwise("COMPLETE_ENTITY_COVERAGE")
+    return out.withColumn("entity_coverage_state", worse)
+
+
+def entity_audit(activity: DataFrame, legal: DataFrame, aliases: DataFrame, limit: int) -> DataFrame:
+    """The most active legal entities with what their aliases tell against their resolution.
+
+    ``activity`` has legal_entity_id, selection_name, relevant_count and approval_count, and is
+    ranked by them; ``legal`` has legal_entity_id, legal_name, city and state.  An alias in
+    another state, or in another city of the same one, is a conflict.
+    """
+    order = [F.col("relevant_count").desc_nulls_last(), F.col("approval_count").desc_nulls_last(), F.col("selection_name"), F.col("legal_entity_id")]
+    top = activity.orderBy(*order).limit(limit).join(legal.select("legal_entity_id", "legal_name", normalize_state(F.col("state")).alias("__state"), F.upper(F.trim(F.coalesce("city", F.lit("")))).alias("__city")), "legal_entity_id")
+    rows = aliases.join(F.broadcast(top.select("legal_entity_id", "__state", "__city")), "legal_entity_id")  # no more rows than the limit
+    state, city = normalize_state(F.col("state")), F.upper(F.trim(F.coalesce("city", F.lit(""))))
+    both = (state != "") & (F.col("__state") != "")
+    conflict = both & ((state != F.col("__state")) | ((city != "") & (F.col("__city") != "") & (city != F.col("__city"))))
+    status = F.col("match_status")
+    is_ = lambda *v: F.count_if(status.isin(*v))
+    words = lambda c: F.array_join(F.array_sort(F.collect_set(c)), " | ")
+    found = rows.withColumn("__odd", conflict).groupBy("legal_entity_id").agg(
+        F.count("*").alias("__n"), words("alias_raw").alias("observed_source_names"), words("source_id").alias("source_ids"), words("match_status").alias("match_statuses"), F.round(F.min("match_score"), 6).alias("minimum_match_score"),
+        F.count_if("__odd").alias("conflicts"), F.coalesce(F.sum(F.when(F.col("__odd"), F.col("occurrence_count"))), F.lit(0)).cast("long").alias("conflict_rows"),
+        is_("REVIEW_REQUIRED", "UNRESOLVED").alias("__open"), is_("MANUAL_OVERRIDE").alias("__manual"), is_("DETERMINISTIC", "HIGH_CONFIDENCE_AUTO").alias("__sure"),
+    )
+    out = top.drop("__state", "__city").join(found, "legal_entity_id", "left").na.fill(0, ["conflicts", "conflict_rows"])
+    needs = known(F.col("__open") > 0)
+    confidence = (
+        F.when(F.col("conflicts") > 0, "LOCATION_CONFLICT_REVIEW_REQUIRED").when(needs, "REVIEW_REQUIRED").when(F.col("__manual") > 0, "REVIEWED_OVERRIDE_PRESENT")
+        .when(F.col("__sure") == F.col("__n"), "HIGH").otherwise("MIXED_OR_UNKNOWN")
+    )
+    return out.withColumns({"resolution_confidence": confidence, "human_override_required": F.when((F.col("conflicts") > 0) | needs, "YES").otherwise("NO_EVIDENT_NEED")}).drop("__n", "__open", "__manual", "__sure")
+
+
 # --- changes of a taxonomy ----------------------------------------------------------------
 
 DECISION = ("technical_role", "role_family", "classification_method")

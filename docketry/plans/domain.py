@@ -288,10 +288,3 @@ def jn07(t: Tables) -> DataFrame:
 
     count = lambda d: d.groupBy(F.col("o_custkey").alias("k")).agg(F.count("*").alias("n"))
     return reconcile(count(t.orders), count(t.orders.where("o_totalprice > 2000")), ["k"], "n")
-
-
-@query("do53_entity_audit", f"WITH {ENTITIES}, {FIRST} SELECT legal_entity_id, legal_name, count(*) AS n, count(DISTINCT role_family) AS families, CASE WHEN count(*) >= 20 THEN 'HIGH' ELSE 'LOW' END AS confidence FROM first_cases JOIN entities USING (legal_entity_id) GROUP BY 1, 2 ORDER BY n DESC, legal_entity_id LIMIT 50")
-def do53(t: Tables) -> DataFrame:
-    n = first_cases(t).groupBy("legal_entity_id").agg(F.count("*").alias("n"), F.countDistinct("role_family").alias("families"))
-    rows = n.join(entities(t).select("legal_entity_id", "legal_name"), "legal_entity_id").withColumn("confidence", F.when(F.col("n") >= 20, "HIGH").otherwise("LOW"))
-    return rows.orderBy(F.col("n").desc(), "legal_entity_id").limit(50).select("legal_entity_id", "legal_name", "n", "families", "confidence")

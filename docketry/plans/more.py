@@ -184,11 +184,6 @@ def pr04(t: Tables) -> DataFrame:
     return e.select("user_id", F.year("ts").alias("fiscal_year"), "value", first_available(e, ["tax_id"], "string").alias("tax_id"))
 
 
-@query("pr15_institution_filters", "SELECT s_suppkey FROM supplier WHERE s_acctbal >= 500 AND s_nationkey IN (1, 2, 3, 4, 5, 6) AND s_name ILIKE '%0%'")
-def pr15(t: Tables) -> DataFrame:
-    return t.supplier.where((C("s_acctbal") >= 500) & C("s_nationkey").isin(1, 2, 3, 4, 5, 6) & C("s_name").ilike("%0%")).select("s_suppkey")
-
-
 @query("do05_validation_counters", "SELECT count(*) AS rows_, count_if(o_totalprice <= 0) AS non_positive, count_if(o_orderstatus NOT IN ('F', 'O', 'P')) AS bad_status, count(*) - count(DISTINCT o_orderkey) AS repeated, CASE WHEN count(*) - count(DISTINCT o_orderkey) > 0 OR count_if(o_totalprice <= 0) > 0 THEN 'FAILED' ELSE 'PASSED' END AS status FROM orders")
 def do05(t: Tables) -> DataFrame:
     n = t.orders.agg(F.count("*").alias("rows_"), F.count_if(C("o_totalprice") <= 0).alias("non_positive"), F.count_if(~C("o_orderstatus").isin("F", "O", "P")).alias("bad_status"), (F.count("*") - F.countDistinct("o_orderkey")).alias("repeated"))

@@ -62,6 +62,12 @@ def do49_institutions(t: Tables) -> DataFrame:
     return service(t).institutions(f, "name", score_confidences=("HIGH",)).select("official_name", "total_rd")
 
 
+@query("pr15_institution_filters", "SELECT s_suppkey FROM supplier WHERE s_acctbal >= 500 AND s_nationkey IN (1, 2, 3, 4, 5, 6) AND s_name ILIKE '%0%'")
+def pr15(t: Tables) -> DataFrame:
+    f = Filters(minimums=(("total_rd", 500),), any_of=(("control", tuple("123456")), ("organization_id", ())), term="0")
+    return service(t).institutions(f, limit=None, decision_readiness_tiers=("TIER_1",)).select(C("institution_id").cast("long").alias("s_suppkey"))
+
+
 @query("do49_search", f"WITH {ENTITIES}, {_EMPLOYERS} SELECT organization_id, score AS overall_sponsorship_score FROM e WHERE organization_name ILIKE '%er%7%' OR organization_id IN (SELECT s_suppkey FROM supplier WHERE s_name ILIKE '%er%7%') ORDER BY score DESC, organization_name LIMIT 100")
 def do49_search(t: Tables) -> DataFrame:
     return service(t).search("er%7", 1000).select("organization_id", "overall_sponsorship_score")

@@ -150,3 +150,37 @@ def do46(t: Tables) -> DataFrame:
     }
     required = {n: ["organization_id"] for n in ("lca_cases_resolved", "perm_cases_resolved", "h1b_petitions_resolved")} | {"legal_entities": ["legal_entity_id", "legal_name"], "employer_metrics": [], "institution_metrics": [], "data_health": [], "source_artifacts": [], "parent_organizations": []}
     return R.quality_checks(tables, required, "m", "s").select("check_id", "status", "critical", F.round("value", 6).alias("value"))
+
+
+_STATE = lambda flag, n: f"CASE WHEN NOT valid THEN 'UNRESOLVED_IDENTITY' WHEN {flag} AND {n} > 0 THEN 'PARTIAL_ENTITY_COVERAGE' WHEN {flag} THEN 'UNRESOLVED_IDENTITY' ELSE 'COMPLETE_ENTITY_COVERAGE' END"
+
+
+@query("do24_coverage_states", f"""WITH b AS (SELECT c_custkey, c_nationkey % 4 <> 3 AS valid, c_custkey % 3 = 0 AS f, c_custkey % 5 = 0 AS g, c_custkey % 2 AS a, c_custkey % 4 AS b FROM customer), s AS (SELECT *, {_STATE("f", "a")} AS h1b, {_STATE("g", "b")} AS perm FROM b)
+SELECT c_custkey, h1b AS h1b_entity_coverage_state, perm AS perm_entity_coverage_state, h1b <> 'UNRESOLVED_IDENTITY' AS h1b_entity_resolution_valid, CASE WHEN 'UNRESOLVED_IDENTITY' IN (h1b, perm) THEN 'UNRESOLVED_IDENTITY' WHEN 'PARTIAL_ENTITY_COVERAGE' IN (h1b, perm) THEN 'PARTIAL_ENTITY_COVERAGE' ELSE 'COMPLETE_ENTITY_COVERAGE' END AS entity_coverage_state FROM s""")
+def do24_states(t: Tables) -> DataFrame:
+    k, n = C("c_custkey"), C("c_nationkey") % 4
+    status = F.when(n == 0, "DETERMINISTIC").when(n == 1, "HIGH_CONFIDENCE_AUTO").when(n == 2, "MANUAL_OVERRIDE")
+    rows = t.customer.select(
+        "c_custkey", status.alias("entity_resolution_status"), F.when(k % 3 == 0, True).alias("has_unresolved_h1b_candidate_evidence"), (k % 5 == 0).alias("has_unresolved_perm_candidate_evidence"),
+        (k % 2).alias("weighted_relevant_lca_count"), (k % 4).alias("weighted_relevant_perm_count"),
+    )
+    return R.coverage_states(rows).select("c_custkey", "h1b_entity_coverage_state", "perm_entity_coverage_state", "h1b_entity_resolution_valid", "entity_coverage_state")
+
+
+@query("do53_entity_audit", """WITH n AS (SELECT o_custkey AS id, count(*) AS relevant_count FROM orders GROUP BY 1), top AS (SELECT id, c_name, relevant_count, CASE WHEN c_nationkey % 2 = 0 THEN 'TX' ELSE 'NY' END AS st FROM n JOIN customer ON c_custkey = id ORDER BY relevant_count DESC, c_name LIMIT 50),
+a AS (SELECT l_suppkey AS id, l_shipdate, ['tx', 'New York', ''][l_linenumber % 3 + 1] AS s, CASE WHEN l_quantity > 45 THEN 'Reno' ELSE ' austin' END AS city, ['DETERMINISTIC', 'HIGH_CONFIDENCE_AUTO', 'MANUAL_OVERRIDE', 'UNRESOLVED'][l_suppkey % 4 + 1] AS status, l_quantity AS q, l_discount AS score, l_returnflag AS source FROM lineitem),
+j AS (SELECT top.*, a.*, CASE s WHEN 'tx' THEN 'TX' WHEN 'New York' THEN 'NY' ELSE '' END AS ast FROM top LEFT JOIN a USING (id)), k AS (SELECT *, coalesce(ast <> '' AND (ast <> st OR city = 'Reno'), FALSE) AS odd FROM j)
+SELECT id AS legal_entity_id, c_name AS legal_name, relevant_count, string_agg(DISTINCT source, ' | ' ORDER BY source) AS source_ids, string_agg(DISTINCT status, ' | ' ORDER BY status) AS match_statuses, round(min(score), 6) AS minimum_match_score, count_if(odd)::BIGINT AS conflicts, CAST(coalesce(sum(CASE WHEN odd THEN q::BIGINT END), 0) AS BIGINT) AS conflict_rows,
+ CASE WHEN count_if(odd) > 0 THEN 'LOCATION_CONFLICT_REVIEW_REQUIRED' WHEN max(status) = 'UNRESOLVED' THEN 'REVIEW_REQUIRED' WHEN max(status) = 'MANUAL_OVERRIDE' THEN 'REVIEWED_OVERRIDE_PRESENT' WHEN max(status) IS NULL THEN 'MIXED_OR_UNKNOWN' ELSE 'HIGH' END AS resolution_confidence,
+ CASE WHEN count_if(odd) > 0 OR coalesce(max(status) = 'UNRESOLVED', FALSE) THEN 'YES' ELSE 'NO_EVIDENT_NEED' END AS human_override_required FROM k GROUP BY id, c_name, relevant_count""")
+def do53(t: Tables) -> DataFrame:
+    home = F.when(C("c_nationkey") % 2 == 0, "Texas").otherwise("NY")
+    legal = t.customer.select(C("c_custkey").alias("legal_entity_id"), C("c_name").alias("legal_name"), home.alias("state"), L("Austin").alias("city"))
+    activity = t.orders.groupBy(C("o_custkey").alias("legal_entity_id")).agg(F.count("*").alias("relevant_count")).join(legal.select("legal_entity_id", C("legal_name").alias("selection_name")), "legal_entity_id").withColumn("approval_count", L(0))
+    pick = lambda values, k: F.element_at(F.array(*(L(v) for v in values)), k.cast("int") + 1)
+    aliases = t.lineitem.select(
+        C("l_suppkey").alias("legal_entity_id"), C("l_linestatus").alias("alias_raw"), C("l_returnflag").alias("source_id"), pick(("tx", "New York", ""), C("l_linenumber") % 3).alias("state"), F.when(C("l_quantity") > 45, "Reno").otherwise(" austin").alias("city"),
+        pick(("DETERMINISTIC", "HIGH_CONFIDENCE_AUTO", "MANUAL_OVERRIDE", "UNRESOLVED"), C("l_suppkey") % 4).alias("match_status"), C("l_discount").alias("match_score"), C("l_quantity").cast("long").alias("occurrence_count"),
+    )
+    out = R.entity_audit(activity, legal, aliases, 50)
+    return out.select("legal_entity_id", "legal_name", "relevant_count", "source_ids", "match_statuses", "minimum_match_score", "conflicts", "conflict_rows", "resolution_confidence", "human_override_required")
