@@ -160,7 +160,7 @@ class Presentation:
         return df
 
     def institutions(self, f: Filters | None = None, sort: str = "overall_sponsorship", limit: int | None = 500, **deprecated) -> DataFrame:
-        """Institutions; filters of former products are taken and have no effect."""
+        """Institutions; filters that are no longer offered are taken and have no effect."""
         out = _sorted(self._institutions(f or Filters()), sort, "official_name", "institution_id")
         return out if limit is None else out.limit(clamp(limit, 10_000))
 
