@@ -180,3 +180,29 @@ def test_service(spark, sf_dir):
     assert s.supporting_cases(8).where("source_id = 'dol_lca'").count() == 0  # its first history is unrated
     assert {r["facet"] for r in s.facets("employers", ["segment", "state"]).collect()} == {"segment", "state"}
     assert Unavailable(spark).detail(7) is None
+
+
+def test_policy_scores_do_not_depend_on_the_order_of_facts(spark):
+    from itertools import combinations, product
+
+    config = X.EvidenceConfig()
+    w, values = config.weights["policy_support"], config.policy_values
+
+    def score(facts):
+        v = n = 0.0
+        for k, x in facts:
+            v, n = v + w[k] * float(values[k][x]), n + w[k]
+        return int(v / n * 100) / 100 if v / n * 100 % 1 < 0.5 else (int(v / n * 100) + 1) / 100
+
+    kinds, want, rows = list(reversed(w)), {}, []
+    for chosen in combinations(kinds, 4):
+        for said in product(("YES", "LIMITED", "NO"), repeat=4):
+            facts = list(zip(chosen, said, strict=True))
+            if score(facts) != score(facts[::-1]):
+                i = f"i{len(want)}"
+                want[i] = score(facts)
+                rows += [(i, k, x, "REVIEWED_ACCEPTED", True, True, None, "https://x", "1") for k, x in facts]
+    assert len(want) > 20
+    facts = spark.createDataFrame(rows, "institution_id string, fact_type string, fact_value string, human_review_status string, exact_excerpt_verified boolean, is_current boolean, valid_to string, source_url string, valid_from string")
+    ids = spark.createDataFrame([(i,) for i in want], "institution_id string")
+    assert {r["institution_id"]: r["policy_support_score"] for r in X.policy(ids, facts, config).collect()} == want
