@@ -8,7 +8,12 @@ that were not merged go to review.
 
 from __future__ import annotations
 
+import os
+from decimal import ROUND_HALF_UP, Decimal
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -95,19 +100,223 @@ def scope_compatible(a: Column, b: Column) -> Column:
 # --- candidates -------------------------------------------------------------------------
 
 
-def candidate_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Distinct pairs that share a block, scored.
+#: Rows of a block's tile, where each row only keeps its best candidates and where every pair is returned.
+BEST_TILE, PAIR_TILE = 2048, 512
+_COLUMNS = ("id", "core_name", "state", "city", "postal_code")
+
 
-    Both sides have id, core_name, acronym, state, city, postal_code.  The pairs come from
-    an equi-join on exploded keys; adaptive execution splits a block that is too common.
+def _lcs_rows(a: list[str], b: list[str]):
+    """(k, lengths of the longest common subsequences of b[k] with all of a), for each k.
+
+    The names of a have at most 64 characters, a machine word each.  b is walked in its sorted
+    order, so that what two neighbours begin with is worked out once.
+    """
+    bits: dict[str, list[int]] = {}
+    for i, x in enumerate(a):
+        for j, c in enumerate(x):
+            bits.setdefault(c, [0] * len(a))[i] |= 1 << j
+    masks = {c: np.array(v, dtype=np.uint64) for c, v in bits.items()}
+    full = np.array([(1 << len(x)) - 1 for x in a], dtype=np.uint64)
+    size = np.array([float(len(x)) for x in a])
+    states, last = [full], ""
+    for k in sorted(range(len(b)), key=b.__getitem__):
+        same = len(os.path.commonprefix([last, b[k]]))
+        del states[same + 1 :]
+        for c in b[k][same:]:
+            s = states[-1]
+            if (m := masks.get(c)) is not None:
+                u = s & m
+                s = (s + u) | (s - u)
+            states.append(s)
+        last = b[k]
+        yield k, size - np.bitwise_count(states[-1] & full)
+
+
+def _token_set_shares(a: list[str], b: list[str]) -> np.ndarray:
+    """token_set_ratio of all of a (columns) with all of b (rows).
+
+    Pairs are dealt by the words that they have in common, of which only frequent words count;
+    the common words stand in front of both texts and are matched whole, so only what is left
+    of both is compared.  The few pairs with a rare word in common are worked out one by one.
     """
-    keyed = lambda d, p: d.select(*(F.col(c).alias(f"{p}_{c}") for c in ("id", "core_name", "state", "city", "postal_code", *(["legal_suffix"] if "legal_suffix" in d.columns else []))), F.explode(block_keys(F.col("state"), F.col("core_name"), F.col("acronym"), F.col("postal_code"))).alias("key"))
-    pairs = keyed(left, "l").join(keyed(right, "r"), "key").drop("key").distinct()
+    out = np.zeros((len(b), len(a)))
+    x, y = [frozenset(t.split()) for t in a], [frozenset(t.split()) for t in b]
+    at: dict[str, list[int]] = {}
+    for i, words in enumerate(x):
+        for w in words:
+            at.setdefault(w, []).append(i)
+    frequent = {w: np.isin(np.arange(len(a)), v) for w, v in at.items() if len(v) > 1 + len(a) // 100}
+    usable = np.array([bool(words) for words in x])
+    groups: dict[tuple, list[int]] = {}
+    for k, words in enumerate(y):
+        if words:
+            groups.setdefault(tuple(sorted(w for w in words if w in frequent)), []).append(k)
+    jobs: dict[tuple, list[tuple[list[int], np.ndarray]]] = {}
+    for shared, ks in groups.items():
+        sign = np.zeros(len(a), dtype=np.int64)
+        for n, w in enumerate(shared):
+            # numbered anew after each word: as many numbers as there are rows at most
+            sign = np.unique(2 * sign + frequent[w], return_inverse=True)[1]
+        for v in np.unique(sign[usable]):
+            which = np.flatnonzero((sign == v) & usable)
+            jobs.setdefault(tuple(w for w in shared if frequent[w][which[0]]), []).append((ks, which))
+    for both, parts in jobs.items():
+        cut = frozenset(both)
+        rows = np.unique(np.concatenate([which for _, which in parts]))
+        one = [" ".join(sorted(x[i] - cut)) for i in rows]
+        where = {}
+        for ks, which in parts:
+            w = slice(None) if len(which) == len(rows) else np.searchsorted(rows, which)
+            where |= dict.fromkeys(ks, (w, slice(None) if len(which) == len(a) else which))
+        ks = list(where)
+        two = [" ".join(sorted(y[k] - cut)) for k in ks]
+        front = len(" ".join(both))
+        space = 1 if both else 0
+        p = np.array([float(len(t)) for t in one]) + (front + space)
+        ahead, alone = 200.0 * front / (front + p), p == front + 1
+        for n, lcs in _lcs_rows(one, two):
+            q = len(two[n]) + front + space
+            best = 200.0 * (lcs + (front + space)) / (p + q)
+            if both and two[n]:
+                best = np.maximum(best, np.maximum(ahead, 200.0 * front / (front + q)))
+                best[alone] = 100.0
+            elif both:
+                best = np.full(len(rows), 100.0)
+            w, which = where[ks[n]]
+            out[ks[n], which] = best[w]
+    for k, words in enumerate(y):
+        for i in {i for w in words if w in at and w not in frequent for i in at[w]}:
+            out[k, i] = token_set_ratio(a[i], b[k])
+    return out
+
+
+def name_scores(a: list[str], b: list[str]) -> np.ndarray:
+    """What name_score gives for all of a (columns) with all of b (rows), to the bit."""
+    out = np.empty((len(b), len(a)))
+    short = [i for i, x in enumerate(a) if len(x) <= 64]
+    for i in sorted(set(range(len(a))) - set(short)):
+        out[:, i] = [0.6 * token_set_ratio(a[i], y) / 100 + 0.25 * ratio(a[i], y) / 100 for y in b]
+    if short:
+        x = [a[i] for i in short]
+        size, tokens = np.array([float(len(t)) for t in x]), _token_set_shares(x, b)
+        at = slice(None) if len(x) == len(a) else short
+        for k, lcs in _lcs_rows(x, b):
+            if b[k]:
+                whole = 200.0 * lcs / (size + len(b[k]))
+            else:
+                whole = np.where(size > 0, 0.0, 100.0)
+            out[k, at] = 0.6 * tokens[k] / 100 + 0.25 * whole / 100
+    return out
+
+
+def _millionths(score: np.ndarray) -> np.ndarray:
+    """Scores in whole millionths, rounded half up as Spark rounds: by the shortest decimal."""
+    scaled = score * 1e6
+    out = np.floor(scaled)
+    rest = scaled - out
+    out += rest >= 0.5
+    for i in zip(*np.nonzero(np.abs(rest - 0.5) < 1e-4), strict=True):
+        out[i] = int((Decimal(repr(float(score[i]))) * 1_000_000).to_integral_value(ROUND_HALF_UP))
+    return out.astype(np.int64)
+
+
+_texts = lambda row: [x or "" for x in row]
+
+
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.DoubleType())))
+def _all_scores(l_names: pd.Series, r_names: pd.Series) -> pd.Series:
+    return pd.Series([list(name_scores(_texts(a), _texts(b)).T) for a, b in zip(l_names, r_names, strict=True)])
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("l", T.IntegerType()), T.StructField("r", T.IntegerType())])))
+def _best_places(l_names: pd.Series, r_names: pd.Series, l_places: pd.Series, r_places: pd.Series, r_ids: pd.Series) -> pd.Series:
+    """Of each left row its best right row, the next and the best of another id; right rows are sorted by id."""
+    out = []
+    for a, b, at, bt, ids in zip(l_names, r_names, l_places, r_places, r_ids, strict=True):
+        score = name_scores(_texts(a), _texts(b))
+        codes = [pd.factorize(np.array([*_texts(p[n] for p in at), *_texts(p[n] for p in bt)], dtype=object))[0] for n in range(3)]
+        rank = np.empty(score.shape, dtype=np.int64)
+        for k in range(0, len(b), 32):  # few rows at once stay in the cache
+            some, rows = score[k : k + 32], np.arange(k, min(k + 32, len(b)))
+            for n, more in enumerate((0.08, 0.05, 0.02)):  # state, city, postal code
+                known_ = np.array([bool(bt[j][n]) for j in rows])
+                if known_.any():
+                    some += np.where((codes[n][len(a) + rows][:, None] == codes[n][: len(a)]) & known_[:, None], more, 0.0)
+            rank[k : k + 32] = _millionths(some) * len(b) + rows[:, None]
+        same = pd.factorize(np.array(ids, dtype=object), use_na_sentinel=False)[0]
+        every = np.arange(len(a))
+        first = rank.argmax(axis=0)
+        rank[first, every] = -1
+        found = {(i, int(k)) for i, k in enumerate(first)}
+        found |= {(i, int(k)) for i, k in enumerate(rank.argmax(axis=0)) if rank[k, i] >= 0}
+        if len(set(same)) < len(b):
+            rank[same[:, None] == same[first][None, :]] = -1
+            found |= {(i, int(k)) for i, k in enumerate(rank.argmax(axis=0)) if rank[k, i] >= 0}
+        out.append([{"l": i, "r": k} for i, k in sorted(found)])
+    return pd.Series(out)
+
+
+def _tiles(left: DataFrame, right: DataFrame, size: int) -> DataFrame:
+    """Pairs of tiles (key, l, r): the rows of each block, ``size`` a tile, every left tile with every right one.
+
+    However large a block is, its pairs of tiles are dealt over all tasks, and no task holds more than one of them at a time.
+    """
+
+    def tiles(d: DataFrame, name: str) -> DataFrame:
+        columns = [c for c in (*_COLUMNS, "legal_suffix") if c in d.columns]
+        keys = block_keys(F.col("state"), F.col("core_name"), F.col("acronym"), F.col("postal_code"))
+        rows = d.select(F.struct(*columns).alias("x"), keys.alias("keys")).where(F.size("keys") > 0)
+        rows = rows.groupBy("x").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("keys")))).alias("keys"))
+        rows = rows.select("x", "keys", F.explode("keys").alias("key"))
+        n = rows.groupBy("key").agg(F.ceil(F.count("*") / size).alias("n"))
+        dealt = rows.join(n, "key").withColumn(f"{name}_tile", F.pmod(F.xxhash64("x"), F.col("n")))
+        return dealt.groupBy("key", f"{name}_tile").agg(F.array_sort(F.collect_list(F.struct("x.*", "keys"))).alias(name))
+
+    spark = left.sparkSession
+    batch = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(batch).removesuffix("b")) > 8 << 20:
+        spark.conf.set(batch, str(8 << 20))
+    both = tiles(left, "l").join(tiles(right, "r"), "key")
+    return both.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "key", "l_tile", "r_tile").select("key", "l", "r")
+
+
+def _flat(pairs: DataFrame, *more: str) -> DataFrame:
+    """The columns of both sides' structs, except their keys."""
+    kind = {p: [f.name for f in pairs.schema[p].dataType if f.name != "keys"] for p in "lr"}
+    return pairs.select(*(F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in "lr" for c in kind[p]), *more)
+
+
+def _scored(pairs: DataFrame, name: Column) -> DataFrame:
     same = lambda c: (F.col(f"l_{c}") == F.col(f"r_{c}")) & (F.col(f"l_{c}") != "")
-    score = name_score("l_core_name", "r_core_name") + F.when(same("state"), 0.08).otherwise(0.0) + F.when(same("city"), 0.05).otherwise(0.0) + F.when(same("postal_code"), 0.02).otherwise(0.0)
+    score = name + F.when(same("state"), 0.08).otherwise(0.0) + F.when(same("city"), 0.05).otherwise(0.0) + F.when(same("postal_code"), 0.02).otherwise(0.0)
     return pairs.withColumns({"score": F.round(score, 6), "location_agreement": same("state") & (same("city") | same("postal_code"))})
 
 
+def candidate_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Distinct pairs that share a block, scored.
+
+    Both sides have id, core_name, acronym, state, city, postal_code.  A pair is made under the
+    first of the keys that it shares, so that no pairs are shuffled.
+    """
+    t = _tiles(left, right, PAIR_TILE).withColumn("s", _all_scores("l.core_name", "r.core_name"))
+    t = t.select("key", "r", F.explode(F.arrays_zip("l", "s")).alias("x")).select("key", F.col("x.l").alias("l"), F.explode(F.arrays_zip(F.col("r"), F.col("x.s").alias("s"))).alias("y"))
+    pairs = t.select("key", "l", F.col("y.r").alias("r"), F.col("y.s").alias("name"))
+    pairs = pairs.where((F.col("l.keys")[0] == F.col("key")) | (F.array_intersect("l.keys", "r.keys")[0] == F.col("key")))
+    return _scored(_flat(pairs, "name"), F.col("name")).drop("name")
+
+
+def best_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Of candidate_pairs those that can be a left row's best, its next or the best of another id.
+
+    All pairs are scored, but a tile returns three for each of its left rows at most.
+    """
+    place = lambda c: F.transform(c, lambda x: F.array(x["state"], x["city"], x["postal_code"]))
+    t = _tiles(left, right, BEST_TILE).withColumn("best", _best_places("l.core_name", "r.core_name", place("l"), place("r"), "r.id"))
+    t = t.select("l", "r", F.explode("best").alias("b")).select(F.col("l")[F.col("b.l")].alias("l"), F.col("r")[F.col("b.r")].alias("r"))
+    pairs = _flat(t).distinct()
+    return _scored(pairs, name_score("l_core_name", "r_core_name"))
+
+
 def decide(pairs: DataFrame) -> DataFrame:
     """Each left id's best candidate, its margin over the next, and what follows from them.
 
@@ -155,13 +364,14 @@ def _select_rejection(observations: DataFrame, rejections: DataFrame) -> DataFra
 
 def fuzzy_candidates(observations: DataFrame, entities: DataFrame) -> DataFrame:
     """(observation_id, fuzzy_id, fuzzy_score, margin, auto): the best known entity of a shared block."""
-    pairs = candidate_pairs(observations.withColumnRenamed("observation_id", "id"), entities.where("core_name <> ''").withColumnRenamed("legal_entity_id", "id"))
+    pairs = best_pairs(observations.withColumnRenamed("observation_id", "id"), entities.where("core_name <> ''").withColumnRenamed("legal_entity_id", "id"))
     safe = F.col("location_agreement") & ~suffix_conflict(F.col("l_legal_suffix"), F.col("r_legal_suffix")) & scope_compatible(F.col("l_core_name"), F.col("r_core_name"))
     by_score = F.struct("score", F.col("r_id").alias("id"), known(safe).alias("safe"))
-    # the two best of each observation, by two aggregates whose partial results stay small
-    first = pairs.groupBy("l_id").agg(F.max(by_score).alias("b"))
-    rest = pairs.join(first.select("l_id", F.col("b.id").alias("__best")), "l_id").where("r_id <> __best").groupBy("l_id").agg(F.max("score").alias("next"))
-    both = first.join(rest, "l_id", "left").withColumn("margin", F.round(F.col("b.score") - F.coalesce("next", F.lit(0.0)), 6))
+    # three pairs a tile at most, so an observation's list is short
+    both = pairs.groupBy("l_id").agg(F.max(by_score).alias("b"), F.collect_list(F.struct("score", "r_id")).alias("all"))
+    rest = F.filter("all", lambda x: x["r_id"] != F.col("b.id"))
+    both = both.withColumn("next", F.array_max(F.transform(rest, lambda x: x["score"])))
+    both = both.withColumn("margin", F.round(F.col("b.score") - F.coalesce("next", F.lit(0.0)), 6))
     auto = F.col("b.safe") & (F.col("b.score") >= AUTO) & (F.col("margin") >= MARGIN)
     return both.select(F.col("l_id").alias("observation_id"), F.col("b.id").alias("fuzzy_id"), F.col("b.score").alias("fuzzy_score"), "margin", auto.alias("auto"))
 
@@ -180,22 +390,22 @@ def _conflict(a, b) -> bool:
     return bool(a["state"] and b["state"] and (a["state"] != b["state"] or (a["city"] and b["city"] and a["city"] != b["city"])))
 
 
-def _of_one_name(key: tuple, seen: pd.DataFrame, known_: pd.DataFrame) -> pd.DataFrame:
+def _of_one_name(name: str, seen: list[dict], known_: list[dict]) -> list[tuple]:
     """Decisions on all observations of one normalized name, the commonest first.
 
     Only here does order count: an entity that one observation founds has the name that the
     later ones are held against.
     """
-    named = {r["legal_entity_id"]: r for r in known_.to_dict("records")}
-    rows = seen.astype(object).where(seen.notna(), None)
-    rows = rows.assign(__less=-seen["occurrence_count"]).sort_values(["__less", "state", "city", "source_id", "alias_raw", "postal_code", "observation_id"])
+    named = {r["legal_entity_id"]: r for r in known_}
+    order = ("state", "city", "source_id", "alias_raw", "postal_code", "observation_id")
+    rows = sorted(seen, key=lambda r: (-r["occurrence_count"], *((r[c] is None, r[c] or "") for c in order)))
     out = []
-    for r in rows.to_dict("records"):
+    for r in rows:
         status, method, entity, candidate, score, margin = "UNRESOLVED", "NO_NAME", None, None, 0.0, None
         near = [k for k, e in sorted(named.items()) if not _conflict(r, e)]
         if r["override_id"] is not None:
             status, method, entity, score = "MANUAL_OVERRIDE", "REVIEWED_ALIAS", r["override_id"], 1.0
-        elif not key[0]:
+        elif not name:
             pass
         elif len(near) == 1:
             status, method, entity, score = "DETERMINISTIC", "EXACT_NORMALIZED_NAME", near[0], 1.0
@@ -213,13 +423,21 @@ def _of_one_name(key: tuple, seen: pd.DataFrame, known_: pd.DataFrame) -> pd.Dat
                 status, method, entity = "HIGH_CONFIDENCE_AUTO", "FUZZY_NAME_WITH_LOCATION", candidate
             elif candidate is not None and score >= REVIEW:
                 status, method = "REVIEW_REQUIRED", "FUZZY_CANDIDATE_UNMERGED"
-        if entity is None and key[0]:
+        if entity is None and name:
             entity = r["own_id"]
             named.setdefault(entity, r)
             if status == "UNRESOLVED":
                 status, method, score = "DETERMINISTIC", "NEW_SOURCE_LEGAL_ENTITY", 1.0
         out.append((r["observation_id"], status, method, entity, candidate, score, margin))
-    return pd.DataFrame(out, columns=["observation_id", "match_status", "match_method", "legal_entity_id", "candidate_legal_entity_id", "match_score", "candidate_margin"])
+    return out
+
+
+def _of_names(batches):
+    """Batches of names with their observations and known entities into decisions; many names a call."""
+    kinds = [(f, pa.float64() if f in ("match_score", "candidate_margin") else pa.string()) for f in (x.split()[0] for x in _DECISION.split(", "))]
+    for batch in batches:
+        out = [d for r in batch.to_pylist() for d in _of_one_name(r["normalized_name"], r["seen"], r["known"] or [])]
+        yield pa.RecordBatch.from_arrays([pa.array([d[n] for d in out], kind) for n, (_, kind) in enumerate(kinds)], names=[f for f, _ in kinds])
 
 
 def resolve(observations: DataFrame, entities: DataFrame, aliases: DataFrame, rejections: DataFrame) -> DataFrame:
@@ -237,8 +455,9 @@ def resolve(observations: DataFrame, entities: DataFrame, aliases: DataFrame, re
     rows = rows.join(select_override(observations, aliases), "observation_id", "left").join(found, "observation_id", "left")
     rows = rows.join(rejected.join(place, "rejected_id", "left"), "observation_id", "left")
     names = entities.select("normalized_name", "legal_entity_id", *_PLACE)
-    every = rows.groupBy("normalized_name").cogroup(names.join(rows.select("normalized_name").distinct(), "normalized_name", "left_semi").groupBy("normalized_name"))
-    return every.applyInPandas(_of_one_name, _DECISION)
+    together = lambda d, name: d.groupBy("normalized_name").agg(F.collect_list(F.struct(*(c for c in d.columns if c != "normalized_name"))).alias(name))
+    every = together(rows, "seen").join(together(names, "known"), "normalized_name", "left")
+    return every.mapInArrow(_of_names, _DECISION)
 
 
 def attach_ids(rows: DataFrame, decisions: DataFrame, keys: list[str]) -> DataFrame:

@@ -173,6 +173,44 @@ def test_fuzzy_merge_and_its_guards(spark):
     assert got["2"][0] == "REVIEW_REQUIRED" and got["3"][0] == "REVIEW_REQUIRED"
 
 
+def test_tiles_give_what_single_pairs_give(spark, monkeypatch):
+    import random
+
+    rng = random.Random(3)
+    words = ["ACME", "LABS", "OF", "HOSPITAL", "A", "X1", "ÜNÏ", *map(str, range(40))]
+    names = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 4))) for _ in range(150)] + ["Z" * 70 + " ACME", "Z" * 63 + " A"]
+    got = resolve.name_scores(names, names[::-1])
+    assert all(got[k, i] == 0.6 * resolve.token_set_ratio(a, b) / 100 + 0.25 * resolve.ratio(a, b) / 100 for i, a in enumerate(names) for k, b in enumerate(names[::-1]))
+
+    monkeypatch.setattr(resolve, "BEST_TILE", 20)
+    monkeypatch.setattr(resolve, "PAIR_TILE", 30)
+    kinds = "id string, core_name string, acronym string, state string, city string, postal_code string"
+    rows = [(str(i % 145), "ACME " + n, "ABC", rng.choice(["TX", "NV", ""]), rng.choice(["", "RENO"]), rng.choice(["", "78701"])) for i, n in enumerate(names)]
+    d = spark.createDataFrame(rows, kinds)
+    pairs = [r.asDict() for r in resolve.candidate_pairs(d, d).collect()]
+    keys = lambda r: {k for k in (f"s{r[3]}{r[1].replace(' ', '')[:5]}" if r[3] else "", f"a{r[3]}" if r[3] else "", f"p{r[5]}" if r[5] else "") if k}
+    assert len(pairs) == len({(*a, *b) for a in rows for b in rows if keys(a) & keys(b)})
+    best = {}
+    for r in pairs:
+        best.setdefault(r["l_id"], []).append((r["score"], r["r_id"]))
+    got = resolve.decide(resolve.best_pairs(d, d)).collect()
+    assert len(got) == len(best)
+    for r in got:
+        want = sorted(best[r["id"]], reverse=True)
+        assert (r["score"], r["candidate_id"], r["margin"]) == (*want[0], round(want[0][0] - (want[1][0] if len(want) > 1 else 0), 6))
+
+
+def test_no_call_into_python_a_name(spark):
+    """Decisions on many names are made by one call."""
+    empty = lambda kinds: spark.createDataFrame([], kinds)
+    place = "normalized_name string, core_name string, acronym string, legal_suffix string, city string, state string, postal_code string"
+    plan = resolve.resolve(
+        empty(f"observation_id string, source_id string, alias_raw string, occurrence_count long, {place}"), empty(f"legal_entity_id string, {place}"),
+        empty("source_id string, normalized_name string, city string, state string, postal_code string, legal_entity_id string"), empty("source_id string, normalized_name string, candidate_legal_entity_id string"),
+    )._jdf.queryExecution().toString()
+    assert "CoGroupsIn" not in plan and "MapInArrow" in plan
+
+
 def test_conflicting_aliases_fail(spark):
     with pytest.raises(resolve.ConflictingAliases):
         resolution(spark, [seen("1", "A B")], [whole("e1", "C")], [(None, "A B", None, None, None, "e1"), (None, "A B", None, None, None, "e2")])
