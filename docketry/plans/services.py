@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docketry.functions.names import acronym
 from docketry.operators.classify import Rule, Taxonomy, classify, classify_rows
-from docketry.operators.resolve import attach_ids, candidate_pairs, decide, location_conflict, resolve, scope_compatible, select_override, suffix_conflict
+from docketry.operators.resolve import attach_ids, best_pairs, candidate_pairs, decide, location_conflict, resolve, scope_compatible, select_override, suffix_conflict
 from docketry.operators.service import Explorer, Filters
 from docketry.plans.local import ENTITIES, FIRST, Tables, entities, first_cases, query
 
@@ -50,15 +50,20 @@ def _named(df: DataFrame, key: str, name: str, nation: str) -> DataFrame:
     return df.select(F.col(key).alias("id"), core.alias("core_name"), acronym(core).alias("acronym"), F.col(nation).cast("string").alias("state"), F.lit("").alias("city"), F.lit("").alias("postal_code"))
 
 
+def _suppliers(t: Tables) -> DataFrame:
+    return _named(t.supplier, "s_suppkey", "s_name", "s_nationkey")
+
+
 @query("do09_pair_scores")
 def do09(t: Tables) -> DataFrame:
     # every name against the whole table, itself included
-    return candidate_pairs(_named(t.supplier, "s_suppkey", "s_name", "s_nationkey"), _named(t.supplier, "s_suppkey", "s_name", "s_nationkey"))
+    return candidate_pairs(_suppliers(t), _suppliers(t))
 
 
 @query("do12_resolution_decisions")
 def do12(t: Tables) -> DataFrame:
-    return decide(do09(t))
+    # decisions need the best two of do09's pairs only
+    return decide(best_pairs(_suppliers(t), _suppliers(t)))
 
 
 def _observed(t: Tables) -> DataFrame:
