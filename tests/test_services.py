@@ -74,6 +74,20 @@ def test_pairs_and_decisions_are_over_the_whole_table(spark, tmp_path):
         assert r["margin"] == pytest.approx(best[0][0] - (best[1][0] if len(best) > 1 else 0), abs=1e-6)
 
 
+def test_blocked_pairs_are_distinct_without_a_shuffle_of_pairs(spark, tmp_path):
+    import oracle
+    from docketry.plans import registry
+
+    rows = [(1, 3, 10.5), (1, 3, 10.7), (1, 4, 900.0), (2, 3, 10.1), (3, 4, 901.0), (4, 3, 700.0), (5, 4, 10.9)]
+    for table, c in (("supplier", "s"), ("customer", "c")):
+        key = "suppkey" if c == "s" else "custkey"
+        spark.createDataFrame(rows, f"{c}_{key} long, {c}_nationkey int, {c}_acctbal double").write.parquet(str(tmp_path / f"{table}.parquet"))
+    query, sql = registry.queries()["jn15_blocked_candidates"], registry.oracle_sql()["jn15_blocked_candidates"]
+    assert oracle.differences(spark, oracle.connection(str(tmp_path)), query, sql, str(tmp_path)) == ""
+    plan = query(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert not plan.split("\n")[0].startswith("Aggregate")
+
+
 def test_excerpts_of_any_length_are_found(spark):
     from docketry.plans.more import find_excerpts
 
